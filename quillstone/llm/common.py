@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,21 @@ _SPACES = {c: 32 for c in range(9, 14)}
 _FOLD = _UPPER | _SPACES
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillstone_shipped", None) is None:
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="quillstone-")) / "quillstone-package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        sc._quillstone_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,22 +7,51 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, packing
-from quillstone.llm.common import table
+from pyspark.sql import functions as F
+
+from quillstone.llm import bpe, flac, langid, packing, quality, simhash
+from quillstone.llm.common import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, size=2048, end_id=1)
 
 
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.stored_and_read(table(spark, sf_dir, "documents"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_mod("doc_id", 3) != 1), PIECE_BPE)
+    held_out = (crc_mod("doc_id", 3) == 1).alias("held_out")
+    return langid.predict(docs, model, PIECE_BPE).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", predicted)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_flac": op4_flac,
+    "op5_langid": op5_langid,
+    "op8_quality": op8_quality,
+    "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
 
