@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, flac, langid, packing, quality, simhash
+from quillstone.llm import bpe, flac, langid, lm, packing, quality, simhash
 from quillstone.llm.common import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, size=2048, end_id=1)
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("is_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.stored_and_read(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_lm": op2_lm,
     "op4_flac": op4_flac,
     "op5_langid": op5_langid,
     "op8_quality": op8_quality,
