@@ -20,7 +20,8 @@ _FOLD = _UPPER | _SPACES
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for a context."""
+    """Send the package to the executors, once for a context, and keep Arrow batches small: a batch is held both by the
+    JVM and by the worker, and texts can be long."""
     sc = spark.sparkContext
     if getattr(sc, "_quillstone_shipped", None) is None:
         root = Path(__file__).resolve().parents[1]
@@ -30,6 +31,8 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(str(path))
         sc._quillstone_shipped = True
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
