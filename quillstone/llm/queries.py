@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, flac, langid, lm, packing, quality, simhash
+from quillstone.llm import bpe, flac, langid, lines, lm, packing, quality, simhash, topk
 from quillstone.llm.common import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,16 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, PIECE_BPE).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, min_words=5)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=10, dim=64, width=16)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
@@ -56,9 +66,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm": op2_lm,
     "op4_flac": op4_flac,
     "op5_langid": op5_langid,
+    "op6_lines": op6_lines,
+    "op7_topk": op7_topk,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "list_filter(string_split(translate(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_lines": f"""
+        WITH doc AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+        line AS (SELECT doc_id, i, parts[i + 1] AS line FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM doc)),
+        word AS (SELECT doc_id, i, line, list_sort(list_distinct({_WORDS.format("line")})) AS s FROM line),
+        uniq AS (SELECT s, len(s) AS n, min(doc_id * 1000000 + i) AS p, row_number() OVER () AS sid FROM word WHERE len(s) >= 5 GROUP BY s),
+        tok AS (SELECT sid, n, p, unnest(s) AS w FROM uniq),
+        freq AS (SELECT w, count(*) AS c FROM tok GROUP BY w HAVING count(*) > 1),
+        rare AS (SELECT sid, n, p, tok.w, coalesce(c, 1) AS c, row_number() OVER (PARTITION BY sid ORDER BY coalesce(c, 1), tok.w) AS k FROM tok LEFT JOIN freq ON freq.w = tok.w),
+        pre AS (SELECT * FROM rare WHERE c > 1 AND k <= n - ceil(0.8 * n) + 1),
+        pair AS (SELECT DISTINCT a.sid AS a, b.sid AS b FROM pre a JOIN pre b ON a.w = b.w AND a.p < b.p AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+        hit AS (SELECT pair.b AS sid, min(x.p) AS p FROM pair JOIN uniq x ON x.sid = pair.a JOIN uniq y ON y.sid = pair.b
+                WHERE 1.8 * len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n) GROUP BY pair.b),
+        first AS (SELECT s, least(uniq.p, coalesce(hit.p, uniq.p)) AS p FROM uniq LEFT JOIN hit ON hit.sid = uniq.sid),
+        marked AS (SELECT doc_id, i, line, coalesce(first.p < doc_id * 1000000 + i, false) AS gone FROM word LEFT JOIN first ON first.s = word.s)
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+    "op7_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+        d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+                     CAST(list_sum(list_transform(list_zip(q.b, v.b), lambda z: abs(z[1] - z[2]))) AS INTEGER) AS distance
+              FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
+        SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10""",
+}
