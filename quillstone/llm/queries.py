@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, flac, langid, lines, lm, packing, quality, simhash, topk
+from quillstone.llm import bpe, flac, langid, lines, lm, packing, quality, repeats, simhash, topk
 from quillstone.llm.common import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("is_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.stored_and_read(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lm": op2_lm,
+    "op3_repeats": op3_repeats,
     "op4_flac": op4_flac,
     "op5_langid": op5_langid,
     "op6_lines": op6_lines,
