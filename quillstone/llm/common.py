@@ -75,6 +75,14 @@ def words(text: str | None) -> list[str]:
     return [w for w in text.translate(_FOLD).split(" ") if w]
 
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """The same words as UTF-8: splitting bytes at white space splits at just those six bytes."""
+    return text.encode().translate(_LOWER).split() if text else []
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a text column; null is empty."""
     return [t or "" for t in column.to_pylist()]

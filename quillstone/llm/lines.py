@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,18 +30,15 @@ from pyspark.sql import types as T
 from quillstone.llm.common import materialize
 from quillstone.llm.sketch import SLICES, Bloom, merged
 
-COUNT_BITS, TWICE_BITS = 18, 24
+COUNT_BITS, TWICE_BITS = 18, 25
 #: Uses of a token from which it is indexed in pairs.
 COMMON = 20_000
-_FOLD = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in (9, 11, 12, 13)}
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode())
-        return h
+#: Bytes of removals up to which they are broadcast to the texts; beyond, texts and removals are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 11, 12, 13) else b for b in range(256))
+# Word hashes are differences of prefix sums of byte values times powers of an odd number, modulo 2^64.
+_STEP = 0x9E3779B97F4A7C15
+_BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,26 +47,33 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Tokens:
-    """Hashed words of a batch of texts, with the text and line each belongs to."""
+    """Hashed words of a batch of texts, with the text and line each belongs to, without a Python step for each word."""
 
     def __init__(self):
-        self.hashes = _Hashes()
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.up):
+            size = max(n, 1 << 20)
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size, base, np.uint64)], dtype=np.uint64) for base in (np.uint64(_STEP), np.uint64(pow(_STEP, -1, 1 << 64))))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, line of each hash, and text and number of each line."""
-        found: list[str] = []
-        size, text, number = [], [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            for j, line in enumerate(t.translate(_FOLD).split("\n")):
-                ws = [w for w in line.split(" ") if w]
-                found += ws
-                size.append(len(ws))
-                text.append(i)
-                number.append(j)
-        h = np.fromiter(map(self.hashes.__getitem__, found), np.uint64, len(found))
-        return h, np.repeat(np.arange(len(size)), size), np.array(text, np.int64), np.array(number, np.int64)
+        own = [i for i, t in enumerate(texts) if t]
+        data = np.frombuffer(b"\n".join(texts[i].encode() for i in own).translate(_FOLD), np.uint8)
+        self._powers(len(data) + 1)
+        breaks = np.flatnonzero(data == 10)
+        n_lines = np.array([texts[i].count("\n") + 1 for i in own], np.int64)
+        text = np.repeat(np.array(own, np.int64), n_lines)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+        gap = np.ones(len(data) + 2, bool)
+        gap[1:-1] = (data == 32) | (data == 10)
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        begin, end = edge[0::2], edge[1::2]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * self.up[: len(data)], out=total[1:])
+        h = _mix((total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        return h, np.searchsorted(breaks, begin), text, number
 
 
 def token_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +83,11 @@ def token_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         tokens, counts = _Tokens(), np.zeros(1 << COUNT_BITS, np.int64)
         once, twice = np.zeros(1 << TWICE_BITS, bool), np.zeros(1 << TWICE_BITS, bool)
         for batch in it:
-            u, c = np.unique(tokens(batch.column(0).to_pylist())[0], return_counts=True)
+            h = np.sort(tokens(batch.column(0).to_pylist())[0])
+            if not len(h):
+                continue
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            u, c = h[first], np.diff(np.r_[first, len(h)])
             counts += np.bincount((u >> np.uint64(64 - COUNT_BITS)).astype(np.int64), c, 1 << COUNT_BITS).astype(np.int64)
             at = (u & np.uint64((1 << TWICE_BITS) - 1)).astype(np.int64)
             twice[at[(c > 1) | once[at]]] = True
@@ -103,21 +110,25 @@ def token_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 class _Sets:
     """Lines of a batch as sets, ordered by rarity. Arrays by line: set (name), size, parity, text, number; by token:
-    token, line, place (in its line's order)."""
+    token, rarity, line, place (in its line's order)."""
 
     def __init__(self, tokens: _Tokens, texts: list[str | None], counts: np.ndarray, min_words: int):
         h, line, text, number = tokens(texts)
-        rarity = counts[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-        order = np.lexsort((h, rarity, line))
-        h, line, rarity = h[order], line[order], rarity[order]
-        if len(h):
-            new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
-            h, line, rarity = h[new], line[new], rarity[new]
+        u, own = np.unique(h, return_inverse=True)
+        rarity = counts[(u >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+        order = np.lexsort((u, rarity))
+        rank = np.empty(len(u), np.int64)
+        rank[order] = np.arange(len(u))
+        key = np.sort(line * len(u) + rank[own])
+        if len(key):
+            key = key[np.r_[True, key[1:] != key[:-1]]]
+        line = key // max(1, len(u))
+        token = order[key - line * len(u)]
         size = np.bincount(line, minlength=len(text))
         keep = size >= min_words
-        renumber = np.cumsum(keep) - 1
         on = keep[line]
-        self.token, self.line, self.rarity = h[on], renumber[line[on]], rarity[on]
+        token = token[on]
+        self.token, self.rarity, self.line = u[token], rarity[token], (np.cumsum(keep) - 1)[line[on]]
         self.size, self.text, self.number = size[keep], text[keep], number[keep]
         self.start = np.cumsum(self.size) - self.size
         self.place = np.arange(len(self.token)) - self.start[self.line]
@@ -137,29 +148,25 @@ def _pairs_of_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice) -> DataFrame:
-    """(key, set, ord, line, size, place, parity, again): the indexed tokens of each task's distinct sets, with the set's
-    first line in the task; again says that the task has it more than once."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((counts, twice))  # fixed sizes
-
-    def flush(held: list[tuple], common: float) -> pa.RecordBatch:
-        sets = [np.concatenate(x) for x in zip(*(h[:6] for h in held), strict=True)]
-        name, order, number, size, parity, _ = sets
-        at = np.lexsort((number, order, name))
-        first = np.r_[True, name[at][1:] != name[at][:-1]]
-        again = np.diff(np.r_[np.flatnonzero(first), len(at)]) > 1
-        chosen = at[first]
-        row_of = np.full(len(name), -1, np.int64)
-        row_of[chosen] = np.arange(len(chosen))
+    """(key, set, parity, form): the indexed tokens of each task's distinct sets. form holds the size, the token's place
+    in 31 bits each and, as its sign, whether the task has the set more than once."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, twice))  # fixed sizes
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        name, size, parity = (np.concatenate([h[k] for h in held]) for k in range(3))
+        _, chosen, again = np.unique(name, return_index=True, return_counts=True)
+        often = np.zeros(len(name), bool)
+        often[chosen] = again > 1
+        first = np.zeros(len(name), bool)
+        first[chosen] = True
         base = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
-        line = np.concatenate([h[6] + b for h, b in zip(held, base, strict=True)])
-        key, place = np.concatenate([h[7] for h in held]), np.concatenate([h[8] for h in held])
-        row = row_of[line]
-        on = row >= 0
-        row, key, place = row[on], key[on], place[on]
-        pick = chosen[row]
-        columns = [key.view(np.int64), name[pick], order[pick], number[pick], size[pick], place, parity[pick]]
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(again[row])], ["key", "set", "ord", "line", "size", "place", "parity", "again"])
+        line = np.concatenate([h[3] + b for h, b in zip(held, base, strict=True)])
+        key, place = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
+        on = first[line]
+        line, key, place = line[on], key[on], place[on]
+        form = size[line] << 31 | place
+        columns = [key.view(np.int64), name[line], parity[line], np.where(often[line], -form - 1, form)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "set", "parity", "form"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, twice = shared.value
@@ -170,12 +177,11 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice)
             s = _Sets(tokens, batch.column(0).to_pylist(), counts, min_words)
             if not len(s.size):
                 continue
-            order = batch.column(1).to_numpy()[s.text]
             reach = (s.size - _least_overlap(s.size, threshold))[s.line]  # the last place of the prefix
-            lively = twice[(s.token & np.uint64((1 << TWICE_BITS) - 1)).astype(np.int64)]
-            rare = (s.place <= reach) & lively & (s.rarity <= common)
+            near = np.flatnonzero(s.place <= reach)
+            near = near[twice[(s.token[near] & np.uint64((1 << TWICE_BITS) - 1)).astype(np.int64)]]
+            rare, often = near[s.rarity[near] <= common], near[s.rarity[near] > common]
             lines_, keys, places = [s.line[rare]], [s.token[rare]], [s.place[rare]]
-            often = np.flatnonzero((s.place <= reach) & lively & (s.rarity > common))
             step = 1
             while len(often):  # a common token goes with each later token of the prefix, which is one longer
                 second = often + step
@@ -183,24 +189,22 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice)
                 often, second = often[ok], second[ok]
                 ok = (s.line[second] == s.line[often]) & (s.place[second] <= reach[often] + 1)
                 often, second = often[ok], second[ok]
-                good = lively[second]
-                lines_.append(s.line[often[good]])
-                keys.append(_pairs_of_hashes(s.token[often[good]], s.token[second[good]]))
-                places.append(s.place[often[good]])
+                lines_.append(s.line[often])
+                keys.append(_pairs_of_hashes(s.token[often], s.token[second]))
+                places.append(s.place[often])
                 step += 1
-            held.append((s.set, order, s.number, s.size, s.parity, s.text, np.concatenate(lines_), np.concatenate(keys), np.concatenate(places)))
+            held.append((s.set, s.size, s.parity, np.concatenate(lines_), np.concatenate(keys), np.concatenate(places)))
             lines += len(s.size)
             if lines > 100_000:
-                yield flush(held, common)
+                yield flush(held)
                 held, lines = [], 0
         if held:
-            yield flush(held, common)
+            yield flush(held)
 
-    schema = "key long, set long, ord long, line long, size long, place long, parity long, again boolean"
-    return docs.select("text", "ord").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "key long, set long, parity long, form long")
 
 
-def _runs(it: Iterator[pa.RecordBatch], names: list[str], handle) -> Iterator[pa.RecordBatch]:
+def _runs(it: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
     """handle(columns of complete runs of equal first columns) over sorted batches."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -232,54 +236,66 @@ def _blocks(n: int, size: int = 256) -> Iterator[slice]:
 
 
 def candidates(index: DataFrame, threshold: float) -> DataFrame:
-    """(key, set, ord, line, size, verify): under each key, the sets that occur again and those that may be similar to
-    another set there."""
+    """(cluster, set): sets that occur again (cluster null), and the sets under a key that may be similar to another one
+    there. A cluster is named by its sets, so that those that meet under several keys are one."""
     ratio = threshold / (1 + threshold)
 
     def handle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, name, order, line, size, place, parity = (t.column(c).to_numpy() for c in ("key", "set", "ord", "line", "size", "place", "parity"))
-        again, parity = t.column("again").to_numpy(zero_copy_only=False), parity.view(np.uint64)
+        key, name, parity, form = (t.column(c).to_numpy() for c in ("key", "set", "parity", "form"))
+        parity, repeated = parity.view(np.uint64), form < 0
+        form = np.where(repeated, -form - 1, form)
+        size, place = form >> 31, form & (1 << 31) - 1
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[first, len(key)])
-        verify, repeated = np.zeros(len(key), bool), again.copy()
+        rows, groups = [], []
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             need = np.ceil(ratio * (size[i] + size[j]) - 1e-9)
-            room = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
+            room = np.minimum(size[i] - place[i], size[j] - place[j])
             apart = size[i] + size[j] - 2 * need
             return (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (room >= need) & (np.bitwise_count(parity[i] ^ parity[j]) <= apart)
 
+        def cluster(own: np.ndarray) -> int:
+            return int(_mix(_mix(np.sort(name[own]).view(np.uint64)).sum() + np.uint64(len(own))).view(np.int64))
+
         two = first[count == 2]
         same = name[two] == name[two + 1]
-        repeated[two[same]] = repeated[two[same] + 1] = True
+        repeated[two[same]] = True
         close = two[~same & near(two, two + 1)]
-        verify[close] = verify[close + 1] = True
+        pair = np.sort(np.stack([name[close], name[close + 1]]), axis=0).view(np.uint64)
+        named = _mix(_mix(pair[0]) + _mix(pair[1]) + np.uint64(2)).view(np.int64)
+        rows += [close, close + 1]
+        groups += [named, named]
         for at, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
             own = np.arange(at, at + n)
             own = own[np.lexsort((name[own], size[own]))]
             equal = np.flatnonzero(name[own][1:] == name[own][:-1])
-            repeated[own[equal]] = repeated[own[equal + 1]] = True
+            repeated[own[equal]] = True
             own = own[np.r_[True, name[own][1:] != name[own][:-1]]]
+            found = np.zeros(len(own), bool)
             for b in _blocks(len(own)):
                 top = np.searchsorted(size[own], size[own[b.stop - 1]] / threshold + 1e-9, side="right")
-                i, j = own[b][:, None], own[b.start : top][None, :]
-                hit = near(i, j) & (name[i] != name[j])
-                verify[own[b][hit.any(axis=1)]] = True
-                verify[own[b.start : top][hit.any(axis=0)]] = True
-        out = np.flatnonzero(verify | repeated)
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, name, order, line, size, verify)], ["key", "set", "ord", "line", "size", "verify"])
+                hit = near(own[b][:, None], own[b.start : top][None, :])
+                hit[np.arange(len(hit)), np.arange(len(hit))] = False
+                found[b] |= hit.any(axis=1)
+                found[b.start : top] |= hit.any(axis=0)
+            if found.any():
+                rows.append(own[found])
+                groups.append(np.full(int(found.sum()), cluster(own[found])))
+        again = np.unique(name[repeated])
+        sets = np.concatenate([again, *(name[r] for r in rows)])
+        clusters = pa.array(np.concatenate([np.zeros(len(again), np.int64), *groups]), mask=np.arange(len(sets)) < len(again))
+        yield pa.RecordBatch.from_arrays([clusters, pa.array(sets)], ["cluster", "set"])
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(
-        lambda it: _runs(it, [], handle), "key long, set long, ord long, line long, size long, verify boolean"
-    )
+    return index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, handle), "cluster long, set long")
 
 
 def matches(pool: DataFrame, threshold: float) -> DataFrame:
-    """(set, ord, line): for each set of pool (key, set, ord, line, tokens) the earliest similar one under the key."""
+    """(set, ord, line): for each set of pool (cluster, set, ord, line, tokens) the earliest similar one in the cluster."""
 
     def handle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, name, order, line = (t.column(c).to_numpy() for c in ("key", "set", "ord", "line"))
+        key, name, order, line = (t.column(c).to_numpy() for c in ("cluster", "set", "ord", "line"))
         tokens = t.column("tokens").to_pylist()
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         out: list[tuple[int, int, int]] = []
@@ -307,7 +323,7 @@ def matches(pool: DataFrame, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["set", "ord", "line"])
 
     n = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pool.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, [], handle), "set long, ord long, line long")
+    return pool.repartition(n, "cluster").sortWithinPartitions("cluster").mapInArrow(lambda it: _runs(it, handle), "set long, ord long, line long")
 
 
 def lines_of(docs: DataFrame, wanted: Bloom, min_words: int, counts) -> DataFrame:
@@ -343,15 +359,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         docs[id_col].alias("id"), F.coalesce(order, F.lit(-(1 << 63))).alias("ord"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text")
     ).where(F.col("text").isNotNull())
     counts, twice = token_counts(rows)
-    found = materialize(candidates(index_rows(rows, threshold, min_words, counts, twice), threshold))
-    wanted = Bloom.of(found.select("set"))
-    lines = materialize(lines_of(rows, wanted, min_words, counts))
+    found = materialize(candidates(index_rows(rows, threshold, min_words, counts, twice), threshold).distinct())
+    lines = materialize(lines_of(rows, Bloom.of(found.select("set")), min_words, counts))
+    first = lines.groupBy("set").agg(F.min(F.struct("ord", "line")).alias("p")).select("set", "p.ord", "p.line")
     tokens = lines.where("tokens is not null").select("set", "tokens").dropDuplicates(["set"])
-    pool = found.where("verify").groupBy("key", "set").agg(F.min(F.struct("ord", "line")).alias("p")).select("key", "set", "p.ord", "p.line").join(tokens, "set")
-    # A similar set counts from its own first line anywhere, not only under the key where it was met.
-    similar = matches(pool.select("key", "set", "ord", "line", "tokens"), threshold)
-    known = found.select("set", "ord", "line")
-    earliest = similar.union(known).groupBy("set").agg(F.min(F.struct("ord", "line")).alias("least")).select(F.col("set"), F.col("least.ord").alias("o"), F.col("least.line").alias("l"))
+    pool = found.where("cluster is not null").join(first.join(tokens, "set"), "set")
+    similar = matches(pool.select("cluster", "set", "ord", "line", "tokens"), threshold)
+    earliest = similar.union(first).groupBy("set").agg(F.min(F.struct("ord", "line")).alias("least")).select(F.col("set"), F.col("least.ord").alias("o"), F.col("least.line").alias("l"))
     late = lines.drop("tokens").join(earliest, "set").where("o < ord OR (o = ord AND l < line)")
     return late.groupBy("id", "text_hash").agg(F.collect_set(F.col("line").cast("int")).alias("removed"))
 
@@ -359,7 +373,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """docs with the removed lines taken out of the text, and the columns n_lines and n_removed (longs) at the end. Other
     columns stay as they are; the rest of a text keeps its order and its line breaks."""
-    gone = removals(docs, id_col, text_col, threshold, min_words).toDF("__id", "__hash", "__removed")
+    gone = materialize(removals(docs, id_col, text_col, threshold, min_words)).toDF("__id", "__hash", "__removed")
+    size = gone.agg(F.sum(48 + 4 * F.size("__removed")).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
     parts = F.split(docs[text_col], "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed")), lambda i: parts[i])

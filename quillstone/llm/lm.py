@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialize, words
+from quillstone.llm.common import materialize, word_bytes
 
 #: Most words whose counts the workers hold; a fixed bound, whatever the corpus.
 FREQUENT = 300_000
@@ -51,11 +51,12 @@ def count_words(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            found = pa.array(list(seen), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([found, pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in it:
             for text in batch.column(0).to_pylist():
-                seen.update(words(text))
+                seen.update(word_bytes(text))
             if len(seen) > 400_000:
                 yield out()
                 seen.clear()
@@ -68,24 +69,42 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Lexicon:
     """Bounded view of the counts: classes, their totals, and the frequent words' counts."""
 
-    index: dict[str, int]  # frequent word -> row of the arrays
+    index: dict[bytes, int]  # frequent word -> row of the arrays
     classes: np.ndarray
     counts: np.ndarray
-    endings: dict[str, int]
+    endings: dict[bytes, int]  # last two bytes -> class
     tokens: np.ndarray  # of each class in training
     distinct: np.ndarray
     total: int
     vocabulary: int
 
-    def class_of(self, word: str) -> int:
+    def class_of(self, word: bytes) -> int:
         """Class of a word that has none of its own."""
         return self.endings.get(word[-2:], OTHER)
 
 
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, at most `most`: those whose count reaches the lowest eighth of an
+    octave down to which there are not more. Only a histogram of such steps and the words themselves reach the driver."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    bins = {r["b"]: r["v"] for r in counts.groupBy(step.alias("b")).agg(F.count("*").alias("v")).collect()}
+    total, low = 0, None
+    for b in sorted(bins, reverse=True):
+        total += bins[b]
+        if total > most:
+            break
+        low = b
+    if low is None:
+        return []
+    found = counts.where(step >= low).select("word", "n").toArrow()
+    words = found.column("word").cast(pa.binary()).to_pylist()
+    return sorted(zip(words, found.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def lexicon(counts: DataFrame, n_texts: int) -> Lexicon:
     """The bounded view. Words that have a class of their own are the most frequent; endings are the most frequent of
     the rest. Ties go by the word."""
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    top = frequent_words(counts)
     own = {w: 2 + ENDING_CLASSES + i for i, (w, _) in enumerate(top[:OWN_CLASS])}
     ends: Counter = Counter()
     for w, n in top[OWN_CLASS:]:
@@ -94,9 +113,12 @@ def lexicon(counts: DataFrame, n_texts: int) -> Lexicon:
     classes = np.array([own.get(w) or endings.get(w[-2:], OTHER) for w, _ in top], np.int64)
     tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     # Class totals over all words: by ending, then the own words are moved to their classes.
-    by_end = counts.groupBy(F.when(F.substring("word", -2, 2).isin(*endings), F.substring("word", -2, 2)).alias("e") if endings else F.lit(None).cast("string").alias("e"))
-    for r in by_end.agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        k = endings.get(r["e"], OTHER)
+    raw = F.col("word").cast("binary")
+    ending = F.hex(F.expr("substring(CAST(word AS BINARY), greatest(octet_length(word) - 1, 1), 2)"))
+    known = {e.hex().upper(): k for e, k in endings.items()}
+    by_end = counts.select(F.when(ending.isin(*known), ending).alias("e") if known else F.lit(None).cast("string").alias("e"), "n", raw.alias("raw"))
+    for r in by_end.groupBy("e").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        k = known.get(r["e"], OTHER)
         tokens[k] += r["n"]
         distinct[k] += r["v"]
     for w, n in top[:OWN_CLASS]:
@@ -148,7 +170,7 @@ def _vectors(p: Parameters, ids: np.ndarray, first: np.ndarray):
     """Context vectors of all tokens, and what their gradient needs."""
     near, low, high = _contexts(ids, first)
     r = p.context[ids]
-    total = np.zeros((len(ids) + 1, DIM), np.float64)
+    total = np.zeros((len(ids) + 1, DIM), np.float32 if len(ids) < 10_000 else np.float64)
     np.cumsum(r, axis=0, out=total[1:])
     size = np.maximum(high - low, 1).astype(np.float32)[:, None]
     mean = ((total[high] - total[low]) / size).astype(np.float32)
@@ -158,6 +180,11 @@ def _vectors(p: Parameters, ids: np.ndarray, first: np.ndarray):
     return q, r, near, low, high, size, mean
 
 
+def _scattered(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows by class."""
+    return np.stack([np.bincount(at, rows[:, d], CLASSES) for d in range(rows.shape[1])], axis=1)
+
+
 def train_texts(p: Parameters, ids: np.ndarray, first: np.ndarray, noise_share: np.ndarray, rng: np.random.Generator, squares: np.ndarray, rate: float = 0.1) -> None:
     """One noise-contrastive step with adaptive rates. ids[0] is padding; noise samples are shared by the batch."""
     q, r, near, low, high, size, mean = _vectors(p, ids, first)
@@ -165,33 +192,32 @@ def train_texts(p: Parameters, ids: np.ndarray, first: np.ndarray, noise_share:
     noise = rng.choice(CLASSES, NOISE, p=noise_share)
     log_noise = np.log(NOISE * noise_share).astype(np.float32)
     qt = q[1:]
-    right = 1 / (1 + np.exp(-((qt * p.output[target]).sum(axis=1) + p.bias[target] - log_noise[target])))
+    own = p.output[target]
+    right = 1 / (1 + np.exp(np.einsum("ij,ij->i", qt, own) + p.bias[target] - log_noise[target]))  # 1 - sigmoid
     wrong = 1 / (1 + np.exp(-(qt @ p.output[noise].T + p.bias[noise] - log_noise[noise])))
-    push = np.zeros((len(target), CLASSES), np.float32)
-    picks = np.zeros((NOISE, CLASSES), np.float32)
-    picks[np.arange(NOISE), noise] = 1
-    push -= wrong.astype(np.float32) @ picks
-    push[np.arange(len(target)), target] += (1 - right).astype(np.float32)
     grad = Parameters(np.zeros_like(p.flat))
-    grad.output[:] = push.T @ qt
-    grad.bias[:] = push.sum(axis=0)
+    grad.output[:] = _scattered(target, right[:, None] * qt)
+    np.subtract.at(grad.output, noise, wrong.T @ qt)
+    grad.bias[:] = np.bincount(target, right, CLASSES)
+    np.subtract.at(grad.bias, noise, wrong.sum(axis=0))
     gq = np.zeros_like(q)
-    gq[1:] = push @ p.output
+    gq[1:] = right[:, None] * own - wrong @ p.output[noise]
     grad.far[:] = mean.T @ gq
     g_token = np.zeros_like(r)
     for d, where in enumerate(near):
         grad.near[d] = (gq * r[where]).sum(axis=0)
         part = gq * p.near[d]
-        g_token[:-1 - d] += np.where((where[1 + d :] > 0)[:, None], part[1 + d :], 0)
-        g_token[0] += part[where == 0].sum(axis=0)
+        inside = (where > 0)[:, None]
+        g_token[: -1 - d] += np.where(inside, part, 0)[1 + d :]
+        g_token[0] += np.where(inside, 0, part).sum(axis=0)
     g_mean = (gq @ p.far.T) / size
-    spread = np.zeros((len(ids) + 1, DIM), np.float64)  # a history's gradient goes to all tokens from low to high
-    np.add.at(spread, low[high > low], g_mean[high > low])
-    spread[high[high > low]] -= g_mean[high > low]
+    g_mean[high <= low] = 0
+    spread = np.zeros((len(ids) + 1, DIM), np.float32)  # a history's gradient goes to all tokens from low to high
+    starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    spread[low[starts]] = np.add.reduceat(g_mean, starts, axis=0)
+    spread[high] -= g_mean
     g_token += np.cumsum(spread, axis=0)[:-1]
-    one = np.zeros((len(ids), CLASSES), np.float32)
-    one[np.arange(len(ids)), ids] = 1
-    grad.context[:] = one.T @ g_token
+    grad.context[:] = _scattered(ids, g_token)
     g = grad.flat / len(target)
     squares += g * g
     p.flat += rate * g / (np.sqrt(squares) + 1e-8)
@@ -203,8 +229,8 @@ class Coder:
     def __init__(self, lex: Lexicon):
         self.lex = lex
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        found = words(text)
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        found = word_bytes(text)
         row = np.array(list(map(self.lex.index.get, found, [-1] * len(found))), np.int64)
         classes = np.empty(len(found) + 1, np.int64)
         classes[:-1] = self.lex.classes[row] if len(self.lex.classes) else OTHER
@@ -231,14 +257,15 @@ def _blocks(coded: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np
             total += len(ids)
 
 
-def log_probabilities(p: Parameters, ids: np.ndarray, first: np.ndarray, block: int = 8192) -> np.ndarray:
+def log_probabilities(p: Parameters, ids: np.ndarray, first: np.ndarray, block: int = 2048) -> np.ndarray:
     """Natural log-probability of the class of every token after the padding one."""
     q = _vectors(p, ids, first)[0][1:]
     target, out = ids[1:], np.empty(len(ids) - 1)
     for i in range(0, len(target), block):
         s = q[i : i + block] @ p.output.T
         s += p.bias
-        s -= s.max(axis=1, keepdims=True)
+        if s.max() > 60 or s.min() < -60:  # else no exponential leaves the range
+            s -= s.max(axis=1, keepdims=True)
         own = s[np.arange(len(s)), target[i : i + block]]
         np.exp(s, out=s)
         out[i : i + block] = own - np.log(s.sum(axis=1))
@@ -303,7 +330,7 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
         task, seen = TaskContext.get().partitionId() << 36, 0
         for batch in it:
             coded, known, base, rare = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("text").to_pylist():
                 classes, frequent, unseen = coder(text)
                 coded.append(classes)
                 known.append(len(frequent) + bool(lex.tokens[END]))
@@ -319,7 +346,7 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(task + seen + np.arange(batch.num_rows)), batch.column(0), batch.column(2), pa.array(n), pa.array(known, pa.int64()),
-                    pa.array(base - n * whole), pa.array(base + np.array(of_class)), pa.array(rare, pa.list_(pa.string())),
+                    pa.array(base - n * whole), pa.array(base + np.array(of_class)), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
                 ],
                 ["row", "id", "is_training", "n_tokens", "known", "base", "model", "rare"],
             )
