@@ -31,6 +31,8 @@ from quillstone.llm.common import materialize
 from quillstone.llm.sketch import SLICES, Bloom, merged
 
 COUNT_BITS, TWICE_BITS = 18, 25
+#: Bytes of text that numpy works on at once.
+PART_BYTES = 1 << 20
 #: Uses of a token from which it is indexed in pairs.
 COMMON = 20_000
 #: Bytes of removals up to which they are broadcast to the texts; beyond, texts and removals are joined by shuffle.
@@ -54,18 +56,40 @@ class _Tokens:
 
     def _powers(self, n: int) -> None:
         if n > len(self.up):
-            size = max(n, 1 << 20)
+            size = max(n, PART_BYTES + (1 << 16))
             self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size, base, np.uint64)], dtype=np.uint64) for base in (np.uint64(_STEP), np.uint64(pow(_STEP, -1, 1 << 64))))
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    @staticmethod
+    def parts(texts: list[str | None]) -> Iterator[list[tuple[int, int, bytes]]]:
+        """(text, number of its first line, bytes) of whole lines, together about PART_BYTES: long texts are cut at line
+        breaks, as the arrays take many times the bytes."""
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            data, at, number = t.encode(), 0, 0
+            while at <= len(data):
+                stop = len(data) if len(data) - at <= PART_BYTES else data.find(b"\n", at + PART_BYTES)
+                stop = len(data) if stop < 0 else stop
+                piece = data[at:stop]
+                held.append((i, number, piece))
+                size += len(piece) + 1
+                number += piece.count(b"\n") + 1
+                at = stop + 1
+                if size >= PART_BYTES:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def __call__(self, part: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, line of each hash, and text and number of each line."""
-        own = [i for i, t in enumerate(texts) if t]
-        data = np.frombuffer(b"\n".join(texts[i].encode() for i in own).translate(_FOLD), np.uint8)
+        data = np.frombuffer(b"\n".join(p for _, _, p in part).translate(_FOLD), np.uint8)
         self._powers(len(data) + 1)
         breaks = np.flatnonzero(data == 10)
-        n_lines = np.array([texts[i].count("\n") + 1 for i in own], np.int64)
-        text = np.repeat(np.array(own, np.int64), n_lines)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+        n_lines = np.array([p.count(b"\n") + 1 for _, _, p in part], np.int64)
+        text = np.repeat(np.array([i for i, _, _ in part], np.int64), n_lines)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(n_lines) - n_lines - np.array([k for _, k, _ in part], np.int64), n_lines)
         gap = np.ones(len(data) + 2, bool)
         gap[1:-1] = (data == 32) | (data == 10)
         edge = np.flatnonzero(gap[1:] != gap[:-1])
@@ -82,8 +106,8 @@ def token_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = _Tokens(), np.zeros(1 << COUNT_BITS, np.int64)
         once, twice = np.zeros(1 << TWICE_BITS, bool), np.zeros(1 << TWICE_BITS, bool)
-        for batch in it:
-            h = np.sort(tokens(batch.column(0).to_pylist())[0])
+        for part in (p for batch in it for p in tokens.parts(batch.column(0).to_pylist())):
+            h = np.sort(tokens(part)[0])
             if not len(h):
                 continue
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -109,11 +133,11 @@ def token_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Sets:
-    """Lines of a batch as sets, ordered by rarity. Arrays by line: set (name), size, parity, text, number; by token:
+    """Lines of a part of a batch as sets, ordered by rarity. Arrays by line: set (name), size, parity, text, number; by token:
     token, rarity, line, place (in its line's order)."""
 
-    def __init__(self, tokens: _Tokens, texts: list[str | None], counts: np.ndarray, min_words: int):
-        h, line, text, number = tokens(texts)
+    def __init__(self, tokens: _Tokens, part: list[tuple[int, int, bytes]], counts: np.ndarray, min_words: int):
+        h, line, text, number = tokens(part)
         u, own = np.unique(h, return_inverse=True)
         rarity = counts[(u >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
         order = np.lexsort((u, rarity))
@@ -173,8 +197,8 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice)
         twice = np.unpackbits(twice).view(bool)
         tokens, held, lines = _Tokens(), [], 0
         common = max(COMMON, 50 * counts.mean())
-        for batch in it:
-            s = _Sets(tokens, batch.column(0).to_pylist(), counts, min_words)
+        for part in (p for batch in it for p in tokens.parts(batch.column(0).to_pylist())):
+            s = _Sets(tokens, part, counts, min_words)
             if not len(s.size):
                 continue
             reach = (s.size - _least_overlap(s.size, threshold))[s.line]  # the last place of the prefix
@@ -237,7 +261,7 @@ def _blocks(n: int, size: int = 256) -> Iterator[slice]:
 
 def candidates(index: DataFrame, threshold: float) -> DataFrame:
     """(cluster, set): sets that occur again (cluster null), and the sets under a key that may be similar to another one
-    there. A cluster is named by its sets, so that those that meet under several keys are one."""
+    there. A cluster is named by its smallest set: what meets under several keys of one group is mostly one cluster."""
     ratio = threshold / (1 + threshold)
 
     def handle(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -255,15 +279,11 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
             apart = size[i] + size[j] - 2 * need
             return (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (room >= need) & (np.bitwise_count(parity[i] ^ parity[j]) <= apart)
 
-        def cluster(own: np.ndarray) -> int:
-            return int(_mix(_mix(np.sort(name[own]).view(np.uint64)).sum() + np.uint64(len(own))).view(np.int64))
-
         two = first[count == 2]
         same = name[two] == name[two + 1]
         repeated[two[same]] = True
         close = two[~same & near(two, two + 1)]
-        pair = np.sort(np.stack([name[close], name[close + 1]]), axis=0).view(np.uint64)
-        named = _mix(_mix(pair[0]) + _mix(pair[1]) + np.uint64(2)).view(np.int64)
+        named = np.minimum(name[close], name[close + 1])
         rows += [close, close + 1]
         groups += [named, named]
         for at, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
@@ -281,7 +301,7 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
                 found[b.start : top] |= hit.any(axis=0)
             if found.any():
                 rows.append(own[found])
-                groups.append(np.full(int(found.sum()), cluster(own[found])))
+                groups.append(np.full(int(found.sum()), name[own[found]].min()))
         again = np.unique(name[repeated])
         sets = np.concatenate([again, *(name[r] for r in rows)])
         clusters = pa.array(np.concatenate([np.zeros(len(again), np.int64), *groups]), mask=np.arange(len(sets)) < len(again))
@@ -328,23 +348,24 @@ def matches(pool: DataFrame, threshold: float) -> DataFrame:
 
 def lines_of(docs: DataFrame, wanted: Bloom, min_words: int, counts) -> DataFrame:
     """(id, ord, text_hash, line, set, tokens) of the lines whose sets may be wanted; tokens only at a set's first line in
-    a batch."""
+    a part of a batch."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, counts))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, counts = shared.value
         tokens = _Tokens()
         for batch in it:
-            s = _Sets(tokens, batch.column("text").to_pylist(), counts, min_words)
-            hit = np.flatnonzero(wanted.test(s.set)) if len(s.set) else np.zeros(0, np.int64)
-            new = np.zeros(len(hit), bool)
-            new[np.unique(s.set[hit], return_index=True)[1]] = True
-            data = [s.token[a : a + n].tobytes() if f else None for a, n, f in zip(s.start[hit].tolist(), s.size[hit].tolist(), new.tolist(), strict=True)]
-            rows = pa.array(s.text[hit])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(rows) for c in ("id", "ord", "text_hash")), pa.array(s.number[hit]), pa.array(s.set[hit]), pa.array(data, pa.binary())],
-                ["id", "ord", "text_hash", "line", "set", "tokens"],
-            )
+            for part in tokens.parts(batch.column("text").to_pylist()):
+                s = _Sets(tokens, part, counts, min_words)
+                hit = np.flatnonzero(wanted.test(s.set)) if len(s.set) else np.zeros(0, np.int64)
+                new = np.zeros(len(hit), bool)
+                new[np.unique(s.set[hit], return_index=True)[1]] = True
+                data = [s.token[a : a + n].tobytes() if f else None for a, n, f in zip(s.start[hit].tolist(), s.size[hit].tolist(), new.tolist(), strict=True)]
+                rows = pa.array(s.text[hit])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(rows) for c in ("id", "ord", "text_hash")), pa.array(s.number[hit]), pa.array(s.set[hit]), pa.array(data, pa.binary())],
+                    ["id", "ord", "text_hash", "line", "set", "tokens"],
+                )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "ord", "text_hash", "text").mapInArrow(run, f"id {kind}, ord long, text_hash long, line long, set long, tokens binary")
