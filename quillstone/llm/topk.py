@@ -58,13 +58,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     nearest = Window.partitionBy("query_id", "query").orderBy("distance", "id")
     best, open_queries = None, wanted
     for s in range(width + 1):
-        masks = F.expr(f"filter(sequence(0, {(1 << width) - 1}), x -> bit_count(x) = {s})")
-        probes = open_queries.select("query_id", "query", F.posexplode("query").alias("seg", "own")).select(
-            "query_id", "query", "seg", "own", F.explode(masks).alias("mask")
-        )
-        probes = probes.select("query_id", "query", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(by_segment, ["seg", "value"]).select("query_id", "query", "code").distinct()
-        found = met.join(index, "code").select("query_id", "query", _distance("query", "code").alias("distance"), F.explode("ids").alias("id")).where("id <> query_id")
+        # Every choice of s bits of the segment, one after the other in rising order.
+        probes = open_queries.select("query_id", "query", F.posexplode("query").alias("seg", "value")).withColumn("bit", F.lit(-1))
+        for _ in range(s):
+            probes = probes.where(F.col("bit") < width - 1).select("query_id", "query", "seg", "value", F.explode(F.expr(f"sequence(bit + 1, {width - 1})")).alias("bit"))
+            probes = probes.withColumn("value", F.expr("value ^ shiftleft(1, bit)"))
+        # Row estimates know nothing of the explosion: without the hint the larger side would be broadcast.
+        met = probes.hint("merge").join(by_segment, ["seg", "value"]).select("query_id", "query", "code").distinct()
+        found = met.hint("merge").join(index, "code").select("query_id", "query", _distance("query", "code").alias("distance"), F.explode("ids").alias("id")).where("id <> query_id")
         pool = found if best is None else best.drop("rank").unionByName(found).distinct()
         best = materialize(pool.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k))
         covered = segments * (s + 1) - 1
