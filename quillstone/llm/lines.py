@@ -346,20 +346,25 @@ def matches(pool: DataFrame, threshold: float) -> DataFrame:
     return pool.repartition(n, "cluster").sortWithinPartitions("cluster").mapInArrow(lambda it: _runs(it, handle), "set long, ord long, line long")
 
 
-def lines_of(docs: DataFrame, wanted: Bloom, min_words: int, counts) -> DataFrame:
-    """(id, ord, text_hash, line, set, tokens) of the lines whose sets may be wanted; tokens only at a set's first line in
-    a part of a batch."""
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, counts))
+def lines_of(docs: DataFrame, wanted: Bloom, compared: Bloom, min_words: int, counts) -> DataFrame:
+    """(id, ord, text_hash, line, set, tokens) of the lines whose sets may be wanted; tokens only of sets that may have to
+    be compared, and about once in a task."""
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, compared, counts))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = shared.value
-        tokens = _Tokens()
+        wanted, compared, counts = shared.value
+        tokens, given = _Tokens(), set()
         for batch in it:
             for part in tokens.parts(batch.column("text").to_pylist()):
                 s = _Sets(tokens, part, counts, min_words)
                 hit = np.flatnonzero(wanted.test(s.set)) if len(s.set) else np.zeros(0, np.int64)
-                new = np.zeros(len(hit), bool)
-                new[np.unique(s.set[hit], return_index=True)[1]] = True
+                new = compared.test(s.set[hit])
+                for k in np.flatnonzero(new).tolist():
+                    if (name := int(s.set[hit[k]])) in given:
+                        new[k] = False
+                    given.add(name)
+                if len(given) > 500_000:
+                    given.clear()
                 data = [s.token[a : a + n].tobytes() if f else None for a, n, f in zip(s.start[hit].tolist(), s.size[hit].tolist(), new.tolist(), strict=True)]
                 rows = pa.array(s.text[hit])
                 yield pa.RecordBatch.from_arrays(
@@ -381,7 +386,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     ).where(F.col("text").isNotNull())
     counts, twice = token_counts(rows)
     found = materialize(candidates(index_rows(rows, threshold, min_words, counts, twice), threshold).distinct())
-    lines = materialize(lines_of(rows, Bloom.of(found.select("set")), min_words, counts))
+    compared = Bloom.of(found.where("cluster is not null").select("set"))
+    lines = materialize(lines_of(rows, Bloom.of(found.select("set")), compared, min_words, counts))
     first = lines.groupBy("set").agg(F.min(F.struct("ord", "line")).alias("p")).select("set", "p.ord", "p.line")
     tokens = lines.where("tokens is not null").select("set", "tokens").dropDuplicates(["set"])
     pool = found.where("cluster is not null").join(first.join(tokens, "set"), "set")
