@@ -44,13 +44,11 @@ def shard(strings: list[bytes], numbers: np.ndarray, depth: int, steps: tuple[in
     windows = np.ndarray((len(data) - 8 - depth + 1,), f"S{depth}", data, strides=(1,))
     order = np.argsort(windows[at], kind="stable")
     owner, place = owner[order], place[order]
+    eight = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))  # the eight bytes from each place on
     before = {}
     for q in steps:
         ahead = start[owner] + (place - q) % size[owner]
-        code = data[ahead].astype(np.uint32)
-        for j in range(1, q):
-            code = code << np.uint32(8) | data[ahead + j]
-        before[q] = code
+        before[q] = eight[ahead].astype(np.uint64) >> np.uint64(64 - 8 * q)
     return Shard(numbers[owner], place, before)
 
 
@@ -66,15 +64,6 @@ def _ranks(codes: np.ndarray, q: int) -> np.ndarray | None:
     """Codes as 16-bit numbers in the same order, or None if there are too many different ones."""
     if q < 3:
         return codes.astype(np.uint16)
-    if q == 3:
-        seen = np.zeros(1 << 24, bool)
-        seen[codes] = True
-        values = np.flatnonzero(seen)
-        if len(values) > 1 << 16:
-            return None
-        rank = np.zeros(1 << 24, np.uint16)
-        rank[values] = np.arange(len(values), dtype=np.uint32).astype(np.uint16)
-        return rank[codes]
     values, rank = np.unique(codes, return_inverse=True)
     return rank.astype(np.uint16) if len(values) <= 1 << 16 else None
 
@@ -83,7 +72,7 @@ def merge(shards: list[Shard], depth: int) -> Merged:
     string, place = (np.concatenate([getattr(s, k) for s in shards]) for k in ("string", "place"))
     which = np.repeat(np.arange(len(shards)), [len(s.string) for s in shards]).astype(np.uint8)
     n = len(which)
-    for q in sorted(shards[0].before, reverse=True):
+    for q in sorted((q for q in shards[0].before if q in STEPS), reverse=True):
         if (read := _ranks(np.concatenate([s.before[q] for s in shards]), q)) is not None:
             break
     plan = [depth % q] * bool(depth % q) + [q] * (depth // q)
@@ -110,18 +99,22 @@ def merge(shards: list[Shard], depth: int) -> Merged:
     return Merged(string[at], place[at], common, block)
 
 
-def repeats(strings: list[bytes], depth: int, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
+#: Symbols read at once: as many as have at most 2^16 different values in a batch.
+STEPS = (8, 6, 4, 2)
+
+
+def repeats(strings: list[bytes], depth: int, shard_bytes: int = 1 << 14) -> list[np.ndarray]:
     """For each string, at which places a substring of `depth` bytes begins that also begins somewhere else in the
     collection (or elsewhere in the string). Strings are dealt to shards in turn."""
     total = sum(map(len, strings))
     k = int(min(max(2, -(-total // shard_bytes)), 255, max(1, len(strings))))
     numbers = [np.arange(i, len(strings), k) for i in range(k)]
-    steps = tuple({q: None for w in (4, 3, 2) for q in (w, depth % w) if q})
+    steps = tuple({q: None for w in STEPS for q in (w, depth % w) if q})
     found = merge([shard([strings[i] for i in own.tolist()], own, depth, steps) for own in numbers], depth)
     size = np.array([len(s) for s in strings])
-    valid = found.place <= size[found.string] - depth
-    often = np.bincount(found.repeat[valid], minlength=len(found.repeat) + 2)[found.repeat] > 1
-    mark = valid & often
+    valid = np.flatnonzero(found.place <= size[found.string] - depth)
+    interval = found.repeat[valid]
+    mark = valid[np.bincount(interval, minlength=len(found.repeat) + 2)[interval] > 1]
     string, place = found.string[mark], found.place[mark]
     order = np.argsort(string, kind="stable")
     cuts = np.searchsorted(string[order], np.arange(len(strings) + 1))

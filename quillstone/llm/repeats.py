@@ -37,7 +37,7 @@ PIECE = 8
 #: Windows of a segment at most; longer runs (periodic texts) are cut.
 MOST_WINDOWS = 512
 #: Bytes of segments merged at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 90_000
 
 _BYTE = np.random.default_rng(1).integers(0, 1 << 64, 256, dtype=np.uint64)
 
