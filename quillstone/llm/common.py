@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks. Lineage stays, so what a lost executor held is computed again;
+    for loops, whose lineage would grow, use materialize."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def fold(text: str) -> str:
     """Lower-case A-Z and turn the six ASCII white-space bytes into blanks."""
     return text.translate(_FOLD)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialize, word_bytes
+from quillstone.llm.common import stored, word_bytes
 
 #: Most words whose counts the workers hold; a fixed bound, whatever the corpus.
 FREQUENT = 300_000
@@ -315,7 +315,7 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), is_training.alias("is_training"))
     training = rows.where("is_training").select("text")
-    counts = materialize(count_words(training))
+    counts = stored(count_words(training))
     lex = lexicon(counts, training.count())
     p = train(training, lex)
     shared = spark.sparkContext.broadcast((lex, p.flat))
@@ -353,7 +353,7 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
             seen += batch.num_rows
 
     kind = rows.schema["id"].dataType.simpleString()
-    partial = materialize(
+    partial = stored(
         rows.select("id", "text", "is_training").mapInArrow(run, f"row long, id {kind}, is_training boolean, n_tokens long, known long, base double, model double, rare array<string>")
     )
     rare = partial.select("row", F.explode("rare").alias("word"))

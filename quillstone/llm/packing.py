@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.bpe import PRETOKEN, byte_alphabet
-from quillstone.llm.common import materialize, texts_of
+from quillstone.llm.common import stored, texts_of
 
 
 @lru_cache(maxsize=4)
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, id
     The pieces are written once (a few numbers each). Only the histogram, at most `size` rows, reaches the driver, and
     only the slot blocks of its patterns go back. A length that a third of all pieces share is ranked task by task: the
     window runs over (length, task) counts, never over pieces."""
-    found = materialize(pieces(docs, lambda: token_ids(vocabulary), end_id, size, id_col, text_col))
+    found = stored(pieces(docs, lambda: token_ids(vocabulary), end_id, size, id_col, text_col))
     per_task = found.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = np.zeros(size + 1, np.int64)
     for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bwt
-from quillstone.llm.common import materialize
+from quillstone.llm.common import stored
 from quillstone.llm.sketch import Bloom
 
 GRAM = 80
@@ -243,10 +243,10 @@ def removed_ranges(docs: DataFrame, text_col: str = "text", length: int = 200, g
     gram = min(gram, max(1, length // 2))
     text = F.coalesce(docs[text_col], F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
-    found = materialize(anchors(texts, length, gram).where("n > 1 AND least <> most").select("anchor", "n"))
+    found = stored(anchors(texts, length, gram).where("n > 1 AND least <> most").select("anchor", "n"))
     total = found.agg(F.sum("n")).first()[0] or 0
     hot = found.where(F.col("n") > max(HOT, total // HOT_SHARE)).select("anchor").collect()
-    places = materialize(segments(texts, length, gram, Bloom.of(found.select("anchor"), 26), np.array([r["anchor"] for r in hot], np.int64)))
+    places = stored(segments(texts, length, gram, Bloom.of(found.select("anchor"), 26), np.array([r["anchor"] for r in hot], np.int64)))
     covered = repeated_ranges(places.where("shown"), length)
     inner = places.select("s1", "s2", "k1", "k2", "start").join(covered, ["s1", "s2"])
     parts = inner.select("k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).distinct()

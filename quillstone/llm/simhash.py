@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialize, words
+from quillstone.llm.common import stored, words
 from quillstone.llm.components import connected
 
 #: Distinct fingerprints with the same segment from which its variants are cut again.
@@ -125,7 +125,7 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
         raise ValueError("two segments with one wildcard cover at most three differing bits")
     low = F.lit(0xFFFFFFFF)
     both = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.shiftrightunsigned("fp", 32).alias("seg")), F.struct(F.lit(1).alias("s"), F.col("fp").bitwiseAND(low).alias("seg"))))
-    hot = materialize(fps.select(both.alias("x")).select("x.s", "x.seg").groupBy("s", "seg").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENT).drop("n"))
+    hot = stored(fps.select(both.alias("x")).select("x.s", "x.seg").groupBy("s", "seg").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEGMENT).drop("n"))
     wild = F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i")
     key = "(((s * 32L + i) << 32) | (seg & ~(1L << i)))"
     variants = fps.select("fp", both.alias("x")).select("fp", "x.s", "x.seg", wild).select("fp", "s", F.expr(key).alias("key"))
@@ -169,15 +169,15 @@ def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 def _roots(of_doc: DataFrame, bits: int) -> DataFrame:
     """(fp, root): the smallest fingerprint, as a signed number, that a chain of links reaches."""
-    distinct = materialize(of_doc.select("fp").distinct())
-    roots = materialize(connected(links(distinct, bits))).toDF("fp", "linked")
+    distinct = stored(of_doc.select("fp").distinct())
+    roots = stored(connected(links(distinct, bits))).toDF("fp", "linked")
     return distinct.join(roots, "fp", "left").select("fp", F.coalesce("linked", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
     """(id, fingerprint, component_id): 16 hex digits, and the smallest id that a chain of links reaches."""
-    of_doc = materialize(fingerprints(docs, id_col, text_col, shingle))
-    root = materialize(_roots(of_doc, bits))
+    of_doc = stored(fingerprints(docs, id_col, text_col, shingle))
+    root = stored(_roots(of_doc, bits))
     least = of_doc.groupBy("fp").agg(F.min("id").alias("least")).join(root, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     component = root.join(least, "root").select("fp", "component_id")
     return of_doc.join(component, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -187,8 +187,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs' rows, one of each component: that of the smallest id (null last), of equal ids that of the smallest text
     hash, of rows equal in id and text any one."""
     text_hash = F.xxhash64(docs[text_col])
-    of_doc = materialize(fingerprints(docs.select(F.struct(docs[id_col].isNull().alias("no"), docs[id_col].alias("id"), text_hash.alias("hash")).alias("id"), docs[text_col].alias("text")), "id", "text", shingle))
-    root = materialize(_roots(of_doc, bits))
+    of_doc = stored(fingerprints(docs.select(F.struct(docs[id_col].isNull().alias("no"), docs[id_col].alias("id"), text_hash.alias("hash")).alias("id"), docs[text_col].alias("text")), "id", "text", shingle))
+    root = stored(_roots(of_doc, bits))
     least = of_doc.groupBy("fp").agg(F.min("id").alias("least")).join(root, "fp").groupBy("root").agg(F.min("least").alias("least"))
     chosen = least.select(F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
     names = [f"c{i}" for i in range(len(docs.columns))]
