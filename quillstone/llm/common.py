@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -54,13 +55,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs no
-    recomputation. The files go when the session ends."""
+    recomputation. The files go when the session ends. As nothing needs the shuffles behind df any more, a collection is
+    asked for, upon which Spark deletes their files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    gc.collect()
+    jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

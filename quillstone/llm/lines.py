@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import stored
+from quillstone.llm.common import materialize, stored
 from quillstone.llm.sketch import SLICES, Bloom, merged
 
 COUNT_BITS, TWICE_BITS = 18, 25
@@ -385,9 +385,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         docs[id_col].alias("id"), F.coalesce(order, F.lit(-(1 << 63))).alias("ord"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text")
     ).where(F.col("text").isNotNull())
     counts, twice = token_counts(rows)
-    found = stored(candidates(index_rows(rows, threshold, min_words, counts, twice), threshold).distinct())
+    found = materialize(candidates(index_rows(rows, threshold, min_words, counts, twice), threshold).distinct())
     compared = Bloom.of(found.where("cluster is not null").select("set"))
-    lines = stored(lines_of(rows, Bloom.of(found.select("set")), compared, min_words, counts))
+    lines = materialize(lines_of(rows, Bloom.of(found.select("set")), compared, min_words, counts))
     first = lines.groupBy("set").agg(F.min(F.struct("ord", "line")).alias("p")).select("set", "p.ord", "p.line")
     tokens = lines.where("tokens is not null").select("set", "tokens").dropDuplicates(["set"])
     pool = found.where("cluster is not null").join(first.join(tokens, "set"), "set")
