@@ -297,3 +297,56 @@ PROMPT_TEMPLATES = (
     "I need a study plan. I am {age_phrase}, based in {location_phrase}, working toward a career in {occupation}.",
     "Draft a short bio for me: {age_phrase}, {occupation}, {education_phrase}, based in {location_phrase}.",
 )
+
+# Tests and cuts of the persona pruning.
+DISCLOSURE_VETO = (
+    r"\b(?:patient|client|plaintiff|defendant|subject|infant|child|algorithm|code|server|database"
+    r"|male|female|woman|man|presents? with|presenting with|case of)\b"
+)
+DISCLOSURE = (
+    r"^(?:I am|I'm|As|Being|Currently|My name is)\b",
+    r"^(?:I live in|I work as|I work at|I make|I earn|I have worked|I work)\b",
+    r"^(?:FYI,?|By the way,?|Note that|P\.?S\.?)\s+(?:I am|I'm|I live|I work|I earn|I'm a)",
+    r"\b(?:retired|freshman|senior partner|cardiologist|software engineer|resident at|doctor|nurse)\b",
+    r"\b\d{1,2}[-\s]*(?:years?[-\s]*old|yo|y/o)\b",
+)
+PAREN_WORDS = ("earning", "salary", "living in", "student", "freshman", "engineer", "doctor", "cardiologist")
+SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9])"
+BACK_REFERENCE = (
+    r"\b(?:these\s+credentials|this\s+background|my\s+background|my\s+profile|"
+    r"my\s+stats|my\s+qualifications|these\s+stats|am\s+I\s+qualified|eligible|chances?\s+of)\b"
+)
+LEADING_CLAUSE = (
+    r"(?is)^(?:As|Being|Since I am|Given that I am|I am|I'm)\s+[^,;\n]+?,\s*"
+    r"(can\b|could\b|please\b|how\b|what\b|why\b|where\b|when\b|who\b|is\b|are\b|do\b|does\b|would\b)(.*)$"
+)
+EMBEDDED_CLAUSE = (
+    r"(?i)\s*,?\s*\bas\s+(?:an?|\d{1,2})\b[^.,;\n]*?(?:\b(?:years?\s+old|yo|y/o|professional|engineer|developer|doctor|lawyer|"
+    r"consultant|worker|nurse|manager)\b)[^.,;\n]*"
+)
+TRAILING_CLAUSE = (
+    r"(?i)\s*(?:(?:By the way|FYI|Note|P\.?S\.?)[:,\s]+)?(?:I am|I'm|I live in|Living in|Working as|I work as|I earn|Earning|My age is|As an?)\s+"
+    r"(?!.*?\b(?:can\b|could\b|please\b|help\b|how\b|what\b|why\b|where\b|when\b|who\b|recommend\b))[^\n]*?[.!?]?$"
+)
+
+# The general candidate's replacements, in order, case-insensitive.
+GENERAL = (
+    (rf"\b(?:a\s+|an\s+)?(?:{AGE_PHRASE})\b", "an adult"),
+    (r"\b(?:in|to|from)\s+(?:Miami Beach|Miami|Pittsburgh|Denver|Seattle|Austin|New York|Boston|Chicago|San Francisco|London|Paris|Tokyo)[,\sA-Z]*\b", "locally"),
+    (r"\b(?:Miami Beach|Miami|Pittsburgh|Denver|Seattle|Austin|New York|Boston|Chicago|San Francisco)[,\sA-Z]*\b", "the area"),
+    (
+        r"\b(?:work as|employed as|employed at|working as|internship in|intern at)\s+(?:a\s+|an\s+|my\s+)?"
+        r"(?:software engineer|lawyer|doctor|cardiologist|nurse|barista|consultant|designer|engineer|teacher|summer internship)\b",
+        "professional role",
+    ),
+    (r"\b(?:software engineer|lawyer|doctor|cardiologist|nurse|barista|consultant|designer)\b", "professional"),
+    (r"\b(?:tech startup|startup|tech company|firm|clinic|hospital)\b", "company"),
+    (r"\b(?:undergrad at|attending|student at|degree from|graduated from|freshman at)\s+[A-Za-z\s]+(?:University|College|Mellon|MIT)?\b", "college student"),
+    (r"\b(?:undergrad|Carnegie Mellon|MIT|Stanford|Harvard|Berkeley)\b", "university"),
+    (r"\b(a|an)\s+(a|an)\b", "$1"),
+)
+MORE_GENERAL = (
+    (r"\bmy\s+(?:boss|manager|director|colleagues)\b", "colleagues"),
+    (r"\bwork as\s+(?:a\s+|an\s+)?\w+\b", "work in my role"),
+    (r"\bwork in my profession\b", "work in my role"),
+)

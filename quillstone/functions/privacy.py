@@ -111,7 +111,7 @@ def taxonomy_label(attribute: str, raw: Column) -> Column:
     text = F.lower(F.trim(F.coalesce(raw.cast("string"), F.lit(""))))
     if attribute == "age":
         digits = F.regexp_extract(text, r"\d+", 0)
-        return F.when(digits == "", "UNKNOWN").otherwise(age_label(F.expr("cast(null as int)") if False else digits.cast("decimal(38,0)")))
+        return F.when(digits == "", "UNKNOWN").otherwise(age_label(digits.cast("decimal(38,0)")))
     return F.when(text == "", "UNKNOWN").otherwise(cascade(text, P.CASCADE_EVAL[attribute]))
 
 

@@ -161,7 +161,6 @@ def _(spark, sf):
 
 # --- tokens, similarity, entailment, utility ---
 
-_COS = """(SELECT coalesce(sum(x.n * y.n), 0) FROM (SELECT w, count(*) AS n FROM (SELECT unnest(ta) AS w) GROUP BY w) x JOIN (SELECT w, count(*) AS n FROM (SELECT unnest(tb) AS w) GROUP BY w) y ON x.w = y.w)"""
 _PAIR = f"""{SHORT}, tk AS (SELECT conv_id, turn, {TOK.format('text')} AS ta, {TOK.format('other')} AS tb FROM sen),
     wa AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(ta) AS w FROM tk) GROUP BY ALL),
     wb AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(tb) AS w FROM tk) GROUP BY ALL),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillstone.plans import privacy_queries
+from quillstone.plans import flow_queries, metric_queries, privacy_queries
 
-QUERIES = dict(privacy_queries.QUERIES)
-ORACLE_SQL = dict(privacy_queries.ORACLE_SQL)
+QUERIES = privacy_queries.QUERIES | metric_queries.QUERIES | flow_queries.QUERIES
+ORACLE_SQL = privacy_queries.ORACLE_SQL | metric_queries.ORACLE_SQL | flow_queries.ORACLE_SQL
 FLAGSHIP = privacy_queries.leakage
