@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from quillstone.plans import flow_queries, metric_queries, privacy_queries
+from quillstone.plans.deploy import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
-QUERIES = privacy_queries.QUERIES | metric_queries.QUERIES | flow_queries.QUERIES
-ORACLE_SQL = privacy_queries.ORACLE_SQL | metric_queries.ORACLE_SQL | flow_queries.ORACLE_SQL
-FLAGSHIP = privacy_queries.leakage
+QUERIES: dict[str, Query] = {k: _shipped(f) for k, f in (privacy_queries.QUERIES | metric_queries.QUERIES | flow_queries.QUERIES).items()}
+ORACLE_SQL: dict[str, str] = privacy_queries.ORACLE_SQL | metric_queries.ORACLE_SQL | flow_queries.ORACLE_SQL
+FLAGSHIP = QUERIES["win01_05_leakage"]
