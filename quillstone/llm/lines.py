@@ -398,7 +398,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """docs with the removed lines taken out of the text, and the columns n_lines and n_removed (longs) at the end. Other
     columns stay as they are; the rest of a text keeps its order and its line breaks."""
-    gone = removals(docs, id_col, text_col, threshold, min_words).toDF("__id", "__hash", "__removed")
+    # Written first, so that the shuffles behind it can go before the texts are shuffled.
+    gone = materialize(removals(docs, id_col, text_col, threshold, min_words)).toDF("__id", "__hash", "__removed")
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
     parts = F.split(docs[text_col], "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed")), lambda i: parts[i])
