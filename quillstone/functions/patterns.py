@@ -350,3 +350,21 @@ MORE_GENERAL = (
     (r"\bwork as\s+(?:a\s+|an\s+)?\w+\b", "work in my role"),
     (r"\bwork in my profession\b", "work in my role"),
 )
+
+# Contexts in which a bank match says nothing about the author.
+STATUTE_AFTER = r"\s+(?:State\s+)?[A-Z][\w\s]{0,30}?(?:Code|Act|Laws?|Statute|Ordinance|Regulation|Chapter|Title|Section|Division|Court|RCW)\b"
+OTHER_PERSON_AFTER = r"\s+(?:patient|client|plaintiff|defendant|infant|child|female|male|woman|man|girl|boy)\b"
+SCHOOL_TARGET_BEFORE = (
+    r"(?:\b(?:get into|getting into|apply to|applying to|admission to|admitted to|enrolling in|enrolled in|pursue|pursuing|target|targetting|acceptance into)\s+(?:an?\s+)?"
+    r"|\b(?:program at|degree at|school at|studies at|master(?:'s)? at|mba at|phd at)\s+)$"
+)
+# Repairs after a replacement, in order.
+REPAIRS = (
+    (r"\s{2,}", " "),
+    (r"\s+([,.;:!?])", "$1"),
+    (r"(?<!\w),\s*,", ","),
+    (r"^\s*[,;:]\s*", ""),
+    (r"(?i)\b(?:a|an|the)\s+(?=(?:a|an|the|my)\b)", ""),
+    (r"\ba\s+(?=[aeiouAEIOU]|(?:MBA|MD|MS|MA|HR|LLC)\b)", "an "),
+    (r"\ban\s+(?=[^aeiouAEIOU\s])(?!(?:MBA|MD|MS|MA|HR|LLC)\b)", "a "),
+)

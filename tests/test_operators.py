@@ -64,3 +64,20 @@ def test_files(spark, tmp_path):
     with pytest.raises(PermissionError):
         files.verified(spark, str(tmp_path / "test.jsonl"), "0" * 64)
     assert files.flattened({"a": {"b": 1, "c": [1, 2]}}) == [("a.b", "1"), ("a.c", "[1, 2]")]
+
+
+def test_bank(spark, tmp_path):
+    from quillstone.operators import banks
+    from quillstone.sources.banks import read_bank
+
+    (tmp_path / "cities.json").write_text(json.dumps({"attribute": "location", "generalizations": ["my area"], "entries": [{"value": "New York", "variants": ["NYC"]}, {"value": "York"}]}))
+    (tmp_path / "jobs.json").write_text(json.dumps({"attribute": "occupation", "generalizations": [], "entries": [{"value": "nurse", "generalizations": ["a health worker"]}]}))
+    (tmp_path / "age.json").write_text(json.dumps({"attribute": "age", "entries": [{"pattern": r"\b\d{2}-year-old\b"}]}))
+    bank = read_bank(*(str(tmp_path / f"{n}.json") for n in ("cities", "jobs", "age")))
+    texts = ["I am a nurse in New York , a 34-year-old.", "New York State Penal Law", "a 34-year-old patient in Newyork", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").withColumn("m", banks.matches(F.col("t"), bank))
+    rows = {r["id"]: r for r in df.select("id", "m", banks.neutral(F.col("t"), F.col("m")).alias("n")).collect()}
+    assert [(m["attribute"], m["surface"]) for m in rows[0]["m"]] == [("occupation", "nurse"), ("location", "New York"), ("age", "34-year-old")]
+    assert rows[0]["n"] == "I am a health worker in my area, a."
+    assert rows[1]["n"] == texts[1] and rows[2]["n"] == texts[2]
+    assert rows[3]["m"] == [] and rows[3]["n"] is None
