@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import patterns as P
+from quillstone.functions import text as T
 from quillstone.operators.splits import seeded_key
 
 
@@ -40,3 +41,29 @@ def content_hash(rows: DataFrame, by: str, order: str, content: Column) -> DataF
     ordered text, so a group must fit a task; it is meant for manifests of splits."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), content.alias("c")))), lambda x: x["c"])
     return rows.groupBy(by).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+
+# Limits of the acceptance gate.
+MOST_CONTRADICTION, LEAST_ENTAILMENT, LEAST_COSINE = 0.2, 0.5, 0.5
+
+
+def judged(rows: DataFrame, original: str, candidate: str, runs: str) -> DataFrame:
+    """rows with reason: the first gate a candidate fails, or null if it is accepted. runs: the token runs (arrays) that
+    must not appear in it. Gates in order: empty, unchanged, degenerate, leak, contradiction, drifted (neither entailed nor
+    close). Every part is a column of its own, so none is evaluated twice."""
+    a, b = F.col(original), F.col(candidate)
+    forward, c1 = T.entailment_a(a, b)
+    _, c2 = T.entailment_a(b, a)
+    words = T.alnum_tokens(b)
+    parts = {
+        "__deg": T.degeneracy(a, b), "__leak": F.exists(F.col(runs), lambda r: T.contains_run(words, r)), "__f": forward,
+        "__c": F.greatest(c1, c2), "__cos": T.token_cosine(a, b), "__same": T.squeezed(a) == T.squeezed(b),
+    }
+    out = rows.withColumns(parts)
+    drifted = (F.col("__f") < LEAST_ENTAILMENT) & (F.col("__cos") < LEAST_COSINE)
+    reason = (
+        F.when(F.trim(F.coalesce(b, F.lit(""))) == "", "empty").when(F.col("__same"), "unchanged")
+        .when(F.col("__deg").isNotNull(), F.concat(F.lit("degenerate:"), "__deg")).when(F.col("__leak"), "leak")
+        .when(F.col("__c") > MOST_CONTRADICTION, "contradiction").when(drifted, "drifted")
+    )
+    return out.withColumn("reason", reason).drop(*parts)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import privacy as V
 from quillstone.functions import text as T
-from quillstone.operators import splits
+from quillstone.operators import curation, splits
 from quillstone.plans.inputs import SHORT, pick, quoted, read, sentences, sql_pick
-from quillstone.plans.privacy_queries import _PAIR
+from quillstone.plans.privacy_queries import _C1, _C2, _DEG, _F, _PAIR
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -153,3 +153,14 @@ def _(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), V.band(F.col("o_custkey") % 101 / 100.0).alias("band"))
 
 
+
+
+_RUN = ("denver", "software engineer", "alice smith")
+
+
+@query("str41_judged", f"""WITH {_PAIR}, z AS (SELECT pair.*, text, other, {_DEG} AS deg, {_F} AS f, greatest({_C1}, {_C2}) AS c, ' ' || array_to_string(regexp_extract_all(lower(other), '[a-z0-9]+'), ' ') || ' ' AS w FROM pair JOIN sen USING (conv_id, turn))
+    SELECT conv_id, turn, CASE WHEN trim(other) = '' THEN 'empty' WHEN text = other THEN 'unchanged' WHEN deg IS NOT NULL THEN 'degenerate:' || deg WHEN {' OR '.join(f"contains(w, ' {r} ')" for r in _RUN)} THEN 'leak'
+        WHEN c > 0.2 THEN 'contradiction' WHEN f < 0.5 AND cosine < 0.5 THEN 'drifted' END AS reason FROM z""")
+def _(spark, sf):
+    runs = F.array(*(F.array(*map(F.lit, r.split(" "))) for r in _RUN))
+    return curation.judged(sentences(spark, sf).withColumn("runs", runs), "text", "other", "runs").select("conv_id", "turn", "reason")
