@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillstone.functions import patterns as P
 from quillstone.functions import privacy as V
 from quillstone.functions import text as T
 from quillstone.operators import curation, splits
@@ -164,3 +165,17 @@ _RUN = ("denver", "software engineer", "alice smith")
 def _(spark, sf):
     runs = F.array(*(F.array(*map(F.lit, r.split(" "))) for r in _RUN))
     return curation.judged(sentences(spark, sf).withColumn("runs", runs), "text", "other", "runs").select("conv_id", "turn", "reason")
+
+
+_HEAD = "trim(regexp_split_to_array(t, ',\\s*(?:and\\s+|can\\s+|could\\s+|please\\s+|help\\s+)?')[1])"
+_CLOSE = "CASE WHEN contains(t, '?') THEN '?' ELSE '.' END"
+
+
+@query("str43_negatives", f"""WITH {SHORT}, a AS (SELECT conv_id, turn, trim(text) AS s, trim(other) AS t, upper({sql_pick(P.ATTRIBUTES, 'conv_id')}) AS att FROM sen), b AS (SELECT *, {_HEAD} AS h, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') AS w FROM a),
+    c AS (SELECT *, CASE WHEN regexp_matches(h, '[?.]$') THEN h ELSE h || {_CLOSE} END AS cl, len(list_filter(regexp_split_to_array(h, '\\s+'), lambda x: x <> '')) AS hn, regexp_replace(t, '\\bmy (?:work|role|area|studies)\\b', '[' || att || ']', 'g') AS tg FROM b),
+    n AS (SELECT conv_id, turn, t, 'truncation_over_scrub' AS kind, CASE WHEN h <> t AND hn >= 4 AND cl <> t THEN cl WHEN len(w) >= 12 THEN array_to_string(w[1:len(w) // 2], ' ') || {_CLOSE} END AS text FROM c
+        UNION ALL SELECT conv_id, turn, t, 'pii_leak_under_scrub', s FROM c UNION ALL SELECT conv_id, turn, t, 'syntax_placeholder_degenerate', CASE WHEN trim(tg) <> t THEN trim(tg) ELSE '[' || att || ']: ' || t END FROM c)
+    SELECT conv_id, turn, kind, text FROM n WHERE text IS NOT NULL AND text <> t""")
+def _(spark, sf):
+    rows = sentences(spark, sf).select("conv_id", "turn", F.explode(curation.negatives(F.col("other"), F.col("text"), pick(P.ATTRIBUTES, F.col("conv_id")))).alias("n"))
+    return rows.select("conv_id", "turn", "n.kind", "n.text")
