@@ -398,12 +398,27 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """docs with the removed lines taken out of the text, and the columns n_lines and n_removed (longs) at the end. Other
     columns stay as they are; the rest of a text keeps its order and its line breaks."""
-    # Written first, so that the shuffles behind it can go before the texts are shuffled.
     gone = materialize(removals(docs, id_col, text_col, threshold, min_words)).toDF("__id", "__hash", "__removed")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
-    parts = F.split(docs[text_col], "\n")
+    # Texts that lose nothing, as a filter of fixed size tells, are not shuffled.
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(gone.select(F.xxhash64("__id", "__hash").alias("k"))))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    rows = docs.toDF(*names)
+    rows = rows.withColumn("__text_hash", F.xxhash64(text)).withColumn("__k", F.xxhash64(own, "__text_hash"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            may = shared.value.test(batch.column(batch.num_columns - 1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(may)], [*batch.schema.names[:-1], "__may"])
+
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    rows = rows.mapInArrow(run, f"{schema}, __text_hash long, __may boolean")
+    losing = rows.where("__may").join(gone, rows[own].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").select(*names, "__removed")
+    whole = rows.where("NOT __may").select(*names, F.lit(None).cast("array<int>").alias("__removed"))
+    parts = F.split(text, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed")), lambda i: parts[i])
-    text = F.when(F.col("__removed").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    n_lines = F.when(docs[text_col].isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines")
-    return joined.select(*columns, n_lines, F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"))
+    rest = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long")
+    columns = [rest if n == text else F.col(n) for n in names]
+    out = losing.unionByName(whole).select(*columns, n_lines, F.coalesce(F.size("__removed"), F.lit(0)).cast("long"))
+    return out.toDF(*docs.columns, "n_lines", "n_removed")
