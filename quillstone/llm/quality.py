@@ -4,7 +4,7 @@ Each indicator is scaled by its class log-count ratio, each document's vector to
 model is fitted by dual coordinate descent. A logistic curve, fitted on the training margins, turns margins into scores.
 
 The model is fitted on the driver from a bounded sample of labelled rows (`max_rows`, chosen by a hash of the id); each
-row, copies once, reaches the driver as its set of at most 2^18 indicator numbers. Scoring covers every whole text.
+row reaches the driver as its set of at most 2^18 indicator numbers. Scoring covers every whole text.
 
 Defined cases: null and empty texts have no indicator and get the bias's score; labels that are null are no labels; a
 document with several labels teaches each of them; with labels of one class or none the score is that class's share
@@ -148,8 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known = known.where(part < int(1_000_003 * max_rows / total))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = texts.join(F.broadcast(known), "id").select("y", "text").mapInArrow(run, "y int, slots binary")
-    # Copies teach once; were one id to hold very many texts, the bound would still be four times max_rows.
-    found = found.distinct().limit(4 * max_rows).collect()
+    found = found.collect()
     found.sort(key=lambda r: (r["y"], bytes(r["slots"])))  # whatever order the tasks ended in
     return fit_rows([np.frombuffer(r["slots"], np.uint32).astype(np.int64) for r in found], np.array([r["y"] for r in found], np.int64))
 
