@@ -33,6 +33,8 @@ from quillstone.llm.sketch import SLICES, Bloom, merged
 COUNT_BITS, TWICE_BITS = 18, 25
 #: Bytes of text that numpy works on at once.
 PART_BYTES = 1 << 20
+#: Bytes of sorted rows that are handled at once, beyond a run.
+RUN_BYTES = 1 << 24
 #: Uses of a token from which it is indexed in pairs.
 COMMON = 20_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 11, 12, 13) else b for b in range(256))
@@ -98,11 +100,12 @@ class _Tokens:
         return h, np.searchsorted(breaks, begin), text, number
 
 
-def token_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def token_counts(docs: DataFrame, tokens: _Tokens | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all tokens by hash bucket, and a bit map of the buckets (many more) that two uses fall in."""
+    tokens = tokens or _Tokens()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = _Tokens(), np.zeros(1 << COUNT_BITS, np.int64)
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
         once, twice = np.zeros(1 << TWICE_BITS, bool), np.zeros(1 << TWICE_BITS, bool)
         for part in (p for batch in it for p in tokens.parts(batch.column(0).to_pylist())):
             h = np.sort(tokens(part)[0])
@@ -169,10 +172,11 @@ def _pairs_of_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice) -> DataFrame:
+def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice, tokens: _Tokens | None = None) -> DataFrame:
     """(key, set, parity, form): the indexed tokens of each task's distinct sets. form holds the size, the token's place
     in 31 bits each and, as its sign, whether the task has the set more than once."""
     shared = docs.sparkSession.sparkContext.broadcast((counts, twice))  # fixed sizes
+    tokens = tokens or _Tokens()
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         name, size, parity = (np.concatenate([h[k] for h in held]) for k in range(3))
@@ -193,7 +197,7 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice)
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, twice = shared.value
         twice = np.unpackbits(twice).view(bool)
-        tokens, held, lines = _Tokens(), [], 0
+        held, lines, entries = [], 0, 0
         common = max(COMMON, 50 * counts.mean())
         for part in (p for batch in it for p in tokens.parts(batch.column(0).to_pylist())):
             s = _Sets(tokens, part, counts, min_words)
@@ -202,7 +206,8 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice)
             reach = (s.size - _least_overlap(s.size, threshold))[s.line]  # the last place of the prefix
             near = np.flatnonzero(s.place <= reach)
             near = near[twice[(s.token[near] & np.uint64((1 << TWICE_BITS) - 1)).astype(np.int64)]]
-            rare, often = near[s.rarity[near] <= common], near[s.rarity[near] > common]
+            alone = (s.rarity[near] <= common) | (s.size[s.line[near]] == 1)  # a set of one token has no second one
+            rare, often = near[alone], near[~alone]
             lines_, keys, places = [s.line[rare]], [s.token[rare]], [s.place[rare]]
             step = 1
             while len(often):  # a common token goes with each later token of the prefix, which is one longer
@@ -217,9 +222,10 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice)
                 step += 1
             held.append((s.set, s.size, s.parity, np.concatenate(lines_), np.concatenate(keys), np.concatenate(places)))
             lines += len(s.size)
-            if lines > 100_000:
+            entries += len(held[-1][4])
+            if lines > 100_000 or entries > 1_000_000:
                 yield flush(held)
-                held, lines = [], 0
+                held, lines, entries = [], 0, 0
         if held:
             yield flush(held)
 
@@ -229,7 +235,7 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice)
 def _runs(it: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
     """handle(columns of complete runs of equal first columns) over sorted batches."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
 
     def whole() -> pa.Table:
         return pa.Table.from_batches(held).combine_chunks()
@@ -239,7 +245,8 @@ def _runs(it: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < 20_000 or batch.column(0)[-1].as_py() == held[0].column(0)[0].as_py():
+        size += batch.nbytes
+        if (rows < 20_000 and size < RUN_BYTES) or batch.column(0)[-1].as_py() == held[0].column(0)[0].as_py():
             continue
         t = whole()
         keys = t.column(0).to_numpy()
@@ -247,7 +254,7 @@ def _runs(it: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
         if cut:
             yield from handle(t.slice(0, cut))
         held = t.slice(cut).to_batches()
-        rows = sum(b.num_rows for b in held)
+        rows, size = sum(b.num_rows for b in held), sum(b.nbytes for b in held)
     if held:
         yield from handle(whole())
 

@@ -181,18 +181,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = of_doc.groupBy("fp").agg(F.min("id").alias("least")).join(root, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     component = root.join(least, "root").select("fp", "component_id")
     return of_doc.join(component, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """docs' rows, one of each component: that of the smallest id (null last), of equal ids that of the smallest text
-    hash, of rows equal in id and text any one."""
-    text_hash = F.xxhash64(docs[text_col])
-    of_doc = stored(fingerprints(docs.select(F.struct(docs[id_col].isNull().alias("no"), docs[id_col].alias("id"), text_hash.alias("hash")).alias("id"), docs[text_col].alias("text")), "id", "text", shingle))
-    root = stored(_roots(of_doc, bits))
-    least = of_doc.groupBy("fp").agg(F.min("id").alias("least")).join(root, "fp").groupBy("root").agg(F.min("least").alias("least"))
-    chosen = least.select(F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("__text_hash", F.xxhash64(names[docs.columns.index(text_col)]))
-    own = names[docs.columns.index(id_col)]
-    kept = rows.join(chosen, rows[own].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    return kept.dropDuplicates([own, "__text_hash"]).drop("__text_hash").toDF(*docs.columns)
