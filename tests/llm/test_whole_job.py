@@ -1,8 +1,9 @@
 """Cases that an operator must do whole: near copies at the threshold, short lines, doubled passages under hot anchors."""
 
-import collections
 import random
 
+import pytest
+
 import corpus_pipeline
 from quillstone.llm import lines
 from quillstone.llm.common import ship, words
@@ -41,3 +42,21 @@ def test_near_duplicates_at_the_threshold(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = sorted(x["doc_id"] for x in corpus_pipeline.stage_near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(root))
+
+
+@pytest.mark.parametrize("common", [0, 20_000])
+def test_short_lines_go_too(spark, common, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(lines, "COMMON", common)
+    texts = ["Home\nAbout us\n\na b c d\n\u4e00\u4e01\u4e02", None, "about  US\nHOME\n \nus\n\u4e00\u4e01\u4e02", "a b c d e\nd c b a\nhome\na b c\n\nnew", "home page\na b c e"]
+    seen, want = [], {}
+    for i, text in enumerate(texts):
+        kept = []
+        for line in (text or "").split("\n"):
+            s = set(words(line))
+            if not any(s and 5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                kept.append(line)
+            seen.append(s)
+        want[i] = None if text is None else "\n".join(kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.stage_lines(spark, docs, "").collect()} == want
