@@ -6,7 +6,7 @@ windows with the same anchor form a run. Anchors are counted over all texts; run
 repeat. The segments (the bytes of the runs) of one anchor are brought together, equal ones once, and the windows that
 repeat among them are those the merge puts into an interval with others. So the work that needs all of a group is
 bounded by the distinct segments of an anchor; an anchor that very many places share is cut further, by the bytes that
-eight neighbouring windows have in common.
+eight neighbouring windows have in common, counted from the anchor's first gram in each window.
 
 Texts that are equal as a whole count once in all this and are removed as a whole where they reach the length.
 
@@ -74,7 +74,8 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, end, anchor, place of the anchor's gram, whether the gram occurs again in the run's bytes)."""
+    """(first window, end, anchor, places of the anchors' grams in the runs' bytes, where each run's places begin and, last,
+    end)."""
     width = length - gram + 1
     h = _gram_hashes(data, gram)
     m = _sliding_min(h, width)
@@ -86,8 +87,7 @@ def runs(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, n
     at = np.arange(int(span.sum())) + np.repeat(first - begin, span)
     hit = np.flatnonzero(h[at] == np.repeat(anchor, span))
     owner = np.searchsorted(begin, hit, side="right") - 1
-    lead = np.r_[True, owner[1:] != owner[:-1]]
-    return first, end, anchor.view(np.int64), at[hit[lead]], np.bincount(owner, minlength=len(first)) > 1
+    return first, end, anchor.view(np.int64), at[hit], np.searchsorted(owner, np.arange(len(first) + 1))
 
 
 def _mixed(key: tuple[int, int], at: np.ndarray) -> np.ndarray:
@@ -110,8 +110,8 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in it:
             a, p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for key, data in _encoded(batch, length):
-                first, _, anchor, _, more = runs(np.frombuffer(data, np.uint8), length, gram)
-                again = np.flatnonzero(more)
+                first, _, anchor, _, begin = runs(np.frombuffer(data, np.uint8), length, gram)
+                again = np.flatnonzero(np.diff(begin) > 1)
                 a += [anchor, anchor[again]]
                 p += [_mixed(key, first), _mixed(key, -first[again] - 1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(p))], ["anchor", "place"])
@@ -125,19 +125,20 @@ def segments(texts: DataFrame, length: int, gram: int, repeated: Bloom, hot: np.
     once, and marks (shown) at most two of their places for the merge."""
     shared = texts.sparkSession.sparkContext.broadcast((repeated, hot))
 
-    def cut(data: bytes, first: int, end: int, anchor: int, place: int, more: bool, is_hot: bool) -> Iterator[tuple[int, int, int]]:
+    def cut(data: bytes, first: int, end: int, anchor: int, places: list[int], is_hot: bool) -> Iterator[tuple[int, int, int]]:
         """(bucket, first window, end) of a run's segments."""
-        if not is_hot or more:
+        if not is_hot:
             for at in range(first, end, MOST_WINDOWS):
                 yield anchor, at, min(at + MOST_WINDOWS, end)
             return
         at = first
-        while at < end:  # pieces are counted from the anchor, so that equal windows are in equal pieces
-            piece = (place - at) // PIECE
-            stop = min(end, place - piece * PIECE + 1)
-            core = data[place - piece * PIECE : place - piece * PIECE - PIECE + 1 + length]
-            yield xxhash.xxh64_intdigest(core, anchor & (1 << 63) - 1) - (1 << 63), at, stop
-            at = stop
+        for place in places:  # pieces are counted from a window's first anchor, so that equal windows are in equal pieces
+            while at < min(end, place + 1):
+                piece = (place - at) // PIECE
+                stop = min(end, place - piece * PIECE + 1)
+                core = data[place - piece * PIECE : place - piece * PIECE - PIECE + 1 + length]
+                yield xxhash.xxh64_intdigest(core, anchor & (1 << 63) - 1) - (1 << 63), at, stop
+                at = stop
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, hot = shared.value
@@ -145,14 +146,15 @@ def segments(texts: DataFrame, length: int, gram: int, repeated: Bloom, hot: np.
         for batch in it:
             rows: list[tuple] = []
             for key, data in _encoded(batch, length):
-                first, end, anchor, place, more = runs(np.frombuffer(data, np.uint8), length, gram)
+                first, end, anchor, place, begin = runs(np.frombuffer(data, np.uint8), length, gram)
                 hit = np.flatnonzero(repeated.test(anchor))
                 if not len(hit):
                     continue
                 is_hot = np.isin(anchor[hit], hot)
                 for i, h in zip(hit.tolist(), is_hot.tolist(), strict=True):
-                    again = bool(more[i])
-                    for bucket, a, b in cut(data, int(first[i]), int(end[i]), int(anchor[i]), int(place[i]), again, h):
+                    places = place[begin[i] : begin[i + 1]].tolist()
+                    again = len(places) > 1
+                    for bucket, a, b in cut(data, int(first[i]), int(end[i]), int(anchor[i]), places, h):
                         segment = data[a : b - 1 + length]
                         digest = xxhash.xxh3_128_digest(segment)
                         s = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillstone.llm import lines
+from quillstone.llm import lines, repeats
 from quillstone.llm.common import ship, words
 
 
@@ -60,3 +61,33 @@ def test_short_lines_go_too(spark, common, monkeypatch):
         want[i] = None if text is None else "\n".join(kept)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.stage_lines(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize("hot", [2, 20_000])
+def test_doubled_passages_under_hot_anchors(spark, hot, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    r = random.Random(4)
+
+    def some(n):
+        return bytes(r.choice(b"abcdefgh ") for _ in range(n)).decode()
+
+    texts = ["-" * 450, "-" * 300 + some(50), "ab" * 150 + some(80), "c" + "ab" * 120]
+    for size in (85, 95, 105, 115, 120):
+        for _ in range(4):
+            x, passage = some(150), some(size)
+            texts += [x + passage * 2 + some(150), x + passage + some(150), some(150) + passage + some(150), some(90) + passage * 3 + some(90), x[40:] + passage + some(60)]
+    data = [t.encode() for t in texts]
+    count = {}
+    for b in data:
+        for p in range(len(b) - 199):
+            count[b[p : p + 200]] = count.get(b[p : p + 200], 0) + 1
+    want = {}
+    for i, b in enumerate(data):
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 199):
+            if count[b[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        want[i] = (int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in repeats.digests(docs).collect()} == want
