@@ -7,14 +7,18 @@ ones among them, stay. What counts is the input: a line that goes itself still r
 Tokens are ordered by rarity (counts over all lines, kept in a sketch of fixed size; any common order gives the same
 result). Two lines can only be similar if they share a token in their prefixes, so only prefix tokens are indexed, and of
 these only those that may occur twice. Under each token lines meet sorted by size; the length filter, the positional
-filter and a parity-bit filter (each token that only one line has flips one bit) leave few candidates, whose Jaccard
-similarity is then verified on the whole sets. A token that is very common is indexed together with the next token of
-the prefix, as two similar lines share at least two. Equal sets within a task count once before anything is shuffled, and
-of a group of similar lines only each line's earliest match is kept, never all pairs.
+filter, the shorter indexing prefix of the smaller set and a parity-bit filter (each token that only one line has flips
+one bit) leave few candidates. A token that is very common is indexed together with the next token of the prefix, as two
+similar lines of two or more words share at least two. Sets that meet are put into clusters, named by the smallest set of
+the cluster that the smallest set itself is in, so that near copies of one line are mostly in one cluster and their tokens
+travel once; clusters beyond CLUSTER_ROWS are compared in pairs of blocks. There Jaccard is verified on the whole sets, with
+the earliest set of every cluster compared first, and a set that has met an earlier similar one is not compared again. All
+pairs are never written. Equal sets within a task count once before anything is shuffled.
 
 Defined cases: null text stays null; ids may be null (first in the order) or repeated (lines of the same id and number
-are not earlier than each other); whole-number ids are ordered by value, others by hash. Sets are named by 64-bit
-hashes.
+are not earlier than each other); whole-number ids are ordered by value, others by hash. Sets are named by 128 bits; the
+index carries 64 of them, which only decides who is compared. Columns of the input named n_lines or n_removed give way to
+the ones of the result.
 """
 
 from __future__ import annotations
@@ -37,14 +41,21 @@ PART_BYTES = 1 << 20
 RUN_BYTES = 1 << 24
 #: Uses of a token from which it is indexed in pairs.
 COMMON = 20_000
+#: Sorted rows that are handled at once, beyond a run.
+ROWS_AT_ONCE = 200_000
+#: Sets of a cluster that one task compares with each other; larger clusters are dealt out in pairs of blocks.
+CLUSTER_ROWS = 20_000
+#: Candidate pairs of sets, and tokens, that numpy works on at once.
+PAIRS_AT_ONCE = 1 << 21
+TOKENS_AT_ONCE = 1 << 21
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b in (9, 11, 12, 13) else b for b in range(256))
 # Word hashes are differences of prefix sums of byte values times powers of an odd number, modulo 2^64.
 _STEP = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+def _mix(h: np.ndarray, by: int = 0x94D049BB133111EB) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(by)
     return h ^ h >> np.uint64(30)
 
 
@@ -134,8 +145,8 @@ def token_counts(docs: DataFrame, tokens: _Tokens | None = None) -> tuple[np.nda
 
 
 class _Sets:
-    """Lines of a part of a batch as sets, ordered by rarity. Arrays by line: set (name), size, parity, text, number; by token:
-    token, rarity, line, place (in its line's order)."""
+    """Lines of a part of a batch as sets, ordered by rarity. Arrays by line: set and twin (the halves of its name), size,
+    parity, text, number; by token: token, rarity, line, place (in its line's order)."""
 
     def __init__(self, tokens: _Tokens, part: list[tuple[int, int, bytes]], counts: np.ndarray, min_words: int):
         h, line, text, number = tokens(part)
@@ -159,10 +170,17 @@ class _Sets:
         self.place = np.arange(len(self.token)) - self.start[self.line]
         if len(self.size):
             self.set = np.add.reduceat(_mix(self.token), self.start).view(np.int64)
-            self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (self.token >> np.uint64(8) & np.uint64(63)), self.start).view(np.int64)
+            self.parity = _parities(self.token, self.start)
         else:
             self.set = self.parity = np.zeros(0, np.int64)
 
+    def twin(self) -> np.ndarray:
+        return np.add.reduceat(_mix(self.token, 0xD6E8FEB86659FD93), self.start).view(np.int64) if len(self.size) else np.zeros(0, np.int64)
+
+
+def _parities(token: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduceat(np.uint64(1) << (token >> np.uint64(8) & np.uint64(63)), start).view(np.int64)
+
 
 def _least_overlap(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * size - 1e-9).astype(np.int64)
@@ -198,7 +216,6 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice,
         counts, twice = shared.value
         twice = np.unpackbits(twice).view(bool)
         held, lines, entries = [], 0, 0
-        common = max(COMMON, 50 * counts.mean())
         for part in (p for batch in it for p in tokens.parts(batch.column(0).to_pylist())):
             s = _Sets(tokens, part, counts, min_words)
             if not len(s.size):
@@ -206,7 +223,7 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice,
             reach = (s.size - _least_overlap(s.size, threshold))[s.line]  # the last place of the prefix
             near = np.flatnonzero(s.place <= reach)
             near = near[twice[(s.token[near] & np.uint64((1 << TWICE_BITS) - 1)).astype(np.int64)]]
-            alone = (s.rarity[near] <= common) | (s.size[s.line[near]] == 1)  # a set of one token has no second one
+            alone = (s.rarity[near] <= COMMON) | (s.size[s.line[near]] == 1)  # a set of one token has no second one
             rare, often = near[alone], near[~alone]
             lines_, keys, places = [s.line[rare]], [s.token[rare]], [s.place[rare]]
             step = 1
@@ -246,7 +263,7 @@ def _runs(it: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         rows += batch.num_rows
         size += batch.nbytes
-        if (rows < 20_000 and size < RUN_BYTES) or batch.column(0)[-1].as_py() == held[0].column(0)[0].as_py():
+        if (rows < ROWS_AT_ONCE and size < RUN_BYTES) or batch.column(0)[-1].as_py() == held[0].column(0)[0].as_py():
             continue
         t = whole()
         keys = t.column(0).to_numpy()
@@ -259,101 +276,141 @@ def _runs(it: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
         yield from handle(whole())
 
 
-def _blocks(n: int, size: int = 256) -> Iterator[slice]:
-    for i in range(0, n, size):
-        yield slice(i, min(i + size, n))
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] numbers), start[1], ... in one array."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def _groups(n: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours whose n sum up to about most."""
+    total = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, stop)
+        at = stop
 
 
 def candidates(index: DataFrame, threshold: float) -> DataFrame:
     """(cluster, set): sets that occur again (cluster null), and the sets under a key that may be similar to another one
-    there. A cluster is named by its smallest set: what meets under several keys of one group is mostly one cluster."""
+    there. A cluster holds what is linked by such pairs under one key and is named by its smallest set."""
     ratio = threshold / (1 + threshold)
 
     def handle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, name, parity, form = (t.column(c).to_numpy() for c in ("key", "set", "parity", "form"))
-        parity, repeated = parity.view(np.uint64), form < 0
+        repeated = form < 0
         form = np.where(repeated, -form - 1, form)
+        order = np.lexsort((name, form >> 31, key))
+        key, name, parity, form, repeated = (x[order] for x in (key, name, parity.view(np.uint64), form, repeated))
+        new = np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])]
+        again = np.unique(name[repeated | ~new])
+        key, name, parity, form = (x[new] for x in (key, name, parity, form))
         size, place = form >> 31, form & (1 << 31) - 1
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        count = np.diff(np.r_[first, len(key)])
-        rows, groups = [], []
-
-        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            need = np.ceil(ratio * (size[i] + size[j]) - 1e-9)
-            room = np.minimum(size[i] - place[i], size[j] - place[j])
-            apart = size[i] + size[j] - 2 * need
-            return (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (room >= need) & (np.bitwise_count(parity[i] ^ parity[j]) <= apart)
-
-        two = first[count == 2]
-        same = name[two] == name[two + 1]
-        repeated[two[same]] = True
-        close = two[~same & near(two, two + 1)]
-        named = np.minimum(name[close], name[close + 1])
-        rows += [close, close + 1]
-        groups += [named, named]
-        for at, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
-            own = np.arange(at, at + n)
-            own = own[np.lexsort((name[own], size[own]))]
-            equal = np.flatnonzero(name[own][1:] == name[own][:-1])
-            repeated[own[equal]] = True
-            own = own[np.r_[True, name[own][1:] != name[own][:-1]]]
-            found = np.zeros(len(own), bool)
-            for b in _blocks(len(own)):
-                top = np.searchsorted(size[own], size[own[b.stop - 1]] / threshold + 1e-9, side="right")
-                hit = near(own[b][:, None], own[b.start : top][None, :])
-                hit[np.arange(len(hit)), np.arange(len(hit))] = False
-                found[b] |= hit.any(axis=1)
-                found[b.start : top] |= hit.any(axis=0)
-            if found.any():
-                rows.append(own[found])
-                groups.append(np.full(int(found.sum()), name[own[found]].min()))
-        again = np.unique(name[repeated])
-        sets = np.concatenate([again, *(name[r] for r in rows)])
-        clusters = pa.array(np.concatenate([np.zeros(len(again), np.int64), *groups]), mask=np.arange(len(sets)) < len(again))
-        yield pa.RecordBatch.from_arrays([clusters, pa.array(sets)], ["cluster", "set"])
+        run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        # The smaller set of a pair is the one in front; its shorter prefix is enough, and its partners end where sizes do.
+        span = int(size.max()) * 2 + 2
+        ends = np.searchsorted(run * span + size, run * span + np.floor(size / threshold + 1e-9).astype(np.int64), side="right")
+        n = np.where(place <= size - np.ceil(2 * ratio * size - 1e-9), ends - np.arange(len(size)) - 1, 0)
+        left = np.flatnonzero(n > 0)
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in _groups(n[left], PAIRS_AT_ONCE):
+            i, j = np.repeat(left[part], n[left[part]]), _ranges(left[part] + 1, n[left[part]])
+            both = size[i] + size[j]
+            need = np.ceil(ratio * both - 1e-9)
+            ok = (np.minimum(size[i] - place[i], size[j] - place[j]) >= need) & (np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * need)
+            first.append(i[ok])
+            second.append(j[ok])
+        i, j = np.concatenate(first), np.concatenate(second)
+        label = name.copy()
+        while True:
+            before = label[i].copy(), label[j].copy()
+            np.minimum.at(label, i, label[j])
+            np.minimum.at(label, j, label[i])
+            if (label[i] == before[0]).all() and (label[j] == before[1]).all():
+                break
+        rows = np.unique(np.concatenate([i, j]))
+        pairs = np.unique(np.stack([label[rows], name[rows]], axis=1), axis=0)
+        clusters = pa.array(np.concatenate([np.zeros(len(again), np.int64), pairs[:, 0]]), mask=np.arange(len(again) + len(pairs)) < len(again))
+        yield pa.RecordBatch.from_arrays([clusters, pa.array(np.concatenate([again, pairs[:, 1]]))], ["cluster", "set"])
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, handle), "cluster long, set long")
 
 
+def merged_clusters(found: DataFrame, times: int = 2) -> DataFrame:
+    """(cluster, set) with each cluster going by the smallest cluster that the set it is named by belongs to. Sets that are
+    in one cluster stay together."""
+    for _ in range(times):
+        up = found.groupBy(F.col("set").alias("cluster")).agg(F.min("cluster").alias("up"))
+        found = found.join(up, "cluster").select(F.col("up").alias("cluster"), "set").distinct()
+    return found
+
+
+def dealt(pool: DataFrame) -> DataFrame:
+    """pool with the columns cluster and task: tasks in which the sets of a cluster meet. A cluster of up to CLUSTER_ROWS is
+    one task; of a larger one every pair of its blocks is, and a set goes to all tasks of its block."""
+    sizes = pool.groupBy("cluster").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / CLUSTER_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("set", "twin"), F.col("b")).cast("int")
+    rows = pool.join(sizes, "cluster").withColumn("b", blocks).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
+    rows = rows.withColumn("other", other)
+    return rows.withColumn("task", F.when(F.col("b") > 1, F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("cluster"))).drop("n", "b", "own", "other")
+
+
 def matches(pool: DataFrame, threshold: float) -> DataFrame:
-    """(set, ord, line): for each set of pool (cluster, set, ord, line, tokens) the earliest similar one in the cluster."""
+    """(set, twin): the sets of pool (task, set, twin, ord, line, tokens) that have a similar one in a task at an earlier
+    position. In round r the r-th set of every task, by position, is compared with all later ones that have no match yet."""
+    ratio = threshold / (1 + threshold)
+
+    def compare(task, order, line, tokens) -> np.ndarray:
+        size = np.array([len(x) // 8 for x in tokens], np.int64)
+        flat = np.frombuffer(b"".join(tokens), np.uint64)
+        start = np.cumsum(size) - size
+        parity = _parities(flat, start).view(np.uint64)
+        _, word = np.unique(flat, return_inverse=True)
+        run = np.cumsum(np.r_[True, task[1:] != task[:-1]]) - 1
+        begin = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+        count = np.diff(np.r_[begin, len(task)])
+        word = word + np.repeat(run, size) * (int(word.max()) + 1)
+        hit = np.zeros(len(task), bool)
+        live = np.arange(len(task))
+        r = 0
+        while len(live):
+            lead = begin[run[live]] + r
+            live = live[lead < live] if r == 0 else live[~hit[live] & (lead < live)]
+            lead = begin[run[live]] + r
+            both = size[live] + size[lead]
+            need = np.ceil(ratio * both - 1e-9)
+            fits = (np.minimum(size[live], size[lead]) >= need) & (np.bitwise_count(parity[live] ^ parity[lead]) <= both - 2 * need)
+            fits &= (order[lead] < order[live]) | (line[lead] < line[live])
+            a, b, need = live[fits], lead[fits], need[fits]
+            for part in _groups(size[a], TOKENS_AT_ONCE):
+                x, leaders = a[part], np.unique(b[part])
+                held = np.sort(word[_ranges(start[leaders], size[leaders])])
+                mine = word[_ranges(start[x], size[x])]
+                at = np.minimum(np.searchsorted(held, mine), len(held) - 1)
+                shared = np.add.reduceat((held[at] == mine).astype(np.int64), np.cumsum(size[x]) - size[x])
+                hit[x[shared >= need[part]]] = True
+            r += 1
+            live = live[~hit[live] & (count[run[live]] > r)]
+        return hit
 
     def handle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, name, order, line = (t.column(c).to_numpy() for c in ("cluster", "set", "ord", "line"))
+        task, order, line = (t.column(c).to_numpy() for c in ("task", "ord", "line"))
+        by = np.lexsort((line, order, task))
         tokens = t.column("tokens").to_pylist()
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        out: list[tuple[int, int, int]] = []
-        for at, n in zip(first.tolist(), np.diff(np.r_[first, len(key)]).tolist(), strict=True):
-            if n < 2:
-                continue
-            own = np.arange(at, at + n)
-            own = own[np.lexsort((line[own], order[own]))]
-            data = [np.frombuffer(tokens[i], np.uint64) for i in own.tolist()]
-            size = np.array([len(d) for d in data])
-            flat, owner = np.concatenate(data), np.repeat(np.arange(n), size)
-            open_ = np.ones(n, bool)
-            for i in range(n - 1):  # in the order of position: the first that is similar is the earliest
-                open_[i] = False
-                fits = open_ & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9)
-                if not fits.any():
-                    if not open_.any():
-                        break
-                    continue
-                use = fits[owner]
-                shared = np.bincount(owner[use], np.isin(flat[use], data[i]), n)
-                hit = np.flatnonzero(fits & (shared * (1 + threshold) >= threshold * (size + size[i]) - 1e-9))
-                open_[hit] = False
-                out += [(int(name[own[j]]), int(order[own[i]]), int(line[own[i]])) for j in hit.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["set", "ord", "line"])
+        hit = by[compare(task[by], order[by], line[by], [tokens[k] for k in by.tolist()])]
+        yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(hit)) for c in ("set", "twin")], ["set", "twin"])
 
     n = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pool.repartition(n, "cluster").sortWithinPartitions("cluster").mapInArrow(lambda it: _runs(it, handle), "set long, ord long, line long")
+    rows = pool.select("task", "set", "twin", "ord", "line", "tokens")
+    return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lambda it: _runs(it, handle), "set long, twin long")
 
 
 def lines_of(docs: DataFrame, wanted: Bloom, compared: Bloom, min_words: int, counts) -> DataFrame:
-    """(id, ord, text_hash, line, set, tokens) of the lines whose sets may be wanted; tokens only of sets that may have to
-    be compared, and about once in a task."""
+    """(id, ord, text_hash, line, set, twin, tokens) of the lines whose sets may be wanted; tokens only of sets that may have
+    to be compared, and about once in a task."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, compared, counts))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +420,9 @@ def lines_of(docs: DataFrame, wanted: Bloom, compared: Bloom, min_words: int, co
             for part in tokens.parts(batch.column("text").to_pylist()):
                 s = _Sets(tokens, part, counts, min_words)
                 hit = np.flatnonzero(wanted.test(s.set)) if len(s.set) else np.zeros(0, np.int64)
-                new = compared.test(s.set[hit])
+                twin, new = s.twin()[hit], compared.test(s.set[hit])
                 for k in np.flatnonzero(new).tolist():
-                    if (name := int(s.set[hit[k]])) in given:
+                    if (name := (int(s.set[hit[k]]), int(twin[k]))) in given:
                         new[k] = False
                     given.add(name)
                 if len(given) > 500_000:
@@ -373,16 +430,17 @@ def lines_of(docs: DataFrame, wanted: Bloom, compared: Bloom, min_words: int, co
                 data = [s.token[a : a + n].tobytes() if f else None for a, n, f in zip(s.start[hit].tolist(), s.size[hit].tolist(), new.tolist(), strict=True)]
                 rows = pa.array(s.text[hit])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(rows) for c in ("id", "ord", "text_hash")), pa.array(s.number[hit]), pa.array(s.set[hit]), pa.array(data, pa.binary())],
-                    ["id", "ord", "text_hash", "line", "set", "tokens"],
+                    [*(batch.column(c).take(rows) for c in ("id", "ord", "text_hash")), pa.array(s.number[hit]), pa.array(s.set[hit]), pa.array(twin), pa.array(data, pa.binary())],
+                    ["id", "ord", "text_hash", "line", "set", "twin", "tokens"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "ord", "text_hash", "text").mapInArrow(run, f"id {kind}, ord long, text_hash long, line long, set long, tokens binary")
+    return docs.select("id", "ord", "text_hash", "text").mapInArrow(run, f"id {kind}, ord long, text_hash long, line long, set long, twin long, tokens binary")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_words: int = 5) -> DataFrame:
-    """(id, text_hash, removed): numbers of the lines that go, for each document that loses any."""
+    """(id, text_hash, removed): numbers of the lines that go, for each document that loses any. A line goes if it is not
+    the first of its set or if its set has a similar one that is first found earlier."""
     id_type = docs.schema[id_col].dataType
     whole = isinstance(id_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     order = docs[id_col].cast("long") if whole else F.when(docs[id_col].isNotNull(), F.xxhash64(docs[id_col].cast("string")))
@@ -391,14 +449,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     ).where(F.col("text").isNotNull())
     counts, twice = token_counts(rows)
     found = materialize(candidates(index_rows(rows, threshold, min_words, counts, twice), threshold).distinct())
-    compared = Bloom.of(found.where("cluster is not null").select("set"))
-    lines = materialize(lines_of(rows, Bloom.of(found.select("set")), compared, min_words, counts))
-    first = lines.groupBy("set").agg(F.min(F.struct("ord", "line")).alias("p")).select("set", "p.ord", "p.line")
-    tokens = lines.where("tokens is not null").select("set", "tokens").dropDuplicates(["set"])
-    pool = found.where("cluster is not null").join(first.join(tokens, "set"), "set")
-    similar = matches(pool.select("cluster", "set", "ord", "line", "tokens"), threshold)
-    earliest = similar.union(first).groupBy("set").agg(F.min(F.struct("ord", "line")).alias("least")).select(F.col("set"), F.col("least.ord").alias("o"), F.col("least.line").alias("l"))
-    late = lines.drop("tokens").join(earliest, "set").where("o < ord OR (o = ord AND l < line)")
+    clusters = materialize(merged_clusters(found.where("cluster is not null")))
+    lines = materialize(lines_of(rows, Bloom.of(found.select("set")), Bloom.of(clusters.select("set")), min_words, counts))
+    first = materialize(lines.groupBy("set", "twin").agg(F.min(F.struct("ord", "line")).alias("p")).select("set", "twin", "p.ord", "p.line"))
+    tokens = lines.where("tokens is not null").select("set", "twin", "tokens").dropDuplicates(["set", "twin"])
+    pool = clusters.join(first.join(tokens, ["set", "twin"]), "set")
+    hits = matches(dealt(pool), threshold).distinct().withColumn("hit", F.lit(True))
+    # A written table, so that the join with the lines, in which one set may be very frequent, can be split.
+    decided = materialize(first.join(hits, ["set", "twin"], "left").select("set", "twin", F.col("ord").alias("o"), F.col("line").alias("l"), F.coalesce("hit", F.lit(False)).alias("hit")))
+    late = lines.drop("tokens").join(decided, ["set", "twin"]).where("hit OR o < ord OR (o = ord AND l < line)")
     return late.groupBy("id", "text_hash").agg(F.collect_set(F.col("line").cast("int")).alias("removed"))
 
 
@@ -428,4 +487,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long")
     columns = [rest if n == text else F.col(n) for n in names]
     out = losing.unionByName(whole).select(*columns, n_lines, F.coalesce(F.size("__removed"), F.lit(0)).cast("long"))
-    return out.toDF(*docs.columns, "n_lines", "n_removed")
+    out = out.toDF(*names, "n_lines", "n_removed")
+    clear = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c not in ("n_lines", "n_removed")]
+    return out.select(*(F.col(n).alias(c) for n, c in clear), "n_lines", "n_removed")
