@@ -346,16 +346,14 @@ def merged_clusters(found: DataFrame, times: int = 2) -> DataFrame:
     return found
 
 
-def dealt(pool: DataFrame) -> DataFrame:
-    """pool with the columns cluster and task: tasks in which the sets of a cluster meet. A cluster of up to CLUSTER_ROWS is
-    one task; of a larger one every pair of its blocks is, and a set goes to all tasks of its block."""
-    sizes = pool.groupBy("cluster").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / CLUSTER_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("set", "twin"), F.col("b")).cast("int")
-    rows = pool.join(sizes, "cluster").withColumn("b", blocks).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("b") - 1))
-    rows = rows.withColumn("other", other)
-    return rows.withColumn("task", F.when(F.col("b") > 1, F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("cluster"))).drop("n", "b", "own", "other")
+def dealt(clusters: DataFrame) -> DataFrame:
+    """(task, set): the tasks in which the sets of a cluster meet. A cluster of up to CLUSTER_ROWS is one task; of a larger
+    one every pair of its blocks is, and a set goes to all tasks of its block."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    rows = clusters.join(sizes, "cluster").withColumn("b", F.ceil(F.col("n") / CLUSTER_ROWS).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("b")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    task = F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(F.when(F.col("b") > 1, task).otherwise(F.col("cluster")).alias("task"), "set")
 
 
 def matches(pool: DataFrame, threshold: float) -> DataFrame:
@@ -398,7 +396,10 @@ def matches(pool: DataFrame, threshold: float) -> DataFrame:
 
     def handle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         task, order, line = (t.column(c).to_numpy() for c in ("task", "ord", "line"))
-        by = np.lexsort((line, order, task))
+        name, twin = (t.column(c).to_numpy() for c in ("set", "twin"))
+        by = np.lexsort((twin, name, line, order, task))
+        # The tokens of a set may have come from several tasks.
+        by = by[np.r_[True, (np.diff(task[by]) != 0) | (np.diff(name[by]) != 0) | (np.diff(twin[by]) != 0)]]
         tokens = t.column("tokens").to_pylist()
         hit = by[compare(task[by], order[by], line[by], [tokens[k] for k in by.tolist()])]
         yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(hit)) for c in ("set", "twin")], ["set", "twin"])
@@ -452,9 +453,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     clusters = materialize(merged_clusters(found.where("cluster is not null")))
     lines = materialize(lines_of(rows, Bloom.of(found.select("set")), Bloom.of(clusters.select("set")), min_words, counts))
     first = materialize(lines.groupBy("set", "twin").agg(F.min(F.struct("ord", "line")).alias("p")).select("set", "twin", "p.ord", "p.line"))
-    tokens = lines.where("tokens is not null").select("set", "twin", "tokens").dropDuplicates(["set", "twin"])
-    pool = clusters.join(first.join(tokens, ["set", "twin"]), "set")
-    hits = matches(dealt(pool), threshold).distinct().withColumn("hit", F.lit(True))
+    # Tokens travel twice, once to learn their tasks and once to these.
+    info = first.join(dealt(clusters), "set")
+    pool = lines.where("tokens is not null").select("set", "twin", "tokens").join(info, ["set", "twin"])
+    hits = matches(pool, threshold).distinct().withColumn("hit", F.lit(True))
     # A written table, so that the join with the lines, in which one set may be very frequent, can be split.
     decided = materialize(first.join(hits, ["set", "twin"], "left").select("set", "twin", F.col("ord").alias("o"), F.col("line").alias("l"), F.coalesce("hit", F.lit(False)).alias("hit")))
     late = lines.drop("tokens").join(decided, ["set", "twin"]).where("hit OR o < ord OR (o = ord AND l < line)")
