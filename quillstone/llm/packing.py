@@ -1,11 +1,14 @@
 """Packing of token sequences by cutting-stock column generation.
 
 Every document is cut into full sequences and one rest, so the corpus is described by how many pieces it has of each
-length from 1 to the sequence size: a histogram whose size does not grow with the data. A linear program over patterns
-(how many pieces of each length share a sequence) is solved on it by column generation: a knapsack dynamic program
-prices new patterns against the dual prices, and a pivot of the revised simplex brings the best one in. The pattern
-counts are rounded down, the few pieces left over are packed greedily, and the pieces of each length, ranked, take the
-pattern slots of that length in order.
+length from 1 to the sequence size: a histogram whose size does not grow with the data. Its lengths are gathered in at most
+`rows` classes of about equal token counts (each length is its own class where there are fewer), and a linear program over
+patterns (how many pieces of each class, taken at the class's greatest length, share a sequence) is solved by column
+generation: it starts from patterns of one class, a knapsack dynamic program prices patterns against the dual prices, and
+the revised simplex brings the worthy ones in until none is left. The pattern counts are rounded, and each pattern is
+filled with exact lengths: its classes give their longest pieces, and the room that is left at the end, known exactly then,
+takes the longest pieces that fit it. What the patterns leave is packed greedily, and the pieces of each length, ranked,
+take the pattern slots of that length in order.
 
 Defined cases: null text is the empty text (only the end id); ids that are null or repeated are carried along, as ranks
 count rows, not ids; an empty table gives an empty result.
@@ -48,12 +51,15 @@ def token_ids(path: str) -> Callable[[str], list[int]]:
 
 @dataclass
 class Plan:
-    """Patterns as (lengths, times), the linear program's value and a lower bound on it."""
+    """Patterns as (lengths, times), the linear program's value, a lower bound on the number of sequences, the rounds of
+    pricing, the columns that entered, and the sequences that the priced patterns fill; greedy packing fills the others."""
 
     patterns: list[tuple[np.ndarray, int]]
     value: float
     bound: float
     rounds: int
+    entered: int = 0
+    from_patterns: int = 0
 
 
 def _greedy(counts: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
@@ -75,97 +81,134 @@ def _greedy(counts: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """The worthiest pattern: best[c] = max over lengths l <= c of best[c - l] + price(l)."""
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """best[c] = max over lengths l <= c of best[c - l] + price(l), the worth of the best pattern within c, and the last
+    length of that pattern (-1: none)."""
     best, last = np.zeros(size + 1), np.full(size + 1, -1)
     upto = np.searchsorted(lengths, np.arange(size + 1), side="right")
     for c in range(1, size + 1):
-        k = upto[c]
-        if k:
+        if k := upto[c]:
             gain = best[c - lengths[:k]] + prices[:k]
             i = int(gain.argmax())
             if gain[i] > 0:
                 best[c], last[c] = gain[i], i
-    pattern, c = np.zeros(len(lengths), np.int64), size
-    while c > 0 and last[c] >= 0:
-        pattern[last[c]] += 1
-        c -= lengths[last[c]]
-    return float(best[size]), pattern
+    return best, last
 
 
-def solve(counts: np.ndarray, size: int, gap: float = 0.0005, most_rounds: int = 400) -> Plan:
-    """Pattern plan for counts[l] pieces of length l (0 <= l <= size). Column generation stops when the value is within
-    gap of its lower bound, or after most_rounds pivots; each basis on the way is feasible, so the plan is whole."""
+def _traced(lengths: np.ndarray, last: np.ndarray, room: int) -> np.ndarray:
+    pattern = np.zeros(len(lengths), np.int64)
+    while room > 0 and last[room] >= 0:
+        pattern[last[room]] += 1
+        room -= int(lengths[last[room]])
+    return pattern
+
+
+def generate(lengths: np.ndarray, demand: np.ndarray, size: int, columns_a_round: int = 16, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The linear program min sum(x), patterns @ x = demand, by column generation: (basis of patterns as columns, x,
+    rounds, columns that entered). It ends when no pattern's worth exceeds its cost, or when the value meets the lower
+    bound of the dual prices."""
+    m, fit = len(lengths), size // lengths
+    basis, inverse = np.diag(fit), np.diag(1.0 / fit)
+    x, prices = demand / fit, 1.0 / fit
+    bound, rounds, entered, worth_one = float((lengths * demand).sum()) / size, 0, 0, 1 + tolerance
+    while True:
+        best, last = _knapsack(lengths, prices, size)
+        bound = max(bound, float((prices * demand).sum()) / max(float(best[size]), 1.0))
+        if best[size] <= worth_one or x.sum() <= bound * worth_one:
+            return basis, np.maximum(x, 0), rounds, entered
+        rounds += 1
+        worth = prices + best[size - lengths]  # of the best pattern that holds each length
+        moved = False
+        for i in np.argsort(-worth, kind="stable")[:columns_a_round].tolist():
+            if worth[i] <= worth_one:
+                break
+            pattern = _traced(lengths, last, size - int(lengths[i]))
+            pattern[i] += 1
+            if (prices * pattern).sum() <= worth_one:  # the columns before it have changed the prices
+                continue
+            on = np.flatnonzero(pattern)
+            step = (inverse[:, on] * pattern[on]).sum(axis=1)
+            ratio = np.full(m, np.inf)
+            ratio[step > 1e-9] = np.maximum(x[step > 1e-9], 0) / step[step > 1e-9]
+            out = int(ratio.argmin())
+            row, x = inverse[out] / step[out], x - ratio[out] * step
+            x[out] = ratio[out]
+            step[out] -= 1
+            inverse -= step[:, None] * row[None, :]
+            prices = prices - step.sum() * row
+            basis[:, out] = pattern
+            entered += 1
+            moved = moved or ratio[out] > 0
+        if rounds % 64 == 0 or not moved:  # rounding errors do not add up
+            x, prices = (inverse * demand).sum(axis=1), inverse.sum(axis=0)
+        if rounds >= 200 * m:  # a cycle of degenerate steps; every basis is a whole plan
+            return basis, np.maximum(x, 0), rounds, entered
+
+
+def classes(counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(greatest length of each class, class of each length that occurs)."""
     lengths = np.flatnonzero(counts[1:]) + 1
-    if not len(lengths):
-        return Plan([], 0.0, 0.0, 0)
-    demand = counts[lengths].astype(float)
-    row = {int(x): i for i, x in enumerate(lengths)}
-    m, material = len(lengths), float((lengths * demand).sum()) / size
-    start = _greedy(counts, size)
-    greedy_total = sum(n for _, n in start)
-    # A greedy plan in fractions as the first basis: each pattern is used until a length in it is gone, and later
-    # patterns do not have that length, so with single-length patterns for what goes at the same time the columns are
-    # triangular in the order of exhaustion.
-    left, columns, x = demand.copy(), [], []
-    while len(columns) < m:
-        room, a, k = size, np.zeros(m), m
-        while room and k and len(has := np.flatnonzero(left[:k] > 0)):
-            has = has[: np.searchsorted(lengths[has], room, side="right")]
-            if not len(has):
+    if len(lengths) <= rows:
+        return lengths, np.arange(len(lengths))
+    tokens = np.cumsum((counts[lengths] * lengths).astype(float))
+    last = np.unique(np.minimum(np.searchsorted(tokens, tokens[-1] * np.arange(1, rows + 1) / rows * (1 - 1e-12)), len(lengths) - 1))
+    return lengths[last], np.searchsorted(lengths[last], lengths)
+
+
+def _filled(left: np.ndarray, pattern: np.ndarray, edges: np.ndarray, times: int, size: int) -> list[tuple[np.ndarray, int]]:
+    """The pattern, at most `times` times, in exact lengths; left is reduced. All places but the last take the longest
+    piece up to their class's greatest length; then the longest pieces that fit the room follow. Where more room would be left
+    than the pattern itself leaves, and than 1/1024 of the sequence, the pattern is not used further."""
+    out = []
+    places = np.repeat(edges, pattern)[::-1].tolist()
+    slack = max(size - sum(places), size // 1024)
+    least = int(edges[np.searchsorted(edges, places[0]) - 1]) if places[0] > edges[0] else 0
+    while times:
+        free, chosen, room = left.copy(), [], size
+        open_ = np.flatnonzero(free)
+        for most in [*places[:-1], *([size] * size)]:
+            k = int(np.searchsorted(open_, min(most, room), side="right"))
+            if not k:
                 break
-            k = int(has[-1])
-            a[k] = room // lengths[k]
-            room -= int(a[k]) * int(lengths[k])
-        times = (left[a > 0] / a[a > 0]).min()
-        gone = np.flatnonzero((a > 0) & (left - a * times <= 1e-9 * demand))
-        left -= a * times
-        left[gone] = 0
-        columns.append(a)
-        x.append(times)
-        for i in gone[1:]:
-            columns.append(np.zeros(m))
-            columns[-1][i] = size // lengths[i]
-            x.append(0.0)
-    basis, x = np.array(columns).T, np.array(x)
-    inverse = np.linalg.inv(basis)
-    bound, rounds = material, 0
-    while rounds < most_rounds:
-        prices = inverse.sum(axis=0)
-        value, pattern = _knapsack(lengths, prices, size)
-        bound = max(bound, float(prices @ demand) / max(value, 1.0))
-        if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
-            break
-        step = inverse @ pattern
-        ok = step > 1e-9
-        ratio = np.full(m, np.inf)
-        ratio[ok] = np.maximum(x[ok], 0) / step[ok]
-        out = int(ratio.argmin())
-        pivot = inverse[out] / step[out]
-        move = ratio[out]
-        step[out] -= 1
-        inverse -= np.outer(step, pivot)
-        x -= move * step
-        x[out] = move
-        basis[:, out] = pattern
-        rounds += 1
-    times = np.floor(np.maximum(x, 0) + 1e-7).astype(np.int64)
-    used = (basis * times).sum(axis=1).round().astype(np.int64)
-    # Patterns may ask for more pieces than there are (an extra piece in a slot): take such patterns back.
-    for j in np.argsort(times):
-        if not (over := used > demand).any():
-            break
-        if times[j] and (basis[over, j] > 0).any():
-            back = min(times[j], int(np.ceil(((used - demand)[over & (basis[:, j] > 0)] / basis[over & (basis[:, j] > 0), j]).max())))
-            times[j] -= back
-            used -= (basis[:, j] * back).round().astype(np.int64)
-    patterns = [(np.repeat(lengths, basis[:, j].round().astype(np.int64))[::-1], int(times[j])) for j in np.flatnonzero(times)]
-    rest = counts.astype(np.int64).copy()
-    rest[lengths] -= used
-    patterns += _greedy(rest, size)
-    if sum(n for _, n in patterns) > greedy_total:
-        patterns = start
-    return Plan(patterns, float(x.sum()), bound, rounds)
+            length = int(open_[k - 1])
+            if not chosen and len(places) > 1 and length <= least:  # the class is used up
+                return out
+            chosen.append(length)
+            room -= length
+            free[length] -= 1
+            if not free[length]:
+                open_ = np.delete(open_, k - 1)
+        if not chosen or room > slack:
+            return out
+        used = np.bincount(chosen, minlength=len(left))
+        on = np.flatnonzero(used)
+        n = min(times, int((left[on] // used[on]).min()))
+        left -= used * n
+        times -= n
+        out.append((np.sort(np.array(chosen, np.int64))[::-1], n))
+    return out
+
+
+def solve(counts: np.ndarray, size: int, rows: int = 96) -> Plan:
+    """Pattern plan for counts[l] pieces of length l (0 <= l <= size)."""
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    if not left.any():
+        return Plan([], 0.0, 0.0, 0)
+    material = float((left * np.arange(len(left))).sum()) / size
+    edges, own = classes(left, rows)
+    demand = np.bincount(own, left[left > 0], len(edges))
+    basis, x, rounds, entered = generate(edges, demand, size)
+    # Rounded down, then once more in the order of the fractions as long as the classes have the pieces.
+    times = np.floor(x + 1e-7).astype(np.int64)
+    spare = demand - (basis * times).sum(axis=1)
+    for j in np.argsort(times - x, kind="stable").tolist():
+        if x[j] - times[j] > 1e-7 and (basis[:, j] <= spare + 1e-7).all():
+            times[j] += 1
+            spare = spare - basis[:, j]
+    order = sorted(np.flatnonzero(times).tolist(), key=lambda j: -int(np.flatnonzero(basis[:, j])[-1]))
+    patterns = [p for j in order for p in _filled(left, basis[:, j], edges, int(times[j]), size)]
+    return Plan(patterns + _greedy(left, size), float(x.sum()), material, rounds, entered, sum(n for _, n in patterns))
 
 
 def slots(plan: Plan) -> tuple[np.ndarray, ...]:

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -75,7 +77,7 @@ def test_packing(docs, empty):
 @pytest.mark.parametrize("lengths", [R.choices(range(300, 1200), k=4000), R.choices(range(700, 1100), k=999), [1025] * 50, list(range(1, 60)), []])
 def test_cutting_stock(lengths):
     counts = np.bincount(lengths, minlength=2049) if lengths else np.zeros(2049, int)
-    plan = packing.solve(counts, 2048, most_rounds=60)
+    plan = packing.solve(counts, 2048)
     used = np.zeros(2049, int)
     for pattern, n in plan.patterns:
         assert pattern.sum() <= 2048
@@ -84,6 +86,38 @@ def test_cutting_stock(lengths):
     assert plan.bound <= sum(n for _, n in plan.patterns) + 1e-6
 
 
+def test_columns_are_priced_on_real_lengths():
+    """On the given documents the plan comes from priced patterns, at the linear program's optimum, with little padding."""
+    encode = packing.token_ids(JSON)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    counts = np.zeros(2049, np.int64)
+    for n in (len(encode(t or "")) + 1 for t in texts):
+        counts[2048] += n // 2048
+        counts[n % 2048] += n % 2048 > 0
+    for times in (1, 1000):
+        plan = packing.solve(counts * times, 2048)
+        total = sum(n for _, n in plan.patterns)
+        assert plan.rounds > 50 and plan.entered > 200
+        assert plan.from_patterns > 0.6 * total
+        assert plan.bound <= total <= 1.003 * plan.bound + 1
+
+
+def test_linear_program():
+    """The simplex against the best of all vertices, on programs small enough to list all patterns."""
+    for _ in range(20):
+        size = R.randrange(6, 14)
+        lengths = np.array(sorted(R.sample(range(2, size + 1), 3)))
+        demand = np.array([R.randrange(1, 30) for _ in lengths], float)
+        patterns = [p for p in itertools.product(*(range(size // x + 1) for x in lengths)) if 0 < np.dot(p, lengths) <= size]
+        best = np.inf
+        for three in itertools.combinations(patterns, 3):
+            a = np.array(three, float).T
+            if abs(np.linalg.det(a)) > 1e-9 and ((x := np.linalg.solve(a, demand)) >= -1e-9).all():
+                best = min(best, x.sum())
+        basis, x, _, _ = packing.generate(lengths, demand, size)
+        assert np.allclose(basis @ x, demand) and x.sum() == pytest.approx(best)
+
+
 def test_language_model(spark, docs):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     out = {r["doc_id"]: r for r in lm.score(rows, crc_mod("doc_id", 7) != 2).collect()}
