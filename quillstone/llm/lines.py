@@ -8,7 +8,7 @@ Tokens are ordered by rarity (counts over all lines, kept in a sketch of fixed s
 result). Two lines can only be similar if they share a token in their prefixes, so only prefix tokens are indexed, and of
 these only those that may occur twice. Under each token lines meet sorted by size; the length filter, the positional
 filter, the shorter indexing prefix of the smaller set and a parity-bit filter (each token that only one line has flips
-one bit) leave few candidates. A token that is very common is indexed together with the next token of the prefix, as two
+one bit) leave few candidates, and signatures of 512 parity bits fewer. A token that is very common is indexed together with the next token of the prefix, as two
 similar lines of two or more words share at least two. Sets that meet are put into clusters, named by the smallest set of
 the cluster that the smallest set itself is in, so that near copies of one line are mostly in one cluster and their tokens
 travel once; clusters beyond CLUSTER_ROWS are compared in pairs of blocks. There Jaccard is verified on the whole sets, with
@@ -291,6 +291,19 @@ def _groups(n: np.ndarray, most: int) -> Iterator[slice]:
         at = stop
 
 
+def _linked(name: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Rows (smallest name of the component, name) of the names that the pairs (i, j) link."""
+    label = name.copy()
+    while True:
+        before = label[i].copy(), label[j].copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        if (label[i] == before[0]).all() and (label[j] == before[1]).all():
+            break
+    rows = np.unique(np.concatenate([i, j]))
+    return np.unique(np.stack([label[rows], name[rows]], axis=1), axis=0)
+
+
 def candidates(index: DataFrame, threshold: float) -> DataFrame:
     """(cluster, set): sets that occur again (cluster null), and the sets under a key that may be similar to another one
     there. A cluster holds what is linked by such pairs under one key and is named by its smallest set."""
@@ -321,15 +334,7 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
             first.append(i[ok])
             second.append(j[ok])
         i, j = np.concatenate(first), np.concatenate(second)
-        label = name.copy()
-        while True:
-            before = label[i].copy(), label[j].copy()
-            np.minimum.at(label, i, label[j])
-            np.minimum.at(label, j, label[i])
-            if (label[i] == before[0]).all() and (label[j] == before[1]).all():
-                break
-        rows = np.unique(np.concatenate([i, j]))
-        pairs = np.unique(np.stack([label[rows], name[rows]], axis=1), axis=0)
+        pairs = _linked(name, i, j)
         clusters = pa.array(np.concatenate([np.zeros(len(again), np.int64), pairs[:, 0]]), mask=np.arange(len(again) + len(pairs)) < len(again))
         yield pa.RecordBatch.from_arrays([clusters, pa.array(np.concatenate([again, pairs[:, 1]]))], ["cluster", "set"])
 
@@ -356,6 +361,65 @@ def dealt(clusters: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("b") > 1, task).otherwise(F.col("cluster")).alias("task"), "set")
 
 
+def _signatures(token: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """512 parity bits of each set, as eight words."""
+    h = _mix(token, 0xA0761D6478BD642F)
+    word, bit = h >> np.uint64(61), np.uint64(1) << (h >> np.uint64(50) & np.uint64(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), start) for k in range(8)], axis=1)
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """(set, size, signature) of the lines that carry tokens."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                tokens = batch.column("tokens").to_pylist()
+                size = np.array([len(x) // 8 for x in tokens], np.int64)
+                sig = _signatures(np.frombuffer(b"".join(tokens), np.uint64), np.cumsum(size) - size)
+                yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(size), pa.array([x.tobytes() for x in sig], pa.binary())], ["set", "size", "signature"])
+
+    return lines.where("tokens is not null").select("set", "tokens").mapInArrow(run, "set long, size long, signature binary")
+
+
+def refined(pool: DataFrame, threshold: float) -> DataFrame:
+    """(cluster, set) as candidates gives them, of the sets of pool (task, set, size, signature) whose signatures differ
+    from another one's in the task by no more bits than similar sets have tokens apart."""
+    ratio = threshold / (1 + threshold)
+
+    def handle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        task, name, size = (t.column(c).to_numpy() for c in ("task", "set", "size"))
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint64).reshape(-1, 8)
+        order = np.lexsort((name, size, task))
+        task, name, size, sig = task[order], name[order], size[order], sig[order]
+        # The signature of a set may have come from several tasks.
+        new = np.r_[True, (np.diff(task) != 0) | (np.diff(name) != 0) | (np.diff(size) != 0) | (sig[1:] != sig[:-1]).any(axis=1)]
+        task, name, size, sig = task[new], name[new], size[new], sig[new]
+        run = np.cumsum(np.r_[True, task[1:] != task[:-1]]) - 1
+        span = int(size.max()) * 2 + 2
+        n = np.searchsorted(run * span + size, run * span + np.floor(size / threshold + 1e-9).astype(np.int64), side="right") - np.arange(len(size)) - 1
+        left = np.flatnonzero(n > 0)
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in _groups(n[left], PAIRS_AT_ONCE):
+            i, j = np.repeat(left[part], n[left[part]]), _ranges(left[part] + 1, n[left[part]])
+            both = size[i] + size[j]
+            most = both - 2 * np.ceil(ratio * both - 1e-9).astype(np.int64)
+            apart = np.zeros(len(i), np.int64)
+            for k in range(8):
+                apart += np.bitwise_count(sig[i, k] ^ sig[j, k])
+                ok = apart <= most
+                if not ok.all():
+                    i, j, most, apart = i[ok], j[ok], most[ok], apart[ok]
+            first.append(i)
+            second.append(j)
+        pairs = _linked(name, np.concatenate(first), np.concatenate(second))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["cluster", "set"])
+
+    n = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pool.select("task", "set", "size", "signature")
+    return rows.repartition(n, "task").sortWithinPartitions("task").mapInArrow(lambda it: _runs(it, handle), "cluster long, set long")
+
+
 def matches(pool: DataFrame, threshold: float) -> DataFrame:
     """(set, twin): the sets of pool (task, set, twin, ord, line, tokens) that have a similar one in a task at an earlier
     position. In round r the r-th set of every task, by position, is compared with all later ones that have no match yet."""
@@ -452,6 +516,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     found = materialize(candidates(index_rows(rows, threshold, min_words, counts, twice), threshold).distinct())
     clusters = materialize(merged_clusters(found.where("cluster is not null")))
     lines = materialize(lines_of(rows, Bloom.of(found.select("set")), Bloom.of(clusters.select("set")), min_words, counts))
+    # Signatures of 64 bytes first tell more closely which sets may be similar, and only the tokens of these travel.
+    closer = refined(signed(lines).join(dealt(clusters), "set"), threshold)
+    clusters = materialize(merged_clusters(materialize(closer.distinct())))
     first = materialize(lines.groupBy("set", "twin").agg(F.min(F.struct("ord", "line")).alias("p")).select("set", "twin", "p.ord", "p.line"))
     # Tokens travel twice, once to learn their tasks and once to these.
     info = first.join(dealt(clusters), "set")
@@ -484,7 +551,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     losing = rows.where("__may").join(gone, rows[own].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").select(*names, "__removed")
     whole = rows.where("NOT __may").select(*names, F.lit(None).cast("array<int>").alias("__removed"))
     parts = F.split(text, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed")), lambda i: parts[i])
+    kept = F.filter(parts, lambda _, i: ~F.array_contains("__removed", i))
     rest = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long")
     columns = [rest if n == text else F.col(n) for n in names]
