@@ -7,6 +7,7 @@ MEDIUM_EDGE, HIGH_EDGE = 0.30, 0.60
 CUE_FLOOR, MOST_CUES = 0.20, 5
 NOISE_FLOOR, CAPACITY_FLOOR = 0.05, 1.50
 UTILITY_FLOOR = 0.70
+RULE_STEPS = (0.05, 0.45, 0.75, 0.95)
 
 # Explicit identifiers, in the order in which they are redacted.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -310,6 +311,7 @@ DISCLOSURE = (
     r"\b(?:retired|freshman|senior partner|cardiologist|software engineer|resident at|doctor|nurse)\b",
     r"\b\d{1,2}[-\s]*(?:years?[-\s]*old|yo|y/o)\b",
 )
+CLOSING_PAREN = r"\s*\(([^)]+)\)[.!?]?$"
 PAREN_WORDS = ("earning", "salary", "living in", "student", "freshman", "engineer", "doctor", "cardiologist")
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9])"
 BACK_REFERENCE = (
@@ -345,6 +347,32 @@ GENERAL = (
     (r"\b(?:undergrad|Carnegie Mellon|MIT|Stanford|Harvard|Berkeley)\b", "university"),
     (r"\b(a|an)\s+(a|an)\b", "$1"),
 )
+ROLE_LEAD = r"\b(?:work as|employed as|employed at|working as|internship in|intern at)\s+(?:a\s+|an\s+|my\s+)?"
+ROLE_ENDS = r"(?:software engineer|lawyer|doctor|nurse|barista|consultant|designer|engineer|teacher|summer internship)\b"
+TOWN = r"(?:Pittsburgh|Denver|Seattle|Austin|New York|Boston|Chicago|San Francisco|London|Paris|Tokyo)[,\sA-Z]*\b"
+SCHOOLING = r"\b(?:undergrad at|attending|student at|degree from|graduated from)\s+[A-Za-z\s]+(?:University|College|Mellon|MIT)?\b"
+# The replacements of the two narrower candidates, and of the registers of the diverse set.
+AGE_AND_ROLE = ((rf"\b(?:{AGE_PHRASE})\b", "an adult"), (ROLE_LEAD + ROLE_ENDS, "work in a role"), (rf"\b(?:in|to|from)\s+{TOWN}", "locally"))
+ROLE_AND_SCHOOL = (
+    (ROLE_LEAD + ROLE_ENDS, "work in a professional role"),
+    (SCHOOLING, "completing higher education"),
+    (rf"\b(?:in|to|from)\s+{TOWN}", "locally"),
+)
+FORMAL = ((r"\b(?:tech company|startup|firm)\b", "company"), (r"\bmy (?:boss|manager|director)\b", "management"), (r"\bmy colleagues\b", "team members"))
+CASUAL = (
+    (rf"\b(?:{AGE_PHRASE})\b", "an adult"),
+    (rf"\b(?:in|to|from|near|around)\s+{TOWN}", "around where I live"),
+    (r"\b(?:work as|employed as|employed at|working as)\s+(?:a\s+|an\s+|my\s+)?(?:software engineer|lawyer|doctor|nurse|barista|consultant|designer|engineer|teacher)\b", "work in my job"),
+    (SCHOOLING, "completing my studies"),
+)
+SUBORDINATE_OPENING = "While coordinating in my professional role, "
+NATURAL = (
+    (rf"\b(?:in|to|from|near)\s+(?:{CITIES}){CITY_TAIL}\b", "in my region"),
+    (rf"\b(?:{CITIES}){CITY_TAIL}\b", "my region"),
+    (r"\b(?:\d{1,2}[-\s]*(?:years?[-\s]*old|yo|y/o))\b", "an adult"),
+    (r"\b(?:software engineer|lawyer|doctor|nurse|barista|consultant|designer|teacher)\b", "specialist"),
+    (r"\b(?:Carnegie Mellon|MIT|Stanford|Harvard|Berkeley)\b", "university"),
+)
 MORE_GENERAL = (
     (r"\bmy\s+(?:boss|manager|director|colleagues)\b", "colleagues"),
     (r"\bwork as\s+(?:a\s+|an\s+)?\w+\b", "work in my role"),
@@ -368,3 +396,8 @@ REPAIRS = (
     (r"\ba\s+(?=[aeiouAEIOU]|(?:MBA|MD|MS|MA|HR|LLC)\b)", "an "),
     (r"\ban\s+(?=[^aeiouAEIOU\s])(?!(?:MBA|MD|MS|MA|HR|LLC)\b)", "a "),
 )
+
+# Cuts, tags and kinds of the poor rewrites of a preference pair.
+NEGATIVE_CLAUSE = r",\s*(?:and\s+|can\s+|could\s+|please\s+|help\s+)?"
+NEGATIVE_OWN_WORD = r"\bmy (?:work|role|area|studies)\b"
+NEGATIVE_KINDS = ("truncation_over_scrub", "pii_leak_under_scrub", "syntax_placeholder_degenerate")

@@ -50,10 +50,11 @@ def scrubbed(text: Column) -> tuple[Column, Column]:
 def rule_scores(text: Column) -> dict[str, Column]:
     """Score of each attribute by its number of cues: none .05, one .45, two .75, more .95."""
     low = F.lower(text)
+    steps = F.array(*map(F.lit, P.RULE_STEPS))
     out = {}
     for attribute, cues in P.RULE_CUES.items():
         n = sum((F.regexp_count(low, F.lit(u(c))) for c in cues), F.lit(0))
-        out[attribute] = F.when(n == 0, 0.05).when(n == 1, 0.45).when(n == 2, 0.75).otherwise(0.95)
+        out[attribute] = F.element_at(steps, F.least(n, F.lit(len(P.RULE_STEPS) - 1)) + 1)
     return out
 
 

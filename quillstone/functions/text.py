@@ -27,6 +27,11 @@ def chain(text: Column, rules, ignore_case: bool = True) -> Column:
     return text
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value evaluated once, however often then uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -42,21 +47,30 @@ def contains_run(haystack: Column, needle: Column) -> Column:
     return (F.size(needle) == 0) | F.contains(pad(haystack), pad(needle))
 
 
-def _counts(words: Column) -> Column:
-    """Map word -> count, by folding the sorted tokens."""
-    return F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w)).cast("double"))
+def cosine_of(a: Column, b: Column, equal_empty: bool = False) -> Column:
+    """Cosine of the token counts of two arrays, in one fold over their sorted tokens: a token that comes up for the
+    (n+1)-th time in a row raises the sum of squares by 2n + 1 and the product by the other side's count. 0 if either is
+    empty (1 for two empty ones, with equal_empty)."""
+    side = lambda words, k: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    zero = F.struct(F.lit(None).cast("string").alias("w"), *(F.lit(0.0).alias(n) for n in ("a", "b", "aa", "bb", "ab")))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["w"] == x["w"]
+        na, nb, left = F.when(same, s["a"]).otherwise(0.0), F.when(same, s["b"]).otherwise(0.0), x["k"] == 0
+        return F.struct(
+            x["w"].alias("w"), F.when(left, na + 1).otherwise(na).alias("a"), F.when(left, nb).otherwise(nb + 1).alias("b"),
+            F.when(left, s["aa"] + 2 * na + 1).otherwise(s["aa"]).alias("aa"), F.when(left, s["bb"]).otherwise(s["bb"] + 2 * nb + 1).alias("bb"),
+            (s["ab"] + F.when(left, nb).otherwise(na)).alias("ab"),
+        )
+
+    value = F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), zero, step, lambda s: s["ab"] / (F.sqrt(s["aa"]) * F.sqrt(s["bb"])))
+    out = F.when((F.size(a) > 0) & (F.size(b) > 0), value).otherwise(0.0)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(out) if equal_empty else out
 
 
 def token_cosine(a: Column, b: Column, equal_empty: bool = False) -> Column:
-    """Cosine of the token counts; 0 if either text has no token (1 for two texts without tokens, with equal_empty)."""
-    ta, tb = tokens(a), tokens(b)
-    square = lambda t: F.aggregate(_counts(t), F.lit(0.0), lambda s, c: s + c * c)
-    common = F.array_intersect(ta, tb)
-    dot = F.aggregate(
-        F.transform(common, lambda w: (F.size(F.filter(ta, lambda x: x == w)) * F.size(F.filter(tb, lambda x: x == w))).cast("double")), F.lit(0.0), lambda s, c: s + c
-    )
-    value = F.when((F.size(ta) > 0) & (F.size(tb) > 0), dot / (F.sqrt(square(ta)) * F.sqrt(square(tb)))).otherwise(0.0)
-    return F.when((F.size(ta) == 0) & (F.size(tb) == 0), 1.0).otherwise(value) if equal_empty else value
+    """Cosine of the token counts of two texts."""
+    return let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), lambda x: cosine_of(x["a"], x["b"], equal_empty))
 
 
 def _negations(words: Column, which) -> Column:
@@ -65,7 +79,13 @@ def _negations(words: Column, which) -> Column:
 
 def entailment_a(premise: Column, hypothesis: Column) -> tuple[Column, Column]:
     """(entailment, contradiction) by lexical containment."""
-    p, h = F.array_distinct(tokens(premise)), F.array_distinct(tokens(hypothesis))
+    both = F.struct(F.array_distinct(tokens(premise)).alias("p"), F.array_distinct(tokens(hypothesis)).alias("h"))
+    found = let(both, lambda x: F.struct(*(c.alias(n) for n, c in zip(("e", "c"), entailment_a_of(x["p"], x["h"]), strict=True))))
+    return found["e"], found["c"]
+
+
+def entailment_a_of(p: Column, h: Column) -> tuple[Column, Column]:
+    """The same of two arrays of distinct tokens."""
     contra = F.when(F.size(h) == 0, 0.0).when(_negations(p, P.NEGATIONS_A) != _negations(h, P.NEGATIONS_A), 0.5).otherwise(0.0)
     overlap = F.size(F.array_intersect(p, h)) / F.size(h)
     return F.when(F.size(h) == 0, 0.0).otherwise(overlap * (1 - contra)), contra
@@ -73,7 +93,13 @@ def entailment_a(premise: Column, hypothesis: Column) -> tuple[Column, Column]:
 
 def entailment_b(original: Column, rewrite: Column) -> dict[str, Column]:
     """Bidirectional overlap with its own negation list and clamped composite."""
-    o, r = F.array_distinct(tokens(original)), F.array_distinct(tokens(rewrite))
+    both = F.struct(F.array_distinct(tokens(original)).alias("o"), F.array_distinct(tokens(rewrite)).alias("r"))
+    found = let(both, lambda x: F.struct(*(c.alias(n) for n, c in entailment_b_of(x["o"], x["r"]).items())))
+    return {k: found[k] for k in ("forward", "backward", "contradiction", "composite")}
+
+
+def entailment_b_of(o: Column, r: Column) -> dict[str, Column]:
+    """The same of two arrays of distinct tokens."""
     empty = (F.size(o) == 0) | (F.size(r) == 0)
     both = F.size(F.array_intersect(o, r))
     forward, backward = both / F.greatest(F.size(r), F.lit(1)), both / F.greatest(F.size(o), F.lit(1))
@@ -95,7 +121,11 @@ def non_alphabetic(words: Column) -> Column:
 
 def degeneracy(original: Column, rewrite: Column) -> Column:
     """The first rule that a rewrite breaks (empty, repetition, length, non_alphabetic), or null."""
-    o, r = tokens(original), tokens(rewrite)
+    return let(F.struct(tokens(original).alias("o"), tokens(rewrite).alias("r")), lambda x: degeneracy_of(x["o"], x["r"]))
+
+
+def degeneracy_of(o: Column, r: Column) -> Column:
+    """The same of two arrays of tokens."""
     ratio = F.when(F.size(o) > 0, F.size(r) / F.size(o)).otherwise(0.0)
     return (
         F.when(F.size(r) == 0, "empty")
@@ -107,20 +137,22 @@ def degeneracy(original: Column, rewrite: Column) -> Column:
 
 def utility(original: Column, rewrite: Column) -> dict[str, Column]:
     """Cosine, entailment both ways, contradiction and their composite, which is 0 for a degenerate rewrite."""
-    cosine = token_cosine(original, rewrite)
-    forward, c1 = entailment_a(original, rewrite)
-    backward, c2 = entailment_a(rewrite, original)
-    contra = F.greatest(c1, c2)
-    reason = degeneracy(original, rewrite)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.45 * cosine + 0.30 * forward + 0.25 * backward - 0.50 * contra))
-    return {
-        "cosine": F.round(cosine, 4),
-        "forward": F.round(forward, 4),
-        "backward": F.round(backward, 4),
-        "contradiction": F.round(contra, 4),
-        "utility": F.round(F.when(reason.isNull(), score).otherwise(0.0), 4),
-        "reason": reason,
-    }
+    words = F.struct(tokens(original).alias("o"), tokens(rewrite).alias("r"))
+
+    def parts(x: Column) -> Column:
+        o, r = F.array_distinct(x["o"]), F.array_distinct(x["r"])
+        forward, c1 = entailment_a_of(o, r)
+        backward, c2 = entailment_a_of(r, o)
+        found = (cosine_of(x["o"], x["r"]), forward, backward, F.greatest(c1, c2), degeneracy_of(x["o"], x["r"]))
+        return F.struct(*(c.alias(n) for n, c in zip(("cosine", "forward", "backward", "contradiction", "reason"), found, strict=True)))
+
+    def composed(x: Column) -> Column:
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.45 * x["cosine"] + 0.30 * x["forward"] + 0.25 * x["backward"] - 0.50 * x["contradiction"]))
+        out = [F.round(x[n], 4).alias(n) for n in ("cosine", "forward", "backward", "contradiction")]
+        return F.struct(*out, F.round(F.when(x["reason"].isNull(), score).otherwise(0.0), 4).alias("utility"), x["reason"].alias("reason"))
+
+    found = let(let(words, parts), composed)
+    return {k: found[k] for k in ("cosine", "forward", "backward", "contradiction", "utility", "reason")}
 
 
 def acceptable(m: dict[str, Column], cosine: float = 0.82, least: float = 0.60) -> Column:

@@ -75,14 +75,14 @@ def negatives(target: Column, source: Column, attribute: Column) -> Column:
     a tag in the place of an own word, or before the text."""
     t = F.trim(target)
     close = F.when(F.contains(t, F.lit("?")), "?").otherwise(".")
-    first = F.trim(F.get(F.split(t, r",\s*(?:and\s+|can\s+|could\s+|please\s+|help\s+)?"), F.lit(0)))
+    first = F.trim(F.get(F.split(t, P.NEGATIVE_CLAUSE), F.lit(0)))
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     clause = F.when(first.rlike(r"[?.]$"), first).otherwise(F.concat(first, close))
     several = F.size(F.filter(F.split(first, r"\s+"), lambda w: w != "")) >= 4
     half = F.concat(F.array_join(F.slice(words, F.lit(1), (F.size(words) / 2).cast("int")), " "), close)
     cut = F.when((first != t) & several & (clause != t), clause).when(F.size(words) >= 12, half)
     tag = F.concat(F.lit("["), F.upper(attribute), F.lit("]"))
-    tagged = F.trim(F.regexp_replace(t, F.lit(r"\bmy (?:work|role|area|studies)\b"), tag))
+    tagged = F.trim(F.regexp_replace(t, F.lit(P.NEGATIVE_OWN_WORD), tag))
     marked = F.when(tagged != t, tagged).otherwise(F.concat(tag, F.lit(": "), t))
-    kinds = (("truncation_over_scrub", cut), ("pii_leak_under_scrub", F.trim(source)), ("syntax_placeholder_degenerate", marked))
+    kinds = zip(P.NEGATIVE_KINDS, (cut, F.trim(source), marked), strict=True)
     return F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("text")) for k, x in kinds)), lambda n: n["text"].isNotNull() & (n["text"] != t))

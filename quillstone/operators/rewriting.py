@@ -18,7 +18,7 @@ from quillstone.functions import text as T
 _RULES = {
     "veto": re.compile(P.DISCLOSURE_VETO, re.I),
     "says": re.compile("|".join(f"(?:{p})" for p in P.DISCLOSURE), re.I),
-    "paren": re.compile(r"\s*\(([^)]+)\)[.!?]?$"),
+    "paren": re.compile(P.CLOSING_PAREN),
     "break": re.compile(P.SENTENCE_BREAK),
     "back": re.compile(P.BACK_REFERENCE, re.I),
     "lead": re.compile(P.LEADING_CLAUSE),
@@ -60,10 +60,9 @@ def pruned(texts: pd.Series) -> pd.Series:
     return texts.map(prune_text)
 
 
-def with_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with candidates, an array of distinct rewrites in order: pruned, general, more general, plain, tagged,
-    neutral. A degenerate general rewrite ends the list before the neutral one. Each step is a column of its own, so none
-    is evaluated again by the ones that follow."""
+def _steps(rows: DataFrame, text: str) -> DataFrame:
+    """rows with the texts that candidates are made of, each a column of its own, so that none is evaluated again by the
+    ones that follow: scrubbed, pruned, general, more general, tagged, neutral."""
     t, c = F.col(text), F.col
     out = rows.withColumns({"__base": V.scrubbed(t)[0], "__p": pruned(t)}).withColumn("__p", V.scrubbed(c("__p"))[0])
     for name, start, rules in (("__g", "__base", P.GENERAL), ("__m", "__g", P.MORE_GENERAL), ("__t", "__base", P.PLACEHOLDERS)):
@@ -71,25 +70,73 @@ def with_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("__n", c("__base"))
     for a in P.ATTRIBUTES:
         out = out.withColumn("__n", V.neutral(c("__n"), a))
-    out = out.withColumn("__good", T.degeneracy(t, c("__g")).isNull())
-    found = F.array(
+    return out.withColumn("__good", T.degeneracy(t, c("__g")).isNull())
+
+
+_MADE = ("__base", "__p", "__g", "__m", "__t", "__n", "__good")
+
+
+def _plain(text: str) -> list:
+    """The candidates in order; those that do not apply are null."""
+    t, c = F.col(text), F.col
+    good = lambda x: F.when(c("__good"), x)
+    return [
         F.when((F.lower("__p") != F.lower(F.trim(t))) & (F.length("__p") >= 10), c("__p")), c("__g"), c("__m"),
-        F.trim(T.replaced(c("__m"), r"\ban adult\b", "someone", ignore_case=True)), F.when(c("__t") != c("__base"), c("__t")), F.when(c("__good"), T.squeezed(c("__n"))),
-    )
-    out = out.withColumn("candidates", F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != ""))))
-    return out.drop("__base", "__p", "__g", "__m", "__t", "__n", "__good")
+        F.trim(T.replaced(c("__m"), r"\ban adult\b", "someone", ignore_case=True)), F.when(c("__t") != c("__base"), c("__t")), good(T.squeezed(c("__n"))),
+        good(F.trim(T.chain(c("__base"), P.AGE_AND_ROLE))), good(F.trim(T.chain(c("__base"), P.ROLE_AND_SCHOOL))),
+    ]
+
+
+def _listed(rows: DataFrame, found: list) -> DataFrame:
+    return rows.withColumn("candidates", F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull() & (F.trim(x) != ""))))
+
+
+def with_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with candidates, an array of distinct rewrites in order: pruned, general, more general, plain, tagged,
+    neutral, by age and role, by role and school. A degenerate general rewrite ends the list before the neutral one."""
+    return _listed(_steps(rows, text), _plain(text)).drop(*_MADE)
+
+
+def with_diverse_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with candidates: rewrites in several registers (pruned from the scrubbed text, formal, casual, subordinate,
+    natural), then those of with_candidates."""
+    c = F.col
+    out = _steps(rows, text).withColumn("__ps", pruned(c("__base"))).withColumn("__f", T.squeezed(T.chain(c("__n"), P.FORMAL)))
+    first = F.when((F.lower("__ps") != F.lower(F.trim("__base"))) & (F.length("__ps") >= 10), c("__ps"))
+    opening = F.concat(F.lit(P.SUBORDINATE_OPENING), F.lower(F.substring("__f", 3, 1)), F.substring("__f", 4, 1 << 30))
+    own = [first, c("__f"), T.squeezed(T.chain(c("__base"), P.CASUAL)), F.when(F.lower("__f").startswith("i ") & (F.length("__f") > 2), opening), T.squeezed(T.chain(c("__base"), P.NATURAL))]
+    return _listed(out, own + _plain(text)).drop(*_MADE, "__ps", "__f")
+
+
+def with_best(rows: DataFrame, text: str = "text", most_risk: float = 0.30, least_cosine: float = 0.82) -> DataFrame:
+    """rows, which have candidates, with rewrite, engine, cosine and kept. Of the candidates that differ, are not
+    degenerate, leave no identifier, are below the risk and close enough, the most useful one is taken, the first of
+    equals; without one, the redacted text (engine redaction, no cosine). kept counts the candidates that pass. All of it
+    happens in the row: tokens are made once for the text and once for a candidate."""
+    own, arr = F.col("__w"), F.col("__c")
+    words = F.transform("candidates", lambda c: F.struct(c.alias("cand"), T.tokens(c).alias("w")))
+    rows = rows.withColumn("__w", T.tokens(F.col(text))).withColumn("__c", words)
+
+    def measures(x):
+        return F.struct(
+            x["cand"].alias("cand"), T.cosine_of(own, x["w"]).alias("cos"),
+            T.entailment_b_of(F.array_distinct(own), F.array_distinct(x["w"]))["composite"].alias("ent"), T.degeneracy_of(own, x["w"]).isNull().alias("fine"),
+            (~V.scrubbed(x["cand"])[1]).alias("clean"), F.greatest(*V.rule_scores(x["cand"]).values()).alias("risk"),
+        )
+
+    rows = rows.withColumn("__c", F.transform(arr, measures))
+    passes = lambda x: (F.trim(x["cand"]) != F.trim(F.col(text))) & x["fine"] & x["clean"] & (x["risk"] < most_risk) & (F.round(x["cos"], 4) >= least_cosine)
+    rows = rows.withColumn("__c", F.filter(F.transform(arr, lambda x, i: F.struct(passes(x).alias("ok"), (-F.round(0.6 * x["cos"] + 0.4 * x["ent"], 4)).alias("o"), i.alias("i"), x["cand"].alias("cand"), F.round(x["cos"], 4).alias("cos"))), lambda x: x["ok"]))
+    best = F.array_min(F.transform(arr, lambda x: F.struct(x["o"].alias("o"), x["i"].alias("i"), x["cand"].alias("cand"), x["cos"].alias("cos"))))
+    rows = rows.withColumn("__b", best)
+    taken = F.col("__b").isNotNull()
+    return rows.withColumns({
+        "rewrite": F.when(taken, F.col("__b")["cand"]).otherwise(V.redacted(F.col(text))), "engine": F.when(taken, "heuristic").otherwise("redaction"),
+        "cosine": F.col("__b")["cos"], "kept": F.size("__c"),
+    }).drop("__w", "__c", "__b")
 
 
 def selected(messages: DataFrame, key: list[str], text: str = "text", most_risk: float = 0.30, least_cosine: float = 0.82) -> DataFrame:
-    """(key, rewrite, engine): of the candidates that differ, are not degenerate, leave no identifier, are below the risk
-    and close enough, the most useful one, the first of equals; else the redacted text."""
-    rows = with_candidates(messages.select(*key, F.col(text).alias("text"))).select(*key, "text", F.posexplode_outer("candidates").alias("pos", "cand"))
-    cand = F.col("cand")
-    _, left = V.scrubbed(cand)
-    risk = F.greatest(*V.rule_scores(cand).values())
-    cosine = F.round(T.token_cosine(F.col("text"), cand), 4)
-    useful = F.round(0.6 * T.token_cosine(F.col("text"), cand) + 0.4 * T.entailment_b(F.col("text"), cand)["composite"], 4)
-    rows = rows.withColumns({"left": left, "risk": risk, "cosine": cosine, "useful": useful, "reason": T.degeneracy(F.col("text"), cand)})
-    ok = cand.isNotNull() & (F.trim(cand) != F.trim("text")) & F.col("reason").isNull() & ~F.col("left") & (F.col("risk") < most_risk) & (F.col("cosine") >= least_cosine)
-    best = rows.groupBy(*key).agg(F.first("text").alias("text"), F.min_by(F.when(ok, cand), F.when(ok, F.struct(-F.col("useful"), F.col("pos")))).alias("best"))
-    return best.select(*key, F.coalesce("best", V.redacted(F.col("text"))).alias("rewrite"), F.when(F.col("best").isNull(), "redaction").otherwise("heuristic").alias("engine"))
+    """(key, rewrite, engine) of the best candidate of each message."""
+    rows = with_candidates(messages.select(*key, F.coalesce(F.col(text), F.lit("")).alias("text")))
+    return with_best(rows, "text", most_risk, least_cosine).select(*key, "rewrite", "engine")

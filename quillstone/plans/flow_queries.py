@@ -44,7 +44,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("str17_candidates")
 def _(spark, sf):
-    return rewriting.with_candidates(sentences(spark, sf)).select("conv_id", "turn", F.posexplode("candidates").alias("pos", "candidate"))
+    return rewriting.with_candidates(sentences(spark, sf)).select("conv_id", "turn", F.posexplode_outer("candidates").alias("pos", "candidate"))
+
+
+@query("str17_diverse_candidates")
+def _(spark, sf):
+    return rewriting.with_diverse_candidates(sentences(spark, sf)).select("conv_id", "turn", F.posexplode_outer("candidates").alias("pos", "candidate"))
 
 
 @query("udf11_selected_rewrite")
@@ -90,12 +95,11 @@ def _(spark, sf):
 @query("plan_analyze")
 def _(spark, sf):
     """The whole flow for one message: identifiers, scores, gate, rewrite, second scores, utility, verdict."""
-    m = sentences(spark, sf)
     overall = lambda text: F.greatest(*V.rule_scores(F.col(text)).values())
-    scored = m.select("conv_id", "turn", "text", overall("text").alias("before"), V.scrubbed(F.col("text"))[1].alias("hard"), V.impersonal(F.col("text")).alias("other"))
+    rows = sentences(spark, sf).select("conv_id", "turn", "text", overall("text").alias("before"), V.scrubbed(F.col("text"))[1].alias("hard"), V.impersonal(F.col("text")).alias("other"))
+    rows = rewriting.with_best(rewriting.with_candidates(rows))
     passed = ((F.col("before") < P.MEDIUM_EDGE) | F.col("other")) & ~F.col("hard")
-    both = scored.join(rewriting.selected(m, ["conv_id", "turn"]), ["conv_id", "turn"])
-    both = both.select("conv_id", "turn", "text", "before", F.when(passed, "passthrough").otherwise(F.col("engine")).alias("engine"), F.when(passed, F.col("text")).otherwise(F.col("rewrite")).alias("served"))
+    both = rows.select("conv_id", "turn", "text", "before", F.when(passed, "passthrough").otherwise(F.col("engine")).alias("engine"), F.when(passed, F.col("text")).otherwise(F.col("rewrite")).alias("served"))
     both = both.withColumns({"after": overall("served"), "left": V.scrubbed(F.col("served"))[1].cast("int"), "utility": T.utility(F.col("text"), F.col("served"))["utility"]})
     delta, verdict = curation.verdict(F.col("before"), F.col("after"), F.col("left"), F.col("utility"))
     return both.select("conv_id", "turn", "engine", "served", "before", "after", "utility", delta.alias("delta"), verdict.alias("verdict"))

@@ -32,6 +32,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are; larger inputs are not shuffled. For queries
+    that take much time for a row."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
@@ -42,7 +49,7 @@ def sql_pick(values, index: str) -> str:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, role, text, other): every message with one sentence more, and with the next sentence as well."""
-    c = read(spark, sf_dir, "conversations")
+    c = spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     at = F.col("conv_id") * 7 + F.col("turn")
     base = F.substring(F.coalesce("text", F.lit("")), 1, 1 << 30)
     return c.select("conv_id", "turn", "role", F.concat(base, F.lit(" "), pick(SENTENCES, at)).alias("text"), F.concat(base, F.lit(" "), pick(SENTENCES, at + 1)).alias("other"))
@@ -53,13 +60,15 @@ MESSAGES = f"""msg AS (SELECT conv_id, turn, role, coalesce(text, '') || ' ' ||
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, text, other): the added sentences alone."""
-    c = read(spark, sf_dir, "conversations")
+    """(conv_id, turn, text, other): every message with one sentence more, and with another one instead."""
+    c = spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     at = F.col("conv_id") * 7 + F.col("turn")
-    return c.select("conv_id", "turn", pick(SENTENCES, at).alias("text"), pick(SENTENCES, at + 5).alias("other"))
+    base = F.coalesce("text", F.lit(""))
+    return c.select("conv_id", "turn", F.concat(pick(SENTENCES, at), F.lit(" "), base).alias("text"), F.concat(pick(SENTENCES, at + 5), F.lit(" "), base).alias("other"))
 
 
-SHORT = f"sen AS (SELECT conv_id, turn, {sql_pick(SENTENCES, 'conv_id * 7 + turn')} AS text, {sql_pick(SENTENCES, 'conv_id * 7 + turn + 5')} AS other FROM conversations)"
+SHORT = f"""sen AS (SELECT conv_id, turn, {sql_pick(SENTENCES, 'conv_id * 7 + turn')} || ' ' || coalesce(text, '') AS text,
+                {sql_pick(SENTENCES, 'conv_id * 7 + turn + 5')} || ' ' || coalesce(text, '') AS other FROM conversations)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
