@@ -26,7 +26,7 @@ def test_cumulative(spark):
 
 HITS = [
     ("OR", "Orlando", False), ("me", "Augusta, ME", False), ("Augusta, ME", "Augusta", True), ("Orleans", "New Orleanian", False), ("61", "61", True), ("unknown", "unknown", False),
-    ("Pastry Cook", "Ship Cook", False), ("gp", "Physician", True), ("mid 50s", "55", True), ("mid 50s", "59", False), ("72", "30s", False),
+    ("Pastry Cook", "Ship Cook", False), ("attorney", "Lawyer", True), ("mid 50s", "55", True), ("mid 50s", "59", False), ("72", "30s", False),
 ]
 
 
