@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Bound on the labelled rows that the fit uses.
-MAX_ROWS = 3_000
+MAX_ROWS = 1000
 #: Words whose log-probabilities a worker keeps.
 CACHE_WORDS = 200_000
 _TINY = 1e-120
@@ -158,18 +158,21 @@ def _expected(t: Trie, probs: np.ndarray, words: list[str], counts: np.ndarray)
     p = probs[:, None]
     for pick, group in _groups(words):
         data, size = _padded(group)
-        if data.shape[1] > 100:  # beyond this the products leave the range of a double
-            continue
-        alpha, _ = _forward(t, p, data, size)
+        alpha, added = _forward(t, p, data, size)
         rows = np.arange(len(size))
-        weight = counts[pick] / np.maximum(alpha[size, rows, 0], 1e-300)
-        beta = np.zeros((data.shape[1] + 1, len(size)))
+        log_z = np.log(np.maximum(alpha[size, rows, 0], 1e-300)) + added[size, rows, 0]
+        beta, scale = np.zeros((data.shape[1] + 1, len(size))), np.zeros(len(size))  # true values: beta times e^scale
         beta[size, rows] = 1.0
         for s in range(data.shape[1] - 1, -1, -1):
+            weight = counts[pick] * np.exp(np.minimum(added[s, :, 0] + scale - log_z, 700.0))
             for e, r, piece in _walk(t, data, size, s):
                 use = probs[piece] * beta[e, r]
                 beta[s, r] += use
                 out += np.bincount(piece, use * alpha[s, r, 0] * weight[r], t.size)
+            if s % 16 == 0 and (low := (beta[s] < _TINY) & (beta[s] > 0)).any():
+                ahead = slice(s, min(s + t.longest, data.shape[1]) + 1)
+                beta[ahead] = np.where(low[None], beta[ahead] / _TINY, beta[ahead])
+                scale += np.where(low, np.log(_TINY), 0.0)
     return out
 
 
@@ -189,13 +192,16 @@ def fit_counts(t: Trie, counts: dict[str, Counter], rounds: int = 3, smoothing:
 
 
 def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
-    """Fit on about max_rows of the rows with a language at most, those with the smallest hashes of id and text."""
+    """Fit on at most about max_rows rows of each language, those with the smallest hashes of id and text. Rows of equal
+    id and text teach once."""
     known = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
-        docs[lang_col].alias("lang"), docs[text_col].alias("text"), F.pmod(F.xxhash64(docs[id_col]), F.lit(1_000_003)).alias("part")
+        docs[lang_col].alias("lang"), docs[text_col].alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("key")
     )
-    total = known.count()
-    if total > max_rows:
-        known = known.where(F.col("part") < int(1_000_003 * max_rows / total))
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if any(n > max_rows for n in totals.values()):
+        shares = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, int(1_000_003 * min(1.0, max_rows / n)))))
+        known = known.where(F.pmod(F.col("key"), F.lit(1_000_003)) < F.element_at(shares, F.col("lang")))
+    known = known.dropDuplicates(["lang", "key"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}

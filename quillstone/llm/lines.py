@@ -216,6 +216,8 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice,
         counts, twice = shared.value
         twice = np.unpackbits(twice).view(bool)
         held, lines, entries = [], 0, 0
+        # A bucket holds many tokens, so what it has beyond the mean tells whether one of them is common.
+        common = counts.mean() + max(COMMON, counts.mean()) if COMMON else 0
         for part in (p for batch in it for p in tokens.parts(batch.column(0).to_pylist())):
             s = _Sets(tokens, part, counts, min_words)
             if not len(s.size):
@@ -223,7 +225,7 @@ def index_rows(docs: DataFrame, threshold: float, min_words: int, counts, twice,
             reach = (s.size - _least_overlap(s.size, threshold))[s.line]  # the last place of the prefix
             near = np.flatnonzero(s.place <= reach)
             near = near[twice[(s.token[near] & np.uint64((1 << TWICE_BITS) - 1)).astype(np.int64)]]
-            alone = (s.rarity[near] <= COMMON) | (s.size[s.line[near]] == 1)  # a set of one token has no second one
+            alone = (s.rarity[near] <= common) | (s.size[s.line[near]] == 1)  # a set of one token has no second one
             rare, often = near[alone], near[~alone]
             lines_, keys, places = [s.line[rare]], [s.token[rare]], [s.place[rare]]
             step = 1

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", as_filter: float | None = None) -> DataFrame:
-    """All columns of docs and score double; with as_filter, docs' own columns of the rows that score at least that."""
+    """All columns of docs (an own column score gives way) and score double; with as_filter, docs' own columns of the rows that score at least that."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 2^18 numbers, twice
     at = docs.columns.index(text_col)
 
@@ -172,4 +172,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", as_filter: floa
     names = [f"c{i}" for i in range(len(docs.columns))]  # an input column may itself be called score
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
     out = docs.toDF(*names).mapInArrow(run, f"{schema}, score double")
-    return out.toDF(*docs.columns, "score")
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c != "score"), "score")
