@@ -123,7 +123,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> M
         share = min(max(share, edge), 1 - edge)
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, float(np.log(share / (1 - share))))
     ratio = log_count_ratio(rows, labels)
-    values = [(r := ratio[s]) / (np.sqrt((r * r).sum()) or 1.0) for s in rows]
+    values = [((r := ratio[s]) / (np.sqrt((r * r).sum()) or 1.0)).astype(np.float32) for s in rows]
     sign = np.where(labels == 1, 1.0, -1.0)
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) * cost  # both classes weigh the same
     w, b = dual_coordinate_descent(rows, values, sign, balance, size)
@@ -148,9 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         known = known.where(part < int(1_000_003 * max_rows / total))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = texts.join(F.broadcast(known), "id").select("y", "text").mapInArrow(run, "y int, slots binary")
-    found = found.collect()
-    found.sort(key=lambda r: (r["y"], bytes(r["slots"])))  # whatever order the tasks ended in
-    return fit_rows([np.frombuffer(r["slots"], np.uint32).astype(np.int64) for r in found], np.array([r["y"] for r in found], np.int64))
+    # Arrow batches rather than rows, and slots of four bytes that are views of them: the driver holds each once.
+    table = found.toArrow()
+    y, packed = table.column("y").to_pylist(), table.column("slots").to_pylist()
+    del table
+    order = sorted(range(len(y)), key=lambda i: (y[i], packed[i]))  # whatever order the tasks ended in
+    return fit_rows([np.frombuffer(packed[i], np.uint32) for i in order], np.array([y[i] for i in order], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", as_filter: float | None = None) -> DataFrame:
