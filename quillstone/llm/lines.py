@@ -9,9 +9,9 @@ result). Two lines can only be similar if they share a token in their prefixes,
 these only those that may occur twice. Under each token lines meet sorted by size; the length filter, the positional
 filter, the shorter indexing prefix of the smaller set and a parity-bit filter (each token that only one line has flips
 one bit) leave few candidates, and signatures of 512 parity bits fewer. A token that is very common is indexed together with the next token of the prefix, as two
-similar lines of two or more words share at least two. Sets that meet are put into clusters, named by the smallest set of
-the cluster that the smallest set itself is in, so that near copies of one line are mostly in one cluster and their tokens
-travel once; clusters beyond CLUSTER_ROWS are compared in pairs of blocks. There Jaccard is verified on the whole sets, with
+similar lines of two or more words share at least two. Sets that meet are put into clusters, named by
+their smallest set, so that near copies of one line are mostly in one cluster and their tokens travel once; clusters beyond
+CLUSTER_ROWS are compared in pairs of blocks. There Jaccard is verified on the whole sets, with
 the earliest set of every cluster compared first, and a set that has met an earlier similar one is not compared again. All
 pairs are never written. Equal sets within a task count once before anything is shuffled.
 
@@ -344,15 +344,6 @@ def candidates(index: DataFrame, threshold: float) -> DataFrame:
     return index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda it: _runs(it, handle), "cluster long, set long")
 
 
-def merged_clusters(found: DataFrame, times: int = 2) -> DataFrame:
-    """(cluster, set) with each cluster going by the smallest cluster that the set it is named by belongs to. Sets that are
-    in one cluster stay together."""
-    for _ in range(times):
-        up = found.groupBy(F.col("set").alias("cluster")).agg(F.min("cluster").alias("up"))
-        found = found.join(up, "cluster").select(F.col("up").alias("cluster"), "set").distinct()
-    return found
-
-
 def dealt(clusters: DataFrame) -> DataFrame:
     """(task, set): the tasks in which the sets of a cluster meet. A cluster of up to CLUSTER_ROWS is one task; of a larger
     one every pair of its blocks is, and a set goes to all tasks of its block."""
@@ -516,14 +507,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     ).where(F.col("text").isNotNull())
     counts, twice = token_counts(rows)
     found = materialize(candidates(index_rows(rows, threshold, min_words, counts, twice), threshold).distinct())
-    clusters = materialize(merged_clusters(found.where("cluster is not null")))
+    clusters = found.where("cluster is not null")
     lines = materialize(lines_of(rows, Bloom.of(found.select("set")), Bloom.of(clusters.select("set")), min_words, counts))
     # Signatures of 64 bytes first tell more closely which sets may be similar, and only the tokens of these travel.
-    closer = refined(signed(lines).join(dealt(clusters), "set"), threshold)
-    clusters = materialize(merged_clusters(materialize(closer.distinct())))
+    closer = materialize(refined(signed(lines).join(dealt(clusters), "set"), threshold).distinct())
     first = materialize(lines.groupBy("set", "twin").agg(F.min(F.struct("ord", "line")).alias("p")).select("set", "twin", "p.ord", "p.line"))
     # Tokens travel twice, once to learn their tasks and once to these.
-    info = first.join(dealt(clusters), "set")
+    info = first.join(dealt(closer), "set")
     pool = lines.where("tokens is not null").select("set", "twin", "tokens").join(info, ["set", "twin"])
     hits = matches(pool, threshold).distinct().withColumn("hit", F.lit(True))
     # A written table, so that the join with the lines, in which one set may be very frequent, can be split.
