@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import flow_queries, metric_queries, more_queries, privacy_queries, study_queries
+from quillstone.plans import extra_queries, flow_queries, metric_queries, more_queries, privacy_queries, study_queries
 from quillstone.plans.deploy import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,6 @@ def _shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {k: _shipped(f) for k, f in (privacy_queries.QUERIES | metric_queries.QUERIES | flow_queries.QUERIES | more_queries.QUERIES | study_queries.QUERIES).items()}
-ORACLE_SQL: dict[str, str] = privacy_queries.ORACLE_SQL | metric_queries.ORACLE_SQL | flow_queries.ORACLE_SQL | more_queries.ORACLE_SQL | study_queries.ORACLE_SQL
+QUERIES: dict[str, Query] = {k: _shipped(f) for k, f in (privacy_queries.QUERIES | metric_queries.QUERIES | flow_queries.QUERIES | more_queries.QUERIES | study_queries.QUERIES | extra_queries.QUERIES).items()}
+ORACLE_SQL: dict[str, str] = privacy_queries.ORACLE_SQL | metric_queries.ORACLE_SQL | flow_queries.ORACLE_SQL | more_queries.ORACLE_SQL | study_queries.ORACLE_SQL | extra_queries.ORACLE_SQL
 FLAGSHIP = QUERIES["win01_05_leakage"]
