@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import patterns as P
 from quillstone.functions.privacy import band
+from quillstone.functions.text import let
 
 
 def cumulative_risk(scores: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -87,6 +88,32 @@ def posterior_leakage(distributions: DataFrame, by: str = "conv_id", order: str
     return out.withColumn("delta", F.round(F.col("leakage") - F.coalesce(F.lag("leakage").over(Window.partitionBy(by).orderBy(order)), F.lit(0.0)), 4))
 
 
+def _softmax(logs: Column) -> Column:
+    grown = F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
+    return let(grown, lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x)))
+
+
+def label_leakage(labels: DataFrame, by: str = "conv_id", order: str = "turn") -> DataFrame:
+    """posterior_leakage of turn_distributions, straight from the guessed labels (one column for each attribute): the running
+    sum of every label is a column of one window, so there is one scan, one shuffle and no row for each label."""
+    upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {}
+    for a, names in P.TAXONOMY.items():
+        k = len(names)
+        known = F.col(a).isin(*names)
+        for i, name in enumerate(names):
+            share = F.when(F.col(a) == name, 0.60).otherwise(0.40 / (k - 1))
+            sums[f"__{a}{i}"] = F.sum(F.when(known, 0.60 * F.log(share * k)).otherwise(0.0)).over(upto)
+    wide = labels.select(by, order, *(c.alias(n) for n, c in sums.items()))
+    logs = {a: F.array(*(F.col(f"__{a}{i}") for i in range(len(names)))) for a, names in P.TAXONOMY.items()}
+    wide = wide.select(by, order, *(let(x, _softmax).alias(f"__{a}") for a, x in logs.items()))
+    wide = wide.select(by, order, *(let(F.col(f"__{a}"), lambda v: ui_scale(inferability(v))).alias(a) for a in P.ATTRIBUTES))
+    top = F.slice(F.sort_array(F.array(*P.ATTRIBUTES), asc=False), 1, 2)
+    now = F.round(F.sqrt((top[0] * top[0] + top[1] * top[1]) / 2), 4)
+    out = wide.withColumn("leakage", F.max(now).over(upto))
+    return out.withColumn("delta", F.round(F.col("leakage") - F.coalesce(F.lag("leakage").over(Window.partitionBy(by).orderBy(order)), F.lit(0.0)), 4))
+
+
 def prefix_curve(turns: DataFrame, counts=(1, 2, 4, 8), by: str = "conv_id", number: str = "turn_number", value: str = "overall") -> DataFrame:
     """(by, requested, used, value): a running value after so many turns, or after the last if there are fewer."""
     length = turns.groupBy(by).agg(F.max(number).alias("turns"))

@@ -14,10 +14,17 @@ def rate(condition: Column) -> Column:
 
 
 def pr_auc(scored: DataFrame, by: str = "attribute", p: str = "p", y: str = "y", tie: str = "id") -> DataFrame:
-    """Step-wise average precision. Rows of equal score are taken in the order of `tie`."""
-    order = Window.partitionBy(by).orderBy(F.desc(p), tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = scored.select(by, y, F.sum(y).over(order).alias("tp"), F.count("*").over(order).alias("k"))
-    return rows.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col(y) == 1, F.col("tp") / F.col("k"))) / F.sum(y), F.lit(0.0)).alias("pr_auc"))
+    """Step-wise average precision. Rows of equal score are taken in the order of `tie`. Range partitions of the whole order
+    count by themselves and add what the ones before them hold, so a group with very many rows is not one task."""
+    parts = scored.select(by, p, y, tie).repartitionByRange(F.col(by), F.col(p).desc(), F.col(tie)).withColumn("__p", F.spark_partition_id())
+    order = Window.partitionBy("__p", by).orderBy(F.desc(p), tie).rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.select(by, y, "__p", F.sum(y).over(order).alias("tp"), F.count("*").over(order).alias("k"))
+    sizes = rows.groupBy("__p", by).agg(F.max("tp").alias("pos"), F.max("k").alias("n"))  # a row for each partition and group
+    earlier = Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__p", by, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b_{c}") for c in ("pos", "n")))
+    rows = rows.join(before, ["__p", by])
+    precision = (F.col("tp") + F.col("b_pos")) / (F.col("k") + F.col("b_n"))
+    return rows.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col(y) == 1, precision)) / F.sum(y), F.lit(0.0)).alias("pr_auc"))
 
 
 def roc_auc(scored: DataFrame, by: str = "attribute", p: str = "p", y: str = "y") -> DataFrame:
@@ -105,15 +112,17 @@ def youden_thresholds(scored: DataFrame, by: str = "attribute", p: str = "p", y:
 def attack_metrics(guesses: DataFrame, truth: str = "label", guess: str = "guess") -> DataFrame:
     """(method, attribute, accuracy, abstained, macro_f1, n). Truths outside the label list are left out; every label of
     the list counts in the mean, with 0 where it never occurs."""
-    names = [(a, x) for a, labels in P.TAXONOMY.items() for x in labels]
-    listed = F.array(*(F.lit(f"{a}:{x}") for a, x in names))
+    listed = F.array(*(F.lit(f"{a}:{x}") for a, labels in P.TAXONOMY.items() for x in labels))
     rows = guesses.where(F.array_contains(listed, F.concat_ws(":", "attribute", truth)))
-    overall = rows.groupBy("method", "attribute").agg(F.count("*").alias("n"), F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy"), F.avg((F.col(guess) == "UNKNOWN").cast("double")).alias("abstained"))
-    both = rows.select("method", "attribute", F.explode(F.array(F.struct(F.col(truth).alias("l"), (F.col(truth) == F.col(guess)).cast("int").alias("tp"), F.lit(1).alias("t"), F.lit(0).alias("g")), F.struct(F.col(guess).alias("l"), F.lit(0).alias("tp"), F.lit(0).alias("t"), F.lit(1).alias("g")))).alias("x")).select("method", "attribute", "x.*")
-    f1 = both.where(F.array_contains(listed, F.concat_ws(":", "attribute", "l"))).groupBy("method", "attribute", "l").agg((2 * F.sum("tp") / (F.sum("t") + F.sum("g"))).alias("f"))
-    size = F.create_map(*(z for a, labels in P.TAXONOMY.items() for z in (F.lit(a), F.lit(len(labels)))))
-    macro = f1.groupBy("method", "attribute").agg(F.sum("f").alias("f")).withColumn("macro_f1", F.col("f") / F.element_at(size, F.col("attribute"))).drop("f")
-    return overall.join(macro, ["method", "attribute"]).select("method", "attribute", "accuracy", "abstained", "macro_f1", "n")
+    cells = rows.groupBy("method", "attribute", F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))
+    # One confusion table for each method and attribute, of as many cells as there are labels and guesses.
+    table = cells.groupBy("method", "attribute").agg(F.collect_list(F.struct("t", "g", "n")).alias("c"))
+    total = lambda test: F.aggregate(F.filter("c", test), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    labels = F.element_at(F.create_map(*(z for a, names in P.TAXONOMY.items() for z in (F.lit(a), F.array(*map(F.lit, names))))), F.col("attribute"))
+    f1 = lambda x: F.struct(total(lambda c: (c["t"] == x) & (c["g"] == x)).alias("tp"), (total(lambda c: c["t"] == x) + total(lambda c: c["g"] == x)).alias("all"))
+    macro = F.aggregate(F.transform(labels, f1), F.lit(0.0), lambda s, x: s + F.when(x["all"] > 0, 2.0 * x["tp"] / x["all"]).otherwise(0.0)) / F.size(labels)
+    table = table.withColumn("n", total(lambda c: F.lit(True)))
+    return table.select("method", "attribute", (total(lambda c: c["t"] == c["g"]) / F.col("n")).alias("accuracy"), (total(lambda c: c["g"] == "UNKNOWN") / F.col("n")).alias("abstained"), macro.alias("macro_f1"), "n")
 
 
 def multiclass_ece(rows: DataFrame, confidence: str = "confidence", hit: str = "hit", bins: int = 15) -> DataFrame:

@@ -399,7 +399,7 @@ _POST = f"""{MESSAGES}, g AS (SELECT conv_id, turn, {_ATTACK} FROM msg WHERE rol
 def _(spark, sf):
     x = V.attack_labels(F.col("text"))
     g = messages(spark, sf).where("role = 'user'").select("conv_id", "turn", *(x[a].alias(a) for a in P.ATTRIBUTES))
-    out = L.posterior_leakage(L.turn_distributions(g))
+    out = L.label_leakage(g)
     return out.select("conv_id", "turn", *(F.round(c, 3).alias(c) for c in (*P.ATTRIBUTES, "leakage")))
 
 

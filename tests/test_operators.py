@@ -81,3 +81,79 @@ def test_bank(spark, tmp_path):
     assert rows[0]["n"] == "I am a health worker in my area, a."
     assert rows[1]["n"] == texts[1] and rows[2]["n"] == texts[2]
     assert rows[3]["m"] == [] and rows[3]["n"] is None
+
+
+def test_leakage_of_labels_equals_that_of_distributions(spark):
+    from quillstone.operators import leakage as L
+
+    rows = [(1, 1, "25-34", "us_west", "UNKNOWN", "phd"), (1, 2, "25-34", "canada", "other", "phd"), (1, 3, None, "us_west", "other", "college"), (2, 1, "UNKNOWN", None, "student", "UNKNOWN")]
+    labels = spark.createDataFrame(rows, "conv_id int, turn int, age string, location string, occupation string, education string").fillna("UNKNOWN")
+    want = {(r["conv_id"], r["turn"]): r for r in L.posterior_leakage(L.turn_distributions(labels)).collect()}
+    for r in L.label_leakage(labels).collect():
+        for c in ("age", "location", "occupation", "education", "leakage", "delta"):
+            assert r[c] == pytest.approx(want[r["conv_id"], r["turn"]][c], abs=1e-3)
+
+
+def test_one_confusion_table(spark):
+    """Accuracy, abstention and macro F1 against a plain loop, with guesses outside the list and labels that never occur."""
+    from quillstone.functions import patterns as P
+    from quillstone.operators import metrics
+
+    rows = [("m", "education", t, g) for t, g in [("phd", "phd"), ("phd", "master"), ("college", "UNKNOWN"), ("master", "master"), ("nothing", "phd"), ("college", "odd")]]
+    out = metrics.attack_metrics(spark.createDataFrame(rows, "method string, attribute string, label string, guess string")).collect()
+    kept = [(t, g) for *_, t, g in rows if t in P.TAXONOMY["education"]]
+    f1 = [2 * sum(t == g == x for t, g in kept) / n if (n := sum((t == x) + (g == x) for t, g in kept)) else 0.0 for x in P.TAXONOMY["education"]]
+    assert [(r["n"], r["accuracy"], r["abstained"], pytest.approx(r["macro_f1"])) for r in out] == [(5, 0.4, 0.2, sum(f1) / 4)]
+
+
+def test_merged_phrases():
+    from quillstone.operators import reporting as R
+
+    text = "I work as a soft ware engineer near Boston harbour."
+    offsets = [(0, 1), (2, 6), (7, 9), (10, 11), (12, 16), (17, 19), (19, 21), (22, 30), (31, 35), (36, 39), (39, 42), (43, 50), (50, 51)]
+    salience = [0.9, 0.1, 0.0, 0.0, 0.5, 0.3, 0.3, 0.8, 0.1, 0.5, 0.5, 0.3, 0.0]
+    assert [(text[a:b], round(s, 2)) for a, b, s in R.merged_phrases(text, offsets, salience)] == [("Boston harbour.", 1.0), ("soft ware engineer", 0.8)]
+    assert R.merged_phrases("", [], []) == [] and R.merged_phrases("ab", [(0, 2)], [0.0]) == []
+
+
+def test_highlight(spark):
+    from quillstone.operators import reporting as R
+
+    cues = [("location", 3, 9, "Boston", 0.72), ("age", 5, 12, "ston & ", 0.5), ("education", 12, 99, "M>T", 0.9), ("age", 4, 4, "", 1.0)]
+    df = spark.createDataFrame([("in Boston & M>T", cues), ("a<b", None), (None, cues)], f"t string, c {R.CUE.join(['array<', '>'])}")
+    mark = lambda a, s, x: f'<mark class="cue cue-{a}" data-attribute="{a}" data-importance="{s}">{x}<span class="cue-badge">{a}</span></mark>'
+    out = [r[0] for r in df.select(R.highlighted(F.col("t"), F.col("c"))).collect()]
+    assert out == [f"in {mark('location', '0.72', 'Boston')} &amp; {mark('education', '0.90', 'M&gt;T')}", "a&lt;b", ""]
+
+
+def test_temperatures(spark):
+    """The fitted temperature against a fine search in plain numpy; labels below zero are left out."""
+    import numpy as np
+
+    from quillstone.operators import reporting as R
+
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 3, (400, 3))
+    y = np.array([rng.choice(3, p=np.exp(v / 2.5) / np.exp(v / 2.5).sum()) for v in z])
+    rows = [("age", v.tolist(), int(k)) for v, k in zip(z, y, strict=True)] + [("age", [9.0, 0.0, 0.0], -100), ("age", None, 1)]
+    got = R.fitted_temperatures(spark.createDataFrame(rows, "attribute string, logits array<double>, label int")).first()
+    loss = lambda t: np.mean(np.log(np.exp(z / t).sum(axis=1)) - z[np.arange(400), y] / t)
+    best = min(np.geomspace(0.05, 10, 20000), key=loss)
+    assert got["n"] == 400 and got["temperature"] == pytest.approx(best, rel=0.02) and got["nll_after"] == pytest.approx(loss(best), abs=1e-3)
+    assert got["nll_before"] == pytest.approx(loss(1.0), abs=1e-3)
+
+
+def test_edit_ratio_and_diverse_candidates(spark):
+    import difflib
+
+    from quillstone.operators import reporting as R
+
+    pairs = [("one two three four", "one three two four five"), ("", ""), (None, "x"), ("same words here", "same words here")]
+    words = lambda t: (t or "").lower().split()
+    out = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(R.edit_ratio(F.col("a"), F.col("b"))).collect()]
+    assert out == pytest.approx([1 - difflib.SequenceMatcher(None, words(a), words(b)).ratio() for a, b in pairs])
+    df = spark.createDataFrame([("I work as a nurse in Boston. How do I file taxes?",), (None,)], "text string")
+    found = [r["candidates"] for r in rewriting.with_diverse_candidates(df).collect()]
+    assert found[0][0] == "How do I file taxes?" and "around where I live" in found[0][2] and len(set(found[0])) == len(found[0])
+    best = rewriting.with_best(rewriting.with_candidates(df.na.fill(""))).collect()
+    assert [r["engine"] for r in best] == ["redaction", "redaction"] or best[0]["engine"] == "heuristic"
