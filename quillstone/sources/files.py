@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,15 +68,41 @@ def inferable(attribute: str):
 
 
 def verified(spark: SparkSession, path: str, sha256: str, schema: T.StructType = COMMENT) -> DataFrame:
-    """A split file whose bytes have this digest; a split named test is refused."""
+    """A split file whose bytes have this digest; a split named test is refused. Spark reads the bytes, so the file may be in
+    any store it knows; the digest is over the whole file, which must fit a task."""
     if "test" in path.rsplit("/", 1)[-1].split("."):
         raise PermissionError("the held-out split is not for training")
-    with open(path, "rb") as f:
-        if (found := hashlib.file_digest(f, "sha256").hexdigest()) != sha256:
-            raise ValueError(f"{path} has digest {found}, not {sha256}")
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).first()
+    if found is None or found["d"] != sha256:
+        raise ValueError(f"{path} has digest {found and found['d']}, not {sha256}")
     return read_jsonl(spark, path, schema)
 
 
+def first_source(spark: SparkSession, *paths: str) -> str:
+    """The first of the paths that exists, in whatever store it is: a local copy, a raw one, a cached one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(conf).exists(p):
+            return path
+    raise FileNotFoundError(f"none of {', '.join(paths)} exists")
+
+
+def flat_records(rows: DataFrame, most: int = 2000) -> DataFrame:
+    """Nested columns as JSON text, and every text column cut to `most` characters (the width of the flat record format)."""
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    out = []
+    for f in rows.schema:
+        c = F.to_json(F.col(f.name)) if isinstance(f.dataType, nested) else F.col(f.name)
+        out.append((F.substring(c, 1, most) if isinstance(f.dataType, (*nested, T.StringType)) else c).alias(f.name))
+    return rows.select(*out)
+
+
+def append_whole(rows: DataFrame, path: str) -> None:
+    """rows added to a JSON log: the commit protocol of the file sink shows either all of them or none."""
+    rows.write.mode("append").json(path)
+
+
 def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
     rows.write.partitionBy(split).mode("errorifexists").json(path)
 
