@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, flac, langid, lines, lm, packing, quality, repeats, simhash, topk
+from quillstone.llm import bpe, divergence, flac, langid, lines, lm, negatives, packing, pii, quality, repeats, simhash, topk
 from quillstone.llm.common import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.points(vectors.select("vec_id", label.alias("label"), "embedding"))
+    return negatives.mine(rows, F.col("id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lm": op2_lm,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_divergence": op11_divergence,
+    "op12_pii": op12_pii,
+    "op13_negatives": op13_negatives,
 }
 
 _WORDS = "list_filter(string_split(translate(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> '')"
@@ -105,4 +123,35 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
         SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10""",
+    "op11_divergence": r"""
+        WITH doc AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        tok AS (SELECT d, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc),
+        per AS (SELECT d, lang, source, term, count(*) AS n FROM tok GROUP BY ALL),
+        kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS lang_n FROM per GROUP BY ALL HAVING count(*) >= 30),
+        size AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+        known AS (SELECT per.lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM per JOIN kept USING (lang, term) GROUP BY ALL),
+        total AS (SELECT lang, source, sum(n) AS total FROM known GROUP BY ALL),
+        grp AS (SELECT g.lang, g.source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total
+                FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN total USING (lang, source) LEFT JOIN size USING (lang)),
+        dense AS (SELECT grp.lang, grp.source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p,
+                         1 + (1000000000 * (lang_n + 5)) // (lang_total + 5 * v) AS q
+                  FROM grp JOIN kept USING (lang) LEFT JOIN known USING (lang, source, term)),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        out AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source
+                LEFT JOIN apart ON apart.lang = g.lang AND apart.source = g.source AND apart.item = h.source
+                UNION ALL SELECT lang, source, 'term', term, p - q FROM dense WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM out)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50""",
+    "op13_negatives": """
+        WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS score
+              FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+        p AS (SELECT anchor, id AS positive, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+        n AS (SELECT p.anchor, positive, p.score AS ps, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY s.score DESC, s.id) AS r
+              FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+        SELECT anchor AS anchor_id, positive AS positive_id, CAST(r AS INTEGER) AS rank, id AS negative_id, CAST(ps AS BIGINT) AS positive_score, CAST(score AS BIGINT) AS negative_score FROM n WHERE r <= 5""",
 }
