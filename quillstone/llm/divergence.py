@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialize
 
-# Fixed value: the pattern of a term.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Fixed value: the pattern of a term, `[^\x00-\x40\x5B-\x60\x7B-\x7F]+`, as it reads once A-Z are in lower case.
+TERM = r"[a-z\x{80}-\x{10FFFF}]+"
 BILLION = 1_000_000_000
 SMOOTHING = 5
 
