@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
@@ -104,6 +104,13 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def below_share(hash64: Column, share: float | Column) -> Column:
+    """Whether a 64-bit hash lies in the lowest share of its range. A share of any size above 2^-64 keeps that many of the
+    rows: unlike a remainder by a small number it never comes down to nothing or to one class."""
+    edge = F.lit(2.0) ** 63 * (2 * (share if isinstance(share, Column) else F.lit(share)) - 1)
+    return hash64.cast("double") <= edge
+
+
 def batches(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, size):
         yield batch.slice(i, size)

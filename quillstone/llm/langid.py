@@ -5,8 +5,8 @@ word can be cut). A word's probability is the sum over all its segmentations int
 probabilities: a forward pass over the word's bytes. The probabilities are fitted by expectation-maximisation over the
 same segmentations. numpy runs the pass for thousands of words and all languages at once, walking a trie of the pieces.
 
-The model is fitted from a bounded sample of labelled rows (`max_rows`, chosen by a hash of the id), which reaches the
-driver as word counts. Whole texts are scored; words are runs of letters, lower-cased.
+The model is fitted from a bounded sample of labelled rows (about `max_rows` of each language, those of the lowest 64-bit
+hashes of id and text), which reaches the driver as word counts. Whole texts are scored; words are runs of letters, lower-cased.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows without a language teach nothing; with no
 row to learn from every text is `und`.
@@ -25,6 +25,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import below_share
+
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Bound on the labelled rows that the fit uses.
@@ -192,15 +194,16 @@ def fit_counts(t: Trie, counts: dict[str, Counter], rounds: int = 3, smoothing:
 
 
 def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
-    """Fit on at most about max_rows rows of each language, those with the smallest hashes of id and text. Rows of equal
-    id and text teach once."""
+    """Fit on about max_rows rows of each language at most, those with the lowest hashes of id and text. Rows of equal id and
+    text teach once. A language with rows to learn from is always learned: the share of its rows has no lower end."""
     known = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
         docs[lang_col].alias("lang"), docs[text_col].alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("key")
     )
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    # Different rows are counted, by a sketch of a fixed size: copies must not thin out what there is to learn from.
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}  # one row a language
     if any(n > max_rows for n in totals.values()):
-        shares = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, int(1_000_003 * min(1.0, max_rows / n)))))
-        known = known.where(F.pmod(F.col("key"), F.lit(1_000_003)) < F.element_at(shares, F.col("lang")))
+        shares = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, max_rows / n))))
+        known = known.where(below_share(F.col("key"), F.element_at(shares, F.col("lang"))))
     known = known.dropDuplicates(["lang", "key"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

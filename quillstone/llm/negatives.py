@@ -46,8 +46,7 @@ def points(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label",
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = vectors.where(vectors[id_col].isNotNull() & vectors[label_col].isNotNull() & x.isNotNull()).where(finite)
     v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    one = F.min(F.struct(rows[label_col].alias("label"), v.alias("v"))).alias("row")
-    return rows.groupBy(rows[id_col].alias("id")).agg(one).select("id", "row.label", "row.v")
+    return rows.select(rows[id_col].alias("id"), rows[label_col].alias("label"), v.alias("v"))
 
 
 def _few(rows: DataFrame, k: int, parts: int = 16) -> DataFrame:
@@ -283,8 +282,9 @@ def _window(score: str, low: int, high: int) -> list[Column]:
 
 def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, **sizes: int) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) over rows (id, label, v), of which anchors
-    are those for which the given column holds. low and high are percentages of the positive's score, not negative."""
-    rows = materialize(rows)
+    are those for which the given column of these holds. low and high are percentages of the positive's score, not
+    negative."""
+    rows = materialize(rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("row")).select("id", "row.label", "row.v"))
     kind = rows.schema["id"].dataType.simpleString()
     index = indexed(materialize(_few(rows, max(positives + 1, negatives))), **sizes)
     if index is None:

@@ -10,13 +10,14 @@ filled with exact lengths: its classes give their longest pieces, and the room t
 takes the longest pieces that fit it. What the patterns leave is packed greedily, and the pieces of each length, ranked,
 take the pattern slots of that length in order.
 
-Defined cases: null text is the empty text (only the end id); ids that are null or repeated are carried along, as ranks
+Defined cases: null text is the empty text (only the end id); runs of white space or of letters may be of any length; ids that are null or repeated are carried along, as ranks
 count rows, not ids; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import PRETOKEN, byte_alphabet
+from quillstone.llm.bpe import PRETOKEN, byte_alphabet, encoder
 from quillstone.llm.common import stored, texts_of
 
 
@@ -44,9 +45,20 @@ def _library_encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: Runs beyond which the faster library's stack or time may not do; texts that have one go to our own encoder, whose time
+#: is in proportion to the text.
+_LONG_RUN = re.compile(r"\s{4096}|\S{65536}")
+
+
 def token_ids(path: str) -> Callable[[str], list[int]]:
-    own = _library_encoder(path)
-    return lambda text: own.encode(text, allowed_special="all", disallowed_special=())
+    library = _library_encoder(path)
+
+    def ids(text: str) -> list[int]:
+        if len(text) >= 4096 and _LONG_RUN.search(text):
+            return np.frombuffer(encoder(path).encode_packed(text), np.uint32).tolist()
+        return library.encode(text, allowed_special="all", disallowed_special=())
+
+    return ids
 
 
 @dataclass

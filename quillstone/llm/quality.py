@@ -3,8 +3,9 @@
 Each indicator is scaled by its class log-count ratio, each document's vector to unit length, and a linear hinge-loss
 model is fitted by dual coordinate descent. A logistic curve, fitted on the training margins, turns margins into scores.
 
-The model is fitted on the driver from a bounded sample of labelled rows (`max_rows`, chosen by a hash of the id); each
-row reaches the driver as its set of at most 2^18 indicator numbers. Scoring covers every whole text.
+The model is fitted on the driver from a bounded sample of labelled rows: about `max_rows` of them and `max_bytes` of their
+indicator numbers, those of the lowest 64-bit hashes. Ids are sampled first; where ids repeat or texts are long, rows are
+sampled again. Rows of equal id, label and text teach once. Scoring covers every whole text.
 
 Defined cases: null and empty texts have no indicator and get the bias's score; labels that are null are no labels; a
 document with several labels teaches each of them; with labels of one class or none the score is that class's share
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import below_share, stored
+
 BITS = 18
-#: Bound on the labelled rows that the fit uses.
-MAX_ROWS = 12_000
+#: Bounds on the labelled rows that the fit uses, and on the bytes of their indicators (four for each).
+MAX_ROWS, MAX_BYTES = 12_000, 256 << 20
 
 
 class Indicators:
@@ -132,24 +135,29 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> M
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most about max_rows of the labelled documents, those with the smallest hashes of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on about max_rows of the labelled documents at most, and about max_bytes of their indicators, as said above."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots_of = Indicators()
         for batch in it:
-            packed = [slots_of(t).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["y", "slots"])
+            packed = [slots_of(t).astype(np.uint32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], ["key", "y", "slots"])
 
     known = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull()).select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).distinct()
     total = known.count()
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
     if total > max_rows:
-        known = known.where(part < int(1_000_003 * max_rows / total))
+        known = known.where(below_share(F.xxhash64("id"), max_rows / total))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = texts.join(F.broadcast(known), "id").select("y", "text").mapInArrow(run, "y int, slots binary")
+    rows = texts.join(F.broadcast(known), "id").select(F.xxhash64("id", "y", F.coalesce("text", F.lit(""))).alias("key"), "y", "text")
+    found = stored(rows.mapInArrow(run, "key long, y int, slots binary"))
+    n, size = found.agg(F.approx_count_distinct("key", 0.02), F.sum(F.length("slots"))).first()
+    share = min(1.0, max_rows / max(1, n), max_bytes / max(1, size or 0))
+    sampled = found if share > 0.9 else found.where(below_share(F.xxhash64("key"), share))  # the key's own low end was taken with the ids'
+    sampled = sampled.dropDuplicates(["key"]).select("y", "slots")
     # Arrow batches rather than rows, and slots of four bytes that are views of them: the driver holds each once.
-    table = found.toArrow()
+    table = sampled.toArrow()
+    found.unpersist()
     y, packed = table.column("y").to_pylist(), table.column("slots").to_pylist()
     del table
     order = sorted(range(len(y)), key=lambda i: (y[i], packed[i]))  # whatever order the tasks ended in
