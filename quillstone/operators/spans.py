@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import patterns as P
 
+#: What the tokens of each kind of entity begin with.
+SESSION_PREFIX = {"EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "ORGANIZATION": "ORG", "LOCATION": "LOCATION", "PERSON": "PERSON"}
 SPAN = "struct<type:string,start:int,end:int,surface:string,confidence:double>"
 
 
@@ -56,8 +58,7 @@ def spliced(text: Column, replacements: Column) -> Column:
 def pseudonymised(messages: DataFrame, by: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """(by, order, pseudonymised, tokens): entities as TYPE_n, numbered in a conversation by first appearance; the same
     entity keeps its token. Spans are chosen by confidence, then length."""
-    kinds = {"EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "ORGANIZATION": "ORG", "LOCATION": "LOCATION", "PERSON": "PERSON"}
-    prefix = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
+    prefix = F.create_map(*(F.lit(x) for kv in SESSION_PREFIX.items() for x in kv))
     found = messages.select(by, order, F.col(text).alias("t"), without_overlaps(explicit_spans(F.col(text), P.SESSION_ENTITIES, ignore_case=True), surest_first).alias("spans"))
     each = found.select(by, order, F.explode("spans").alias("s")).select(by, order, "s.*", F.regexp_replace(F.lower(F.trim("s.surface")), r"\s+", " ").alias("name"))
     from pyspark.sql import Window

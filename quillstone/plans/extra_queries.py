@@ -9,6 +9,7 @@ from quillstone.functions import patterns as P
 from quillstone.functions import privacy as V
 from quillstone.functions import text as T
 from quillstone.operators import banks, rewriting, spans
+from quillstone.operators import cues as C
 from quillstone.operators import reporting as R
 from quillstone.plans.flow_queries import shared_folder
 from quillstone.plans.inputs import MESSAGES, SHORT, messages, quoted, read, sentences, spread
@@ -50,7 +51,7 @@ _RULES = [(a, i, p) for i, (a, ps) in enumerate(P.PRESENCE_CUES.items()) for p i
 @query("str13_pattern_cues", f"WITH {MESSAGES}, m AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, {i} AS i, '{a}' AS attribute, lower(trim(unnest(regexp_extract_all({_NO_ACCENTS}, {quoted('(?i)' + p)})))) AS span FROM msg WHERE {' OR '.join(_rx(LOW, c) for c in P.PRESENCE_CUES[a])}" for a, i, p in _RULES) + ") SELECT conv_id, turn, arg_min(attribute, i) AS attribute, span FROM m WHERE length(span) >= 2 GROUP BY conv_id, turn, span")
 def _(spark, sf):
     scores = F.create_map(*(x for a, s in V.presence_scores(F.col("text")).items() for x in (F.lit(a), s)))
-    cues = R.pattern_cues(F.col("text"), F.col("scores"))
+    cues = C.pattern_cues(F.col("text"), F.col("scores"))
     rows = spread(messages(spark, sf)).withColumn("scores", scores).select("conv_id", "turn", F.explode(cues).alias("c"))
     return rows.select("conv_id", "turn", "c.attribute", F.lower("c.surface").alias("span"))
 
@@ -65,22 +66,22 @@ def _(spark, sf):
 def _(spark, sf):
     """Phrases of each message, from pieces of up to four letters whose salience is their share of capital letters and vowels."""
     rows = spread(messages(spark, sf)).select("conv_id", "turn", "text", _pieces(F.col("text")).alias("p"))
-    found = R.phrase_spans(F.col("text"), F.col("p")["start"], F.col("p")["end"], F.col("p")["salience"])
+    found = C.phrases(F.col("text"), F.col("p"))
     return rows.select("conv_id", "turn", F.explode(found).alias("s")).select("conv_id", "turn", "s.start", "s.end", F.round("s.score", 4).alias("score"))
 
 
 def _pieces(text):
-    """array<struct<start,end,salience>>: runs of up to four word characters, in order."""
+    """array<struct<start,end,score>>: runs of up to four word characters, in order."""
     found = F.regexp_extract_all(text, F.lit(r"(?U)\w{1,4}|\W+"), F.lit(0))
-    step = lambda s, x: F.struct(F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(x)).alias("end"), F.when(x.rlike(r"(?U)^\w"), F.regexp_count(x, F.lit("[A-ZAEIOUaeiou]")) / 4.0).otherwise(0.0).alias("salience")))).alias("out"), (s["at"] + F.length(x)).alias("at"))
-    zero = F.struct(F.expr("cast(array() as array<struct<start:int,end:int,salience:double>>)").alias("out"), F.lit(0).alias("at"))
-    return F.filter(F.aggregate(found, zero, step, lambda s: s["out"]), lambda p: p["salience"] > 0)
+    step = lambda s, x: F.struct(F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(x)).alias("end"), F.when(x.rlike(r"(?U)^\w"), F.regexp_count(x, F.lit("[A-ZAEIOUaeiou]")) / 4.0).otherwise(0.0).alias("score")))).alias("out"), (s["at"] + F.length(x)).alias("at"))
+    zero = F.struct(F.expr("cast(array() as array<struct<start:int,end:int,score:double>>)").alias("out"), F.lit(0).alias("at"))
+    return F.filter(F.aggregate(found, zero, step, lambda s: s["out"]), lambda p: p["score"] > 0)
 
 
 @query("snk07_highlight")
 def _(spark, sf):
     scores = F.create_map(*(x for a, s in V.presence_scores(F.col("text")).items() for x in (F.lit(a), s)))
-    rows = spread(messages(spark, sf)).withColumn("scores", scores).withColumn("cues", R.pattern_cues(F.col("text"), F.col("scores")))
+    rows = spread(messages(spark, sf)).withColumn("scores", scores).withColumn("cues", C.pattern_cues(F.col("text"), F.col("scores")))
     return rows.select("conv_id", "turn", R.highlighted(F.col("text"), F.col("cues")).alias("html"))
 
 
@@ -220,7 +221,7 @@ def _(spark, sf):
 @query("prj05_cue_instruction")
 def _(spark, sf):
     rows = spread(messages(spark, sf)).withColumns({k: v for k, v in V.rule_scores(F.col("text")).items()})
-    rows = rows.withColumn("cues", R.pattern_cues(F.col("text"), F.create_map(*(x for a in P.ATTRIBUTES for x in (F.lit(a), F.col(a))))))
+    rows = rows.withColumn("cues", C.pattern_cues(F.col("text"), F.create_map(*(x for a in P.ATTRIBUTES for x in (F.lit(a), F.col(a))))))
     return rows.select("conv_id", "turn", R.cue_instruction({a: F.col(a) for a in P.ATTRIBUTES}, F.col("cues"), F.col("text")).alias("prompt"))
 
 

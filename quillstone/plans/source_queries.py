@@ -231,7 +231,7 @@ def _(spark, sf):
     return rows.select("conv_id", "turn", F.col("e")[0]["a"].alias("primary_attribute"), F.array_join(F.transform(rest, lambda x: x["a"]), ",").alias("secondary"))
 
 
-@query("top04_verified_cues", "WITH c AS (SELECT l_orderkey AS id, l_linenumber AS k, (l_partkey % 100) / 100.0::DOUBLE AS importance FROM lineitem WHERE l_linenumber <= 6) SELECT id, k, importance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY importance DESC, k) AS r FROM c WHERE importance >= 0.15) WHERE r <= 3")
+@query("top04_best_of_six", "WITH c AS (SELECT l_orderkey AS id, l_linenumber AS k, (l_partkey % 100) / 100.0::DOUBLE AS importance FROM lineitem WHERE l_linenumber <= 6) SELECT id, k, importance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY importance DESC, k) AS r FROM c WHERE importance >= 0.15) WHERE r <= 3")
 def _(spark, sf):
     """Of up to six candidates of a key the three best that reach the floor."""
     c = read(spark, sf, "lineitem").where("l_linenumber <= 6").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("k"), (F.col("l_partkey") % 100 / 100.0).alias("importance")).where("importance >= 0.15")

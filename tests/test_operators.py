@@ -106,21 +106,12 @@ def test_one_confusion_table(spark):
     assert [(r["n"], r["accuracy"], r["abstained"], pytest.approx(r["macro_f1"])) for r in out] == [(5, 0.4, 0.2, sum(f1) / 4)]
 
 
-def test_merged_phrases():
-    from quillstone.operators import reporting as R
-
-    text = "I work as a soft ware engineer near Boston harbour."
-    offsets = [(0, 1), (2, 6), (7, 9), (10, 11), (12, 16), (17, 19), (19, 21), (22, 30), (31, 35), (36, 39), (39, 42), (43, 50), (50, 51)]
-    salience = [0.9, 0.1, 0.0, 0.0, 0.5, 0.3, 0.3, 0.8, 0.1, 0.5, 0.5, 0.3, 0.0]
-    assert [(text[a:b], round(s, 2)) for a, b, s in R.merged_phrases(text, offsets, salience)] == [("Boston harbour.", 1.0), ("soft ware engineer", 0.8)]
-    assert R.merged_phrases("", [], []) == [] and R.merged_phrases("ab", [(0, 2)], [0.0]) == []
-
-
 def test_highlight(spark):
     from quillstone.operators import reporting as R
+    from quillstone.operators.cues import CUE
 
     cues = [("location", 3, 9, "Boston", 0.72), ("age", 5, 12, "ston & ", 0.5), ("education", 12, 99, "M>T", 0.9), ("age", 4, 4, "", 1.0)]
-    df = spark.createDataFrame([("in Boston & M>T", cues), ("a<b", None), (None, cues)], f"t string, c {R.CUE.join(['array<', '>'])}")
+    df = spark.createDataFrame([("in Boston & M>T", cues), ("a<b", None), (None, cues)], f"t string, c {CUE.join(['array<', '>'])}")
     mark = lambda a, s, x: f'<mark class="cue cue-{a}" data-attribute="{a}" data-importance="{s}">{x}<span class="cue-badge">{a}</span></mark>'
     out = [r[0] for r in df.select(R.highlighted(F.col("t"), F.col("c"))).collect()]
     assert out == [f"in {mark('location', '0.72', 'Boston')} &amp; {mark('education', '0.90', 'M&gt;T')}", "a&lt;b", ""]
