@@ -11,11 +11,12 @@ from quillstone.functions import text as T
 from quillstone.operators import banks, rewriting, spans
 from quillstone.operators import cues as C
 from quillstone.operators import reporting as R
-from quillstone.plans.flow_queries import shared_folder
 from quillstone.plans.inputs import MESSAGES, SHORT, messages, quoted, read, sentences, spread
 from quillstone.plans.privacy_queries import _DEG, _PAIR, LOW, PLAIN, _rx, _sql_cascade, _sql_chain, _sql_scores, _sub
 from quillstone.plans.study_queries import STUDY, records
 from quillstone.sources.banks import Bank
+from quillstone.sources.tables import shared_folder
+from quillstone.sources.vault import Vault
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -322,14 +323,22 @@ def _(spark, sf):
     return rows.groupBy("user_id").agg(F.count_if(F.col("event_type") != "signup").alias("since"))
 
 
-@query("str25_vault", "WITH n AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+\\b')) AS name FROM (SELECT conv_id, turn, regexp_replace(text, '[À-ÖØ-öø-ÿ]', 'x', 'g') AS text FROM conversations)), f AS (SELECT lower(trim(name)) AS k, min(conv_id * 100000 + turn) AS place, sha256('salt' || lower(trim(name))) AS digest FROM n GROUP BY ALL) SELECT '[PER_' || row_number() OVER (ORDER BY place, digest) || ']' AS token, digest FROM f ORDER BY place, digest LIMIT 200")
+_NAMED = f"""{MESSAGES}, tx AS (SELECT conv_id, turn, {PLAIN} AS text FROM msg), fd AS (SELECT conv_id, turn, 'PER' AS kind, regexp_extract_all(text, '\\b[A-Z][a-z]+\\b') AS found FROM tx
+    UNION ALL SELECT conv_id, turn, 'ID', regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][a-z]+') FROM tx),
+    ent AS (SELECT conv_id, turn, kind, unnest(found) AS entity, turn * 1000000 + unnest(range(len(found))) AS place FROM fd),
+    f AS (SELECT CAST(conv_id AS VARCHAR) AS session, kind, sha256('pepper' || lower(trim(entity))) AS digest, min(place) AS place FROM ent GROUP BY ALL)"""
+
+
+@query("str25_vault", f"WITH {_NAMED} SELECT session, kind, '[' || kind || '_' || row_number() OVER (PARTITION BY session, kind ORDER BY place, digest) || ']' AS token, digest FROM f")
 def _(spark, sf):
-    """A vault of names: salted digests with tokens by first appearance, whatever the case; the first two hundred."""
-    text = F.regexp_replace("text", "[À-ÖØ-öø-ÿ]", "x")
-    names = read(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("p"), F.explode(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0))).alias("name"))
-    first = names.groupBy(F.sha2(F.concat(F.lit("salt"), F.lower(F.trim("name"))), 256).alias("digest")).agg(F.min("p").alias("at"))
-    top = first.orderBy("at", "digest").limit(200)
-    return top.select(F.concat(F.lit("[PER_"), F.row_number().over(Window.orderBy("at", "digest")), F.lit("]")).alias("token"), "digest")
+    """The vault of every name and address in the messages, learned in two runs: first the early turns, then the others."""
+    rows = messages(spark, sf).select("conv_id", "turn", F.regexp_replace("text", "[À-ÖØ-öø-ÿ]", "x").alias("text"))
+    found = [rows.select("conv_id", "turn", F.lit(kind).alias("kind"), F.posexplode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("i", "entity")) for kind, p in (("PER", r"\b[A-Z][a-z]+\b"), ("ID", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][a-z]+"))]
+    entities = found[0].unionByName(found[1]).select(F.col("conv_id").alias("session"), "turn", "kind", "entity", (F.col("turn") * 1_000_000 + F.col("i")).alias("at"))
+    vault = Vault(spark, shared_folder(spark), secret="a secret that a caller keeps", salt="pepper")
+    vault.learn(entities.where("turn < 3"))
+    vault.learn(entities)
+    return vault.entries().select("session", "kind", Vault.token().alias("token"), "digest")
 
 
 # -- model seams -------------------------------------------------------------------------------------------------

@@ -3,7 +3,6 @@ no SQL and are tested against plain Python on small inputs."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from quillstone.operators import curation, rewriting, spans
 from quillstone.plans.inputs import MESSAGES, SHORT, messages, quoted, read, sentences
 from quillstone.plans.privacy_queries import _LEAK_COLUMNS, LEAK, turn_scores
 from quillstone.sources import files
+from quillstone.sources.tables import shared_folder
 from quillstone.streaming.sessions import leakage_stream
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -31,12 +31,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder all executors share; a local one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-")
-    return f"{base}/quillstone-{uuid.uuid4().hex}"
-
-
 @query("str18_pruned")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return sentences(spark, sf).select("conv_id", "turn", rewriting.pruned(F.concat_ws(" ", "text", "other")).alias("pruned"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import patterns as P
 from quillstone.functions import privacy as V
-from quillstone.plans.flow_queries import shared_folder
+from quillstone.operators.spans import SESSION_PREFIX
 from quillstone.plans.inputs import MESSAGES, messages, quoted, read
 from quillstone.plans.privacy_queries import _sql_cascade, _sql_chain
-from quillstone.operators.spans import SESSION_PREFIX
+from quillstone.sources.tables import shared_folder
 from quillstone.streaming import guard, store
 
 QUERIES, ORACLE_SQL = {}, {}

@@ -11,7 +11,7 @@ from quillstone.functions import privacy as V
 from quillstone.functions import text as T
 from quillstone.operators import leakage, metrics
 from quillstone.operators import study as S
-from quillstone.plans.flow_queries import shared_folder
+from quillstone.sources.tables import shared_folder
 from quillstone.plans.inputs import MESSAGES, SCORED, SHORT, messages, quoted, read, scored, sentences
 from quillstone.plans.privacy_queries import _ATTACK, _SCORES, LOW, _rx, _sql_chain, _sql_scores
 from quillstone.plans.study_queries import STUDY, records

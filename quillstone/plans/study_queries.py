@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillstone.operators import study as S
-from quillstone.plans.flow_queries import shared_folder
+from quillstone.sources.tables import shared_folder
 from quillstone.plans.inputs import read
 
 QUERIES, ORACLE_SQL = {}, {}

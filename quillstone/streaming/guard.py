@@ -5,7 +5,7 @@ what the conversation remembers (commit). Both are computed in one step and the
 
 Turns may come late. They wait in the conversation's state until the watermark has passed their time and are then taken in
 the order of their times, so that the result does not depend on how turns were dealt to micro-batches; turns later than
-the watermark allows are dropped by Spark. A conversation that stays idle for longer than `idle_ms` of event time is
+the watermark allows are dropped by Spark (it begins with 1970, so that times up to then are always late). A conversation that stays idle for longer than `idle_ms` of event time is
 forgotten with its tokens and beliefs.
 """
 
