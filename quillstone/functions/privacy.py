@@ -39,12 +39,12 @@ def hardness(text: Column) -> Column:
 
 
 def scrubbed(text: Column) -> tuple[Column, Column]:
-    """(text with tags, whether anything was found); each test sees what the ones before left."""
-    out, had = text, F.lit(False)
+    """(text with tags, whether anything was found); each pattern sees what the ones before left. No pattern matches a tag,
+    so something was found if and only if the text is another one."""
+    out = text
     for tag, pattern in P.HARD_SCRUB:
-        had = had | matches(out, pattern)
         out = replaced(out, pattern, tag)
-    return out, had
+    return out, out != text
 
 
 def rule_scores(text: Column) -> dict[str, Column]:

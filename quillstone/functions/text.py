@@ -63,7 +63,7 @@ def cosine_of(a: Column, b: Column, equal_empty: bool = False) -> Column:
             (s["ab"] + F.when(left, nb).otherwise(na)).alias("ab"),
         )
 
-    value = F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), zero, step, lambda s: s["ab"] / (F.sqrt(s["aa"]) * F.sqrt(s["bb"])))
+    value = F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), zero, step, lambda s: s["ab"] / (F.sqrt(s["aa"]) * F.sqrt(s["bb"])))
     out = F.when((F.size(a) > 0) & (F.size(b) > 0), value).otherwise(0.0)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(out) if equal_empty else out
 

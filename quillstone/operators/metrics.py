@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import patterns as P
+from quillstone.functions.text import let
+from quillstone.operators.running import running
 
 
 def rate(condition: Column) -> Column:
@@ -14,24 +16,16 @@ def rate(condition: Column) -> Column:
 
 
 def pr_auc(scored: DataFrame, by: str = "attribute", p: str = "p", y: str = "y", tie: str = "id") -> DataFrame:
-    """Step-wise average precision. Rows of equal score are taken in the order of `tie`. Range partitions of the whole order
-    count by themselves and add what the ones before them hold, so a group with very many rows is not one task."""
-    parts = scored.select(by, p, y, tie).repartitionByRange(F.col(by), F.col(p).desc(), F.col(tie)).withColumn("__p", F.spark_partition_id())
-    order = Window.partitionBy("__p", by).orderBy(F.desc(p), tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = parts.select(by, y, "__p", F.sum(y).over(order).alias("tp"), F.count("*").over(order).alias("k"))
-    sizes = rows.groupBy("__p", by).agg(F.max("tp").alias("pos"), F.max("k").alias("n"))  # a row for each partition and group
-    earlier = Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("__p", by, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"b_{c}") for c in ("pos", "n")))
-    rows = rows.join(before, ["__p", by])
-    precision = (F.col("tp") + F.col("b_pos")) / (F.col("k") + F.col("b_n"))
-    return rows.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col(y) == 1, precision)) / F.sum(y), F.lit(0.0)).alias("pr_auc"))
+    """Step-wise average precision. Rows of equal score are taken in the order of `tie`. Counts run over ranges of the
+    order, so a group with very many rows is not one task."""
+    rows = running(scored.select(by, p, y, tie), [by], [F.desc(p), F.col(tie)], {"tp": F.col(y), "k": F.lit(1)})
+    return rows.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col(y) == 1, F.col("tp") / F.col("k"))) / F.sum(y), F.lit(0.0)).alias("pr_auc"))
 
 
 def roc_auc(scored: DataFrame, by: str = "attribute", p: str = "p", y: str = "y") -> DataFrame:
-    """Mann-Whitney statistic with average ranks; .5 if a class is missing. Ranks run over distinct scores only."""
+    """Mann-Whitney statistic with average ranks; .5 if a class is missing. Ranks run over distinct scores only, in ranges."""
     values = scored.groupBy(by, p).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    upto = Window.partitionBy(by).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("rank", F.sum("n").over(upto) - (F.col("n") - 1) / 2)
+    ranked = running(values, [by], [F.col(p)], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     s = ranked.groupBy(by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("a"), (F.sum("n") - F.sum("pos")).alias("b"))
     auc = (F.col("r") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))
     return s.select(by, F.when((F.col("a") == 0) | (F.col("b") == 0), 0.5).otherwise(auc).alias("roc_auc"))
@@ -67,9 +61,8 @@ def threshold_curve(scored: DataFrame, by: str = "attribute", p: str = "p", y: s
     values = scored.groupBy(by, F.round(p, 6).alias("t")).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
     ends = scored.select(by).distinct().select(by, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"))
     all_t = values.unionByName(ends).groupBy(by, "t").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    down = Window.partitionBy(by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(by)
-    rows = all_t.withColumns({"called": F.sum("n").over(down), "tp": F.sum("pos").over(down), "all_pos": F.sum("pos").over(whole)})
+    whole = all_t.groupBy(F.col(by).alias("__by")).agg(F.sum("pos").alias("all_pos"))  # a row for each group
+    rows = running(all_t, [by], [F.desc("t")], {"called": F.col("n"), "tp": F.col("pos")}).join(whole, F.col(by).eqNullSafe(F.col("__by")))
     precision = F.when(F.col("called") > 0, F.col("tp") / F.col("called")).otherwise(0.0)
     recall = F.when(F.col("all_pos") > 0, F.col("tp") / F.col("all_pos")).otherwise(0.0)
     return rows.select(by, "t", precision.alias("precision"), recall.alias("recall"))
@@ -79,12 +72,13 @@ def fitted_thresholds(scored: DataFrame, high_precision: float = 0.60, low_recal
     """(by, medium_edge, high_edge, degraded): the lowest threshold that reaches the precision (else the most precise one,
     degraded), and the highest up to which recall holds without a break; edges stay `width` apart."""
     curve = threshold_curve(scored, by)
-    up = Window.partitionBy(by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    curve = curve.withColumn("broken", F.max((F.col("recall") < low_recall).cast("int")).over(up))
+    # Recall falls as the threshold rises: it holds up to the last threshold below the first at which it does not.
+    broken = curve.groupBy(F.col(by).alias("__by")).agg(F.min(F.when(F.col("recall") < low_recall, F.col("t"))).alias("__broken"))
+    curve = curve.join(broken, F.col(by).eqNullSafe(F.col("__by")))
     edges = curve.groupBy(by).agg(
         F.min(F.when(F.col("precision") >= high_precision, F.col("t"))).alias("reached"),
         F.max_by("t", F.struct("precision", -F.col("t"))).alias("best"),
-        F.coalesce(F.max(F.when(F.col("broken") == 0, F.col("t"))), F.lit(0.0)).alias("low"),
+        F.coalesce(F.max(F.when(F.col("__broken").isNull() | (F.col("t") < F.col("__broken")), F.col("t"))), F.lit(0.0)).alias("low"),
     )
     high = F.coalesce("reached", "best")
     medium = F.when(high - F.col("low") < width, F.greatest(F.lit(0.0), high - width)).otherwise(F.col("low"))
@@ -109,12 +103,17 @@ def youden_thresholds(scored: DataFrame, by: str = "attribute", p: str = "p", y:
     return best.select(by, value(F.col("h")).alias("high"), value(F.col("m")).alias("medium"))
 
 
-def attack_metrics(guesses: DataFrame, truth: str = "label", guess: str = "guess") -> DataFrame:
+def attack_metrics(guesses: DataFrame, truth: str = "label", guess: str = "guess", label=None) -> DataFrame:
     """(method, attribute, accuracy, abstained, macro_f1, n). Truths outside the label list are left out; every label of
-    the list counts in the mean, with 0 where it never occurs."""
+    the list counts in the mean, with 0 where it never occurs. label (attribute and truth as columns to a column) turns
+    free-text truths into labels: equal ones are counted first, so that it runs once for each of them and not for each row."""
     listed = F.array(*(F.lit(f"{a}:{x}") for a, labels in P.TAXONOMY.items() for x in labels))
-    rows = guesses.where(F.array_contains(listed, F.concat_ws(":", "attribute", truth)))
-    cells = rows.groupBy("method", "attribute", F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))
+    cells = guesses.groupBy("method", "attribute", F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))
+    if label is not None:
+        # As a function of an array's element: long cascades of keywords stay out of the generated code.
+        cells = cells.select("method", "attribute", let(F.col("t"), lambda t: label(F.col("attribute"), t)).alias("t"), "g", "n")
+        cells = cells.groupBy("method", "attribute", "t", "g").agg(F.sum("n").alias("n"))
+    cells = cells.where(F.array_contains(listed, F.concat_ws(":", "attribute", "t")))
     # One confusion table for each method and attribute, of as many cells as there are labels and guesses.
     table = cells.groupBy("method", "attribute").agg(F.collect_list(F.struct("t", "g", "n")).alias("c"))
     total = lambda test: F.aggregate(F.filter("c", test), F.lit(0).cast("long"), lambda s, x: s + x["n"])

@@ -114,21 +114,21 @@ def with_best(rows: DataFrame, text: str = "text", most_risk: float = 0.30, leas
     equals; without one, the redacted text (engine redaction, no cosine). kept counts the candidates that pass. All of it
     happens in the row: tokens are made once for the text and once for a candidate."""
     own, arr = F.col("__w"), F.col("__c")
-    words = F.transform("candidates", lambda c: F.struct(c.alias("cand"), T.tokens(c).alias("w")))
+    # The tests come in the order of what they cost, and each stage leaves fewer candidates to the next one.
+    other = F.filter(F.transform("candidates", lambda c, i: F.struct(c.alias("cand"), i.alias("i"))), lambda x: F.trim(x["cand"]) != F.trim(F.col(text)))
+    words = F.transform(other, lambda x: F.struct(x["cand"].alias("cand"), x["i"].alias("i"), T.tokens(x["cand"]).alias("w")))
     rows = rows.withColumn("__w", T.tokens(F.col(text))).withColumn("__c", words)
+    near = F.transform(arr, lambda x: F.struct(x["cand"].alias("cand"), x["i"].alias("i"), x["w"].alias("w"), T.cosine_of(own, x["w"]).alias("cos")))
+    rows = rows.withColumn("__c", F.filter(near, lambda x: F.round(x["cos"], 4) >= least_cosine))
+    sound = lambda x: T.degeneracy_of(own, x["w"]).isNull() & ~V.scrubbed(x["cand"])[1] & (F.greatest(*V.rule_scores(x["cand"]).values()) < most_risk)
+    rows = rows.withColumn("__c", F.filter(arr, sound))
 
-    def measures(x):
-        return F.struct(
-            x["cand"].alias("cand"), T.cosine_of(own, x["w"]).alias("cos"),
-            T.entailment_b_of(F.array_distinct(own), F.array_distinct(x["w"]))["composite"].alias("ent"), T.degeneracy_of(own, x["w"]).isNull().alias("fine"),
-            (~V.scrubbed(x["cand"])[1]).alias("clean"), F.greatest(*V.rule_scores(x["cand"]).values()).alias("risk"),
-        )
-
-    rows = rows.withColumn("__c", F.transform(arr, measures))
-    passes = lambda x: (F.trim(x["cand"]) != F.trim(F.col(text))) & x["fine"] & x["clean"] & (x["risk"] < most_risk) & (F.round(x["cos"], 4) >= least_cosine)
-    rows = rows.withColumn("__c", F.filter(F.transform(arr, lambda x, i: F.struct(passes(x).alias("ok"), (-F.round(0.6 * x["cos"] + 0.4 * x["ent"], 4)).alias("o"), i.alias("i"), x["cand"].alias("cand"), F.round(x["cos"], 4).alias("cos"))), lambda x: x["ok"]))
-    best = F.array_min(F.transform(arr, lambda x: F.struct(x["o"].alias("o"), x["i"].alias("i"), x["cand"].alias("cand"), x["cos"].alias("cos"))))
-    rows = rows.withColumn("__b", best)
+    def worth(x):
+        entailed = T.entailment_b_of(F.array_distinct(own), F.array_distinct(x["w"]))["composite"]
+        return F.struct((-F.round(0.6 * x["cos"] + 0.4 * entailed, 4)).alias("o"), x["i"].alias("i"), x["cand"].alias("cand"), F.round(x["cos"], 4).alias("cos"))
+
+    rows = rows.withColumn("__c", F.transform(arr, worth))
+    rows = rows.withColumn("__b", F.array_min(arr))
     taken = F.col("__b").isNotNull()
     return rows.withColumns({
         "rewrite": F.when(taken, F.col("__b")["cand"]).otherwise(V.redacted(F.col(text))), "engine": F.when(taken, "heuristic").otherwise("redaction"),

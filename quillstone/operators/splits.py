@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.running import numbered
+
 
 def seeded_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
@@ -12,11 +14,10 @@ def seeded_key(id_col: str, seed: int) -> Column:
 
 def stratified(rows: DataFrame, id_col: str, stratum: str, seed: int = 42, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """(id, stratum, split): each stratum is cut by its seeded order; a stratum of three or more keeps one row at least
-    for val and for test, smaller ones go to train first."""
-    w = Window.partitionBy(stratum)
-    n = F.count("*").over(w)
-    k = F.row_number().over(w.orderBy(seeded_key(id_col, seed), id_col))
-    rows = rows.select(id_col, stratum, n.alias("__n"), k.alias("__k"))
+    for val and for test, smaller ones go to train first. Places in a stratum are running counts: no stratum is one task."""
+    sizes = rows.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n"))
+    ordered = numbered(rows.select(id_col, stratum, seeded_key(id_col, seed).alias("__o")), [stratum], [F.col("__o"), F.col(id_col)], "__k")
+    rows = ordered.join(sizes, F.col(stratum).eqNullSafe(F.col("__s")))
     a, b = F.greatest(F.lit(1), F.round(F.col("__n") * train).cast("long")), F.round(F.col("__n") * val).cast("long")
     tight = (a + b >= F.col("__n")) & (F.col("__n") >= 3)
     a, b = F.when(tight, F.col("__n") - 2).otherwise(a), F.when(tight, 1).otherwise(b)
@@ -54,10 +55,5 @@ def cyclic(rows: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def numbered_rows(rows: DataFrame, order: str) -> DataFrame:
-    """rows with __k, their number from 0 in the order: numbers within hash blocks of the order's ranks would need a sort;
-    range partitions are sorted by themselves, and the rows before them are added."""
-    parts = rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    parts = parts.select(*rows.columns, "__p", (F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1).alias("__r"))
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))  # one row for each partition
-    before = sizes.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return parts.join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__r") + F.col("__b")).alias("__k"))
+    """rows with __k, their number from 0 in the order."""
+    return numbered(rows, [], [F.col(order)], "__k").withColumn("__k", F.col("__k") - 1)

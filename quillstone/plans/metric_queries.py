@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import patterns as P
 from quillstone.functions import privacy as V
 from quillstone.operators import curation, metrics, splits
-from quillstone.plans.inputs import MESSAGES, SCORED, messages, pick, quoted, read, scored, sql_pick
-from quillstone.plans.privacy_queries import _LABELED, _SCORES, labeled
+from quillstone.plans.inputs import MESSAGES, SCORED, guesses, messages, pick, quoted, read, scored, sql_pick
+from quillstone.plans.privacy_queries import _LABELED, _SCORES, eval_label, labeled
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -117,7 +117,7 @@ _ATTACKED = f"""{_LABELED}, ok AS (SELECT * FROM lab WHERE {_LISTED.format('labe
 
 
 def _attacked(spark, sf):
-    return metrics.attack_metrics(labeled(spark, sf))
+    return metrics.attack_metrics(guesses(spark, sf), truth="truth", label=eval_label)
 
 
 @query("agg15_attack_metrics", f"WITH {_ATTACKED} SELECT method, attribute, round(accuracy, 6) AS accuracy, round(abstained, 6) AS abstained, round(macro_f1, 6) AS macro_f1, n FROM att")

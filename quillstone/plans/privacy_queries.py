@@ -257,12 +257,15 @@ _EVAL["age"] = f"CASE WHEN regexp_extract(v, '\\d+') = '' THEN 'UNKNOWN' ELSE {_
 _LABELED = f"{GUESSES}, lab AS (SELECT id, method, attribute, truth, guess, CASE " + " ".join(f"WHEN attribute = '{a}' THEN {x}" for a, x in _EVAL.items()) + " END AS label FROM (SELECT *, lower(trim(coalesce(truth, ''))) AS v FROM guesses))"
 
 
-def labeled(spark: SparkSession, sf: str) -> DataFrame:
-    g = guesses(spark, sf)
+def eval_label(attribute, truth):
     label = F.lit(None).cast("string")
     for a in P.ATTRIBUTES:
-        label = F.when(F.col("attribute") == a, V.taxonomy_label(a, F.col("truth"))).otherwise(label)
-    return g.withColumn("label", label)
+        label = F.when(attribute == a, V.taxonomy_label(a, truth)).otherwise(label)
+    return label
+
+
+def labeled(spark: SparkSession, sf: str) -> DataFrame:
+    return guesses(spark, sf).withColumn("label", eval_label(F.col("attribute"), F.col("truth")))
 
 
 @query("flt05_taxonomy_label", f"WITH {_LABELED} SELECT attribute, truth, label, count(*) AS n FROM lab GROUP BY ALL")
