@@ -43,10 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is named."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is named and driver and executors
+    are one process, as elsewhere each executor would write to its own disk and later reads would miss those files."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillstone-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found

@@ -41,7 +41,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, min_words=5)
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, min_words=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH doc AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
         line AS (SELECT doc_id, i, parts[i + 1] AS line FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM doc)),
         word AS (SELECT doc_id, i, line, list_sort(list_distinct({_WORDS.format("line")})) AS s FROM line),
-        uniq AS (SELECT s, len(s) AS n, min(doc_id * 1000000 + i) AS p, row_number() OVER () AS sid FROM word WHERE len(s) >= 5 GROUP BY s),
+        uniq AS (SELECT s, len(s) AS n, min(doc_id::HUGEINT * 1000000000000 + i) AS p, row_number() OVER () AS sid FROM word WHERE len(s) >= 1 GROUP BY s),
         tok AS (SELECT sid, n, p, unnest(s) AS w FROM uniq),
         freq AS (SELECT w, count(*) AS c FROM tok GROUP BY w HAVING count(*) > 1),
         rare AS (SELECT sid, n, p, tok.w, coalesce(c, 1) AS c, row_number() OVER (PARTITION BY sid ORDER BY coalesce(c, 1), tok.w) AS k FROM tok LEFT JOIN freq ON freq.w = tok.w),
@@ -112,10 +112,10 @@ ORACLE_SQL: dict[str, str] = {
         hit AS (SELECT pair.b AS sid, min(x.p) AS p FROM pair JOIN uniq x ON x.sid = pair.a JOIN uniq y ON y.sid = pair.b
                 WHERE 1.8 * len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n) GROUP BY pair.b),
         first AS (SELECT s, least(uniq.p, coalesce(hit.p, uniq.p)) AS p FROM uniq LEFT JOIN hit ON hit.sid = uniq.sid),
-        marked AS (SELECT doc_id, i, line, coalesce(first.p < doc_id * 1000000 + i, false) AS gone FROM word LEFT JOIN first ON first.s = word.s)
+        marked AS (SELECT doc_id, i, line, coalesce(first.p < doc_id::HUGEINT * 1000000000000 + i, false) AS gone FROM word LEFT JOIN first ON first.s = word.s)
         SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-        FROM marked GROUP BY doc_id""",
+        FROM marked GROUP BY doc_id UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
     "op7_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
         d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
