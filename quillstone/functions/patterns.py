@@ -401,3 +401,28 @@ REPAIRS = (
 NEGATIVE_CLAUSE = r",\s*(?:and\s+|can\s+|could\s+|please\s+|help\s+)?"
 NEGATIVE_OWN_WORD = r"\bmy (?:work|role|area|studies)\b"
 NEGATIVE_KINDS = ("truncation_over_scrub", "pii_leak_under_scrub", "syntax_placeholder_degenerate")
+
+# What ends a model's answer, in the order in which answers are cut; what stands before and around it.
+ANSWER_STOPS = (
+    r"<\|im_end\|>",
+    r"<\|endoftext\|>",
+    r"<\|im_start\|>",
+    r"<tool_call>",
+    r"\[REDACTED\](?:\s*\[REDACTED\]){2}",
+    r"(?:\n|\A|\s*)(?:\*\*)?Note(?:\*\*)?:\s*This rewrite",
+    r"(?:\n|\A|\s*)(?:\*\*)?Note(?:\*\*)?:",
+    r";?\s*Sure!\s*I'm here to help",
+    r"#include\s*<iostream>",
+    r"istringstream\b",
+    r"\}\}\}\}\}",
+    r"<form\b",
+    r"Login failed\.\s*Please try again",
+)
+ANSWER_ROLE_BLOCK = r"<\|im_start\|>(?:system|user)\b.*?<\|im_end\|>"
+ANSWER_TURN = "<|im_start|>assistant"
+ANSWER_ROLE = r"\A(?:assistant|system|user)\s*\n"
+ANSWER_ECHO = r"\A(?:\*\*)?(?:(?:Here is (?:the|my)\s+)?(?:rewritten(?:\s+text)?|rewrite|output|response|assistant))(?:\*\*)?(?::|\s*-)\s*(?:\*\*)?\s*"
+ANSWER_FILLER = r"\A(?:Sure!?|Certainly!?|Of course!?|Here is.*?:\s*|Here's.*?:\s*|Okay,?|Alright,?)\s*"
+ANSWER_QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("«", "»"), ("`", "`"))
+ANSWER_NOTHING = ("none", "n/a", "null", "empty", "...", ".")
+EMOJI = r"\x{1F000}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}"
