@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -21,36 +22,39 @@ def matches(text: Column, bank: Bank) -> Column:
     kept tells that the context shows the match is not about the author. One pass finds all surfaces at once."""
 
     @F.pandas_udf(f"array<{MATCH}>")
-    def find(texts: pd.Series) -> pd.Series:
-        automaton = ahocorasick.Automaton()
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()  # once for a worker's task, not for each batch
         for surface in bank.surfaces:
             automaton.add_word(surface, surface)
         if len(automaton):
             automaton.make_automaton()
         compiled = [(a, re.compile(p, re.I)) for a, p in bank.patterns]
-        word, statute = re.compile(r"\w"), re.compile(P.STATUTE_AFTER)
-        other, target = re.compile(P.OTHER_PERSON_AFTER, re.I), re.compile(P.SCHOOL_TARGET_BEFORE, re.I)
-        out = []
-        for t in texts:
-            t = t or ""
-            low = t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
-            found = []
-            for last, surface in automaton.iter(low) if len(automaton) else ():
-                a, b = last + 1 - len(surface), last + 1
-                if not (a and word.match(t[a - 1])) and not (b < len(t) and word.match(t[b])):
-                    found.append((*bank.surfaces[surface], a, b))
-            found += [(attribute, "", *m.span()) for attribute, p in compiled for m in p.finditer(t) if m.end() > m.start()]
-            rows = []
-            for attribute, token, a, b in found:
-                after, before = t[b : b + 40], t[max(0, a - 50) : a]
-                aside = statute.match(after) or (attribute in ("age", "income") and other.match(after)) or (attribute == "education" and target.search(before))
-                rows.append({"attribute": attribute, "start": a, "end": b, "surface": t[a:b], "token": token, "kept": bool(aside)})
-            out.append(rows)
-        return pd.Series(out)
+        for texts in batches:
+            yield pd.Series([_found(t or "", bank, automaton, compiled) for t in texts])
 
     return without_overlaps(find(text), longest_first)
 
 
+_WORD, _STATUTE = re.compile(r"\w"), re.compile(P.STATUTE_AFTER)
+_OTHER, _TARGET = re.compile(P.OTHER_PERSON_AFTER, re.I), re.compile(P.SCHOOL_TARGET_BEFORE, re.I)
+
+
+def _found(t: str, bank: Bank, automaton, compiled) -> list[dict]:
+    low = t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    found = []
+    for last, surface in automaton.iter(low) if len(automaton) else ():
+        a, b = last + 1 - len(surface), last + 1
+        if not (a and _WORD.match(t[a - 1])) and not (b < len(t) and _WORD.match(t[b])):
+            found.append((*bank.surfaces[surface], a, b))
+    found += [(attribute, "", *m.span()) for attribute, p in compiled for m in p.finditer(t) if m.end() > m.start()]
+    rows = []
+    for attribute, token, a, b in found:
+        after, before = t[b : b + 40], t[max(0, a - 50) : a]
+        aside = _STATUTE.match(after) or (attribute in ("age", "income") and _OTHER.match(after)) or (attribute == "education" and _TARGET.search(before))
+        rows.append({"attribute": attribute, "start": a, "end": b, "surface": t[a:b], "token": token, "kept": bool(aside)})
+    return rows
+
+
 def neutral(text: Column, found: Column) -> Column:
     """The text with its matches replaced, but for those that are kept, and repaired. found: the column of matches, already
     made (it is read several times)."""
