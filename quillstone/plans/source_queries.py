@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import patterns as P
 from quillstone.functions import privacy as V
 from quillstone.functions import text as T
-from quillstone.operators import leakage, metrics
+from quillstone.operators import leakage, metrics, seams
 from quillstone.operators import study as S
-from quillstone.sources.tables import shared_folder
 from quillstone.plans.inputs import MESSAGES, SCORED, SHORT, messages, quoted, read, scored, sentences
 from quillstone.plans.privacy_queries import _ATTACK, _SCORES, LOW, _rx, _sql_chain, _sql_scores
 from quillstone.plans.study_queries import STUDY, records
 from quillstone.sources import files
+from quillstone.sources.tables import shared_folder
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -258,29 +257,24 @@ def _(spark, sf):
 def _(spark, sf):
     """A risk model is a function of texts that gives a score for each attribute."""
 
-    @F.pandas_udf("age double, location double")
-    def model(texts: pd.Series) -> pd.DataFrame:
-        n = texts.str.len()
-        return pd.DataFrame({"age": n % 10 / 10, "location": n % 7 / 10})
-
+    model = seams.risk_model(lambda: lambda texts: [{"age": len(t) % 10 / 10, "location": len(t) % 7 / 10} for t in texts])
     plain = F.regexp_replace("text", "[^ -~]", "x")
     return messages(spark, sf).select("conv_id", "turn", model(plain).alias("m")).select("conv_id", "turn", "m.age", "m.location")
 
 
 @query("udf03_candidate_model", f"WITH {MESSAGES} SELECT conv_id, turn, unnest([0, 1]) AS pos, unnest([lower(text), upper(text)]) AS candidate FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', 'x', 'g') AS text FROM msg)")
 def _(spark, sf):
-    @F.pandas_udf("array<string>")
-    def model(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [t.lower(), t.upper()])
-
+    """A generator of candidates is a function of texts that gives some for each."""
+    model = seams.candidate_model(lambda: lambda texts: [[t.lower(), t.upper()] for t in texts])
     return messages(spark, sf).select("conv_id", "turn", F.posexplode(model(F.regexp_replace("text", "[^ -~]", "x"))).alias("pos", "candidate"))
 
 
 @query("udf06_new_values", f"WITH {SHORT}, v AS (SELECT conv_id, turn, unnest([{', '.join(quoted(c) for c in P.CITIES.split('|'))}]) AS x, text, other FROM sen) SELECT conv_id, turn, x AS added FROM v WHERE contains(other, x) AND NOT contains(text, x)")
 def _(spark, sf):
-    """Surfaces of a bank that a rewrite holds and its original does not."""
-    found = F.filter(F.array(*(F.lit(c) for c in P.CITIES.split("|"))), lambda x: F.contains(F.col("other"), x) & ~F.contains(F.col("text"), x))
-    return sentences(spark, sf).select("conv_id", "turn", F.explode(found).alias("added"))
+    """Surfaces that a scanner finds in a rewrite and that its original does not hold."""
+    cities = P.CITIES.split("|")
+    scanner = seams.value_scanner(lambda: lambda texts: [[c for c in cities if c in t] for t in texts])
+    return sentences(spark, sf).select("conv_id", "turn", F.explode(scanner(F.col("text"), F.col("other"))).alias("added"))
 
 
 @query("udf08_adversary", f"WITH {MESSAGES}, c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM msg GROUP BY conv_id) SELECT conv_id, {_ATTACK}, 'heuristic' AS mode FROM c")
