@@ -426,3 +426,10 @@ ANSWER_FILLER = r"\A(?:Sure!?|Certainly!?|Of course!?|Here is.*?:\s*|Here's.*?:\
 ANSWER_QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("«", "»"), ("`", "`"))
 ANSWER_NOTHING = ("none", "n/a", "null", "empty", "...", ".")
 EMOJI = r"\x{1F000}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}"
+
+# Education levels of the dataset report, in order; no match is high_school, no text no level.
+EDUCATION_LEVELS = (
+    ("phd", r"\b(?:phd|ph\.d|doctorate|doctoral)\b"),
+    ("master", r"\b(?:master|masters|msc|m\.sc|mba|m\.a|meng)\b"),
+    ("college", r"\b(?:bachelor|bachelors|bsc|b\.sc|b\.a|ba|beng|college|undergraduate|degree)\b"),
+)

@@ -103,6 +103,14 @@ def cascade(text: Column, rules) -> Column:
     return out
 
 
+def education_level(text: Column) -> Column:
+    """Level of a free-text education, by whole words; null for a null or empty text."""
+    out = F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string"))
+    for level, pattern in P.EDUCATION_LEVELS:
+        out = out.when(matches(text, pattern, ignore_case=True), level)
+    return out.otherwise("high_school")
+
+
 def age_label(n: Column) -> Column:
     return F.when(n < 25, "18-24").when(n < 35, "25-34").when(n < 45, "35-44").when(n < 55, "45-54").otherwise("55+")
 

@@ -100,6 +100,16 @@ def _(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(age.between(18, 200), V.age_label(age)).alias("bucket"), F.try_element_at(parts, F.lit(-1)).alias("country"))
 
 
+_EDUCATION = ("PhD in Law", "a Ph.D. student", "Masters in Business", "MBA", "mastered the lute", "Bachelor of Arts", "B.A. in music", "some college", "High School", "", "welding course", "BA")
+_LEVELS = "CASE WHEN e = '' THEN NULL " + " ".join(f"WHEN regexp_matches(e, {quoted('(?i)' + p)}) THEN '{level}'" for level, p in P.EDUCATION_LEVELS) + " ELSE 'high_school' END"
+
+
+@query("flt08_education_levels", f"WITH a AS (SELECT o_orderkey AS id, {sql_pick(_EDUCATION, 'o_custkey')} AS e FROM orders) SELECT id, e AS education, {_LEVELS} AS level FROM a")
+def _(spark, sf):
+    e = pick(_EDUCATION, F.col("o_custkey"))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), e.alias("education"), V.education_level(e).alias("level"))
+
+
 @query("join08_age_overlap", "SELECT o_orderkey AS id, greatest(o_custkey % 50, o_orderkey % 60) <= least(o_custkey % 50 + 9, o_orderkey % 60 + 4) AS overlap FROM orders")
 def _(spark, sf):
     a, b = F.col("o_custkey") % 50, F.col("o_orderkey") % 60
