@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,13 @@ def seeded_key(id_col: str, seed: int) -> Column:
 
 def stratified(rows: DataFrame, id_col: str, stratum: str, seed: int = 42, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """(id, stratum, split): each stratum is cut by its seeded order; a stratum of three or more keeps one row at least
-    for val and for test, smaller ones go to train first. Places in a stratum are running counts: no stratum is one task."""
+    for val and for test, smaller ones go to train first. Shares are taken as the decimals they are written as, halves round up
+    (0.7 of 45 rows are 32, where doubles give 31.499). Places in a stratum are running counts: no stratum is one task."""
     sizes = rows.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n"))
     ordered = numbered(rows.select(id_col, stratum, seeded_key(id_col, seed).alias("__o")), [stratum], [F.col("__o"), F.col(id_col)], "__k")
     rows = ordered.join(sizes, F.col(stratum).eqNullSafe(F.col("__s")))
-    a, b = F.greatest(F.lit(1), F.round(F.col("__n") * train).cast("long")), F.round(F.col("__n") * val).cast("long")
+    part = lambda share: F.round(F.col("__n") * F.lit(Decimal(str(share))), 0).cast("long")
+    a, b = F.greatest(F.lit(1), part(train)), part(val)
     tight = (a + b >= F.col("__n")) & (F.col("__n") >= 3)
     a, b = F.when(tight, F.col("__n") - 2).otherwise(a), F.when(tight, 1).otherwise(b)
     split = F.when(F.col("__k") <= a, "train").when(F.col("__k") <= a + b, "val").otherwise("test")
