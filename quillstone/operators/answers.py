@@ -86,7 +86,7 @@ def cleaned(raw: Column) -> Column:
     """The rewrite in a model's answer; empty if there is none. Null is empty."""
     steps = (
         lambda t: F.regexp_replace(t, f"(?is){P.ANSWER_ROLE_BLOCK}", ""), last_turn, lambda t: F.regexp_replace(t, f"(?i){P.ANSWER_ROLE}", ""), without_thinking, cut,
-        lambda t: F.regexp_replace(t, r"<\|.*?\|>", ""), lambda t: F.regexp_replace(stripped(t), f"(?i){P.ANSWER_ECHO}", ""), lambda t: F.regexp_replace(stripped(t), f"(?i){P.ANSWER_FILLER}", ""),
+        lambda t: F.regexp_replace(t, r"<\|.*?\|>", ""), lambda t: F.regexp_replace(stripped(t), f"(?i){P.ANSWER_ECHO}", ""), lambda t: F.regexp_replace(stripped(t), f"(?iU){P.ANSWER_FILLER}", ""),
         unwrapped, without_tail, lambda t: F.trim(F.regexp_replace(t, rf"{_SPACE}+", " ")),
     )
     out = F.coalesce(raw, F.lit(""))

@@ -198,12 +198,12 @@ _BODY = "trim(regexp_replace(text, '[^A-Za-z,]+', ' ', 'g'))"
 @query("str34_finished_answers", f"WITH {MESSAGES} SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 5 = 4 THEN 'fallback' ELSE {_BODY} END AS answer FROM msg")
 def _(spark, sf):
     """Answers as models give them: other turns, nested and open thinking, labels, fences in quotes, notes and tags behind, and
-    nothing at all."""
+    nothing at all. Before each stands a filler: of two, only the first is the model's."""
     body = F.trim(F.regexp_replace("text", "[^A-Za-z,]+", " "))
     put = lambda before, behind: F.concat(F.lit(before), body, F.lit(behind))
     wrapped = F.element_at(F.array(
-        put("<|im_start|>system\nhidden<|im_end|><think>a <think>b</think> c</think>Sure! ```text\n\"", "\"\n```"), put("junk</think>noise</THINK> **Rewritten text:** ", " 😀 😀 more"),
-        put("<|im_start|>assistant\nold<|im_end|><|im_start|>assistant\n", "<think>and never closed"), put("Here is the result: ", " #one #two\nNote: This rewrite is short."), F.lit("<think>nothing</think> N/A"),
+        put("<|im_start|>system\nhidden<|im_end|><think>a <think>b</think> c</think>Sure! ```text\n\"", "\"\n```"), put("junk</think>noise</THINK> **Rewritten text:** Okay, ", " 😀 😀 more"),
+        put("<|im_start|>assistant\nold<|im_end|><|im_start|>assistant\nSure! ", "<think>and never closed"), put("Here is the result: ", " #one #two\nNote: This rewrite is short."), F.lit("<think>nothing</think> N/A"),
     ), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) + 1).cast("int"))
     rows = messages(spark, sf).select("conv_id", "turn", F.concat(F.lit("x "), "text").alias("original"), wrapped.alias("raw"))
     return A.finished(rows, "raw", "original", lambda c: c, lambda c: F.lit("fallback"), lambda c: F.lit(True)).select("conv_id", "turn", "answer")
