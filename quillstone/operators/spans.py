@@ -15,9 +15,10 @@ SESSION_PREFIX = {"EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "ORGANIZATI
 SPAN = "struct<type:string,start:int,end:int,surface:string,confidence:double>"
 
 
-def explicit_spans(text: Column, rules: dict[str, str] | None = None, ignore_case: bool = False, confidence: float = 0.95) -> Column:
-    """array of spans of the patterns, by start. A pattern with a group gives the group's place. Null text: no span."""
-    compiled = {k: re.compile(p, re.IGNORECASE if ignore_case else 0) for k, p in (rules or P.EXPLICIT).items()}
+def explicit_spans(text: Column, rules: dict[str, str] | None = None, ignore_case: bool = False, confidence: float = 0.95, ascii_words: bool = False) -> Column:
+    """array of spans of the patterns, by start. A pattern with a group gives the group's place. Null text: no span. With
+    ascii_words an accented letter is no part of a word."""
+    compiled = {k: re.compile(p, re.IGNORECASE * ignore_case | re.ASCII * ascii_words) for k, p in (rules or P.EXPLICIT).items()}
 
     @F.pandas_udf(f"array<{SPAN}>")
     def find(texts: pd.Series) -> pd.Series:

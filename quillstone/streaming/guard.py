@@ -37,7 +37,7 @@ KNOWN, REST = 0.60, 0.40
 def prepared(turns: DataFrame, text: str, served: dict[str, Column], written: dict[str, Column]) -> DataFrame:
     """(conv_id, turn, ts, kinds, names, before, after) of turns (conv_id, turn, ts, text): the entities of the text in the
     order of their places, and the labels guessed from the text as written and as served."""
-    spans = without_overlaps(explicit_spans(F.col(text), P.SESSION_ENTITIES, ignore_case=True), surest_first)
+    spans = without_overlaps(explicit_spans(F.col(text), P.SESSION_ENTITIES, ignore_case=True, ascii_words=True), surest_first)
     names = F.transform("spans", lambda s: F.regexp_replace(F.lower(F.trim(s["surface"])), r"\s+", " "))
     labels = [F.concat_ws(_CUT, *(labels[a] for a in P.ATTRIBUTES)).alias(n) for n, labels in (("before", written), ("after", served))]
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "ts", spans.alias("spans"), *labels)
