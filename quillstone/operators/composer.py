@@ -2,7 +2,8 @@
 
 Every choice is a draw: a hash of seed, example and slot, scaled to the number of things to choose from. So an example is
 the same on any partitioning and in any run, and choices are joins on numbers: carriers and bank entries are numbered, and
-an example meets the ones it drew. A fact is drawn up to `tries` times for a slot until neither its surface nor a variant
+an example meets the ones it drew. Planned sizes say little here: the examples are one narrow column of their table and
+each has up to FACTS x tries draws, so every such join is told to be a merge join and none is sent through the driver. A fact is drawn up to `tries` times for a slot until neither its surface nor a variant
 of it stands in the carrier as a phrase; all tries of an example come as one bounded list, so a text travels once.
 
 An example takes one of five positions in turn. A carrier without a place to be parted, and a split with fewer than two
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import let
 from quillstone.operators.running import numbered
+from quillstone.sources.tables import written
 
 POSITIONS = ("preamble", "postamble", "mid_sentence", "parenthetical", "split")
 #: What stands around carrier and facts; {x^} begins with a capital, {x_} with a small letter.
@@ -68,7 +70,8 @@ def one_of(drawn: Column, n: Column | int) -> Column:
 def holds(text: Column, phrase: Column) -> Column:
     """Whether the text has the phrase between words, in any case. An empty or null phrase is nowhere."""
     pattern = F.concat(F.lit(rf"(?i)(?<!{_WORD})\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{_WORD})"))
-    return F.coalesce((phrase != "") & F.rlike(text, pattern), F.lit(False))
+    there = F.contains(F.lower(text), F.lower(phrase))  # a pattern is made for few rows only
+    return F.coalesce((phrase != "") & there & F.rlike(text, pattern), F.lit(False))
 
 
 def _first(text: Column, change) -> Column:
@@ -124,16 +127,16 @@ def composed(examples: DataFrame, carriers: DataFrame, banks: DataFrame, seed: i
     # The smallest of exponential times whose rates are the weights: weighted picks without replacement.
     times = F.array(*(F.struct((-F.log((draw(seed, e, f"attribute {a}") + 1) / F.lit(2.0**32)) / w).alias("time"), F.lit(a).alias("attribute"), F.lit(sizes[a]).cast("long").alias("n")) for a, w in WEIGHTS.items() if sizes.get(a)))
     base = examples.select("example", position.alias("asked"), (one_of(draw(seed, e, "carrier"), n_carriers) + 1).alias("k"), (share("noop") < noop).alias("noop"), many.alias("many"))
-    plan = base.join(carriers, "k").drop("k")
+    plan = base.join(carriers.hint("merge"), "k").drop("k")
     if not sizes:
         slots = plan.select("example", F.lit(None).cast("array<struct<slot:int,try:int,attribute:string,surface:string,variants:array<string>,fragment:string>>").alias("drawn")).limit(0)
     else:
         slots = base.where(~F.col("noop")).select("example", F.posexplode(F.slice(F.array_sort(times), 1, F.col("many"))).alias("slot", "a"))
         slots = slots.select("example", "slot", "a.attribute", "a.n", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
-        slots = slots.withColumn("k", one_of(draw(seed, e, F.col("slot"), F.col("try"), "fact"), F.col("n")) + 1).join(banks, ["attribute", "k"])
+        slots = slots.withColumn("k", one_of(draw(seed, e, F.col("slot"), F.col("try"), "fact"), F.col("n")) + 1).join(banks.hint("merge"), ["attribute", "k"])
         told = F.coalesce(*(F.when(F.col("attribute") == a, _choose(draw(seed, e, F.col("slot"), F.col("try"), "fragment"), [_told(f, {"v": F.col("surface")}) for f in FRAGMENTS[a]])) for a in WEIGHTS))
         slots = slots.groupBy("example").agg(F.array_sort(F.collect_list(F.struct("slot", "try", "attribute", "surface", "variants", told.alias("fragment")))).alias("drawn"))  # at most FACTS x tries
-    rows = plan.join(slots, "example", "left")
+    rows = plan.join(slots.hint("merge"), "example", "left")
     meets = lambda f: holds(F.col("text"), f["surface"]) | F.coalesce(F.exists(f["variants"], lambda v: holds(F.col("text"), v)), F.lit(False))
     free = F.filter("drawn", lambda f: ~meets(f))
     chosen = let(free, lambda x: F.filter(x, lambda f, i: (i == 0) | (F.get(x, i - 1)["slot"] != f["slot"])))
@@ -156,13 +159,14 @@ def composed(examples: DataFrame, carriers: DataFrame, banks: DataFrame, seed: i
         framed = F.when(F.col("position") == p, _choose(drawn, [_told(f, values) for f in FRAMES[p]])).otherwise(framed)
         number = F.when(F.col("position") == p, one_of(drawn, len(FRAMES[p]))).otherwise(number)
     clean = F.regexp_replace(F.regexp_replace(framed, r"\s*([,;:])\s*[,;:]", "$1"), r"\s{2,}", " ")
-    written = F.when(bare, text).otherwise(_first(F.trim(clean), F.upper))
+    filled = F.when(bare, text).otherwise(_first(F.trim(clean), F.upper))
     asked = F.coalesce("persona_param", F.get("facts", F.lit(0))["attribute"])
     param = F.coalesce(*(F.when(asked == a, _choose(draw(seed, e, "parameter"), list(map(F.lit, ps)))) for a, ps in PARAMETERS.items()), _choose(draw(seed, e, "parameter"), list(map(F.lit, PARAMETERS["occupation"]))))
     needs = F.coalesce("needs_persona", F.lit(False)) & ~bare
-    out = rows.select("example", "carrier", "position", number.alias("frame"), written.alias("input"), F.when(needs, F.concat(F.lit("For someone "), param, F.lit(": "), text)).otherwise(text).alias("target"), needs.alias("needs_persona"), "facts")
+    out = rows.select("example", "carrier", "position", number.alias("frame"), filled.alias("input"), F.when(needs, F.concat(F.lit("For someone "), param, F.lit(": "), text)).otherwise(text).alias("target"), needs.alias("needs_persona"), "facts")
+    out = written(out)  # made once: it is read twice here, and again by whoever counts
     first = out.groupBy(F.sha2("input", 256).alias("__h")).agg(F.min("example").alias("example")).select("example")
-    return out.join(first, "example", "left_semi")
+    return out.join(first.hint("merge"), "example", "left_semi")
 
 
 def leaking(examples: DataFrame) -> DataFrame:

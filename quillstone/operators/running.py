@@ -22,6 +22,7 @@ def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str,
     before = sizes.select(F.col("__p").alias("__q"), *(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), *(F.coalesce(F.sum(names[n]).over(earlier), F.lit(0)).alias(f"__b{i}") for i, n in enumerate(sums)))
     local = dealt.select(*rows.columns, "__p", *(F.sum(names[n]).over(within).alias(names[n]) for n in sums))
     same = [local["__p"] == before["__q"], *(local[c].eqNullSafe(before[f"__g{i}"]) for i, c in enumerate(by))]
+    before = before if by else F.broadcast(before)  # a row for each range
     return local.join(before, same).select(*rows.columns, *((F.col(names[n]) + F.col(f"__b{i}")).alias(n) for i, n in enumerate(sums)))
 
 
