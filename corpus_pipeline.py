@@ -6,9 +6,10 @@ as a table and reads it again. All stages but the last return the columns of doc
 1. quality: documents that the classifier rejects (score below 0.3) go. Empty texts get the model's bias as their score.
 2. lines: later near copies of lines, short ones too, go from the texts; only blank lines are left out. The documents
    stay, if need be with an empty text.
-3. near_duplicates: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked; of
-   each group of linked ones the document with the smallest id stays; ties go by the text's hash, and rows that are equal
-   in id and text count once. Documents without words are one group.
+3. near_duplicates: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+   Candidates are SimHash fingerprints of the shingles that one-wildcard variants connect, and what a prefix index adds;
+   all are verified on the sets. Of each group of linked ones the document with the smallest id stays; ties go by the
+   text's hash, and rows that are equal in id and text count once. Documents without words are one group.
 4. repeats: substrings of 200 bytes or more that occur more than once go from the texts; the documents stay.
 5. packing: what is left is packed into sequences of 2048 tokens.
 

@@ -1,10 +1,12 @@
-"""Near-duplicate documents by an exact set-similarity join of their word shingles.
+"""Near-duplicate documents by SimHash fingerprints of their word shingles, verified on the shingle sets and made whole by
+an exact set-similarity join.
 
 A document is its set of word shingles; of fewer words than a shingle, one shingle of all. Documents without words have
 one set of their own. Documents are linked if the Jaccard similarity of their sets is at least the threshold, and a
-component is what chains of links connect. No sampling or fingerprint stands before the comparison: the prefix,
-positional and length filters of lines.py leave every pair that can reach the threshold, and each is verified on the
-whole sets.
+component is what chains of links connect. Candidates come from two sides: fingerprints that the one-wildcard variants of
+simhash.py connect, and, as most copies near the threshold differ in more bits than those cover, the prefix, positional
+and length filters of lines.py, which leave every pair that can reach the threshold. All candidates are verified on the
+whole sets, so fingerprints neither link nor part documents by themselves.
 
 Equal sets count once. Under a cluster of candidates the components are searched from a centre outwards, a set that is
 reached is compared no more, and a star of edges is given, so a large group of near copies costs about one comparison a
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm import simhash
 from quillstone.llm.common import materialize, stored
 from quillstone.llm.components import connected
 from quillstone.llm.lines import _STEP, PART_BYTES, _mix, _runs, _Sets, _Tokens, candidates, index_rows, token_counts
@@ -66,6 +69,30 @@ class Shingles(_Tokens):
         return np.r_[_mix(h), np.full(len(none), _NO_WORDS)], np.r_[line[at], none], text, number
 
 
+def fingerprinted(docs: DataFrame, shingle: int, counts) -> DataFrame:
+    """(set, fp): name of the shingle set and SimHash of the shingles of each text of docs (id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # a fixed size
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Shingles(shingle)
+        for batch in it:
+            texts = batch.column(1).to_pylist()
+            for part in tokens.parts(texts):
+                s = _Sets(tokens, part, shared.value, 1)
+                fp = np.array([simhash.fingerprint(texts[i], shingle) for i in s.text.tolist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(s.set), pa.array(fp.view(np.int64))], ["set", "fp"])
+
+    return docs.mapInArrow(run, "set long, fp long")
+
+
+def alike(docs: DataFrame, shingle: int, counts, bits: int = 3) -> DataFrame:
+    """(cluster, set): different sets of docs (id, text) whose fingerprints chains of at most `bits` differing bits connect."""
+    named = stored(fingerprinted(docs, shingle, counts).distinct())
+    clusters = named.join(simhash._roots(named, bits), "fp").select(F.xxhash64(F.lit("fp"), "root").alias("cluster"), "set").distinct()
+    several = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    return clusters.join(several.select("cluster"), "cluster", "left_semi")
+
+
 def _sets_of(docs: DataFrame, shingle: int, counts, compared: Bloom) -> DataFrame:
     """(id, set, twin, tokens) of each row of docs (id, text); tokens only of sets that may have to be compared, and about
     once in a task."""
@@ -152,7 +179,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.struct(docs[id_col].isNull().alias("no"), docs[id_col].alias("id"), text_hash.alias("hash")).alias("id"), docs[text_col].alias("text"))
     tokens = Shingles(shingle)
     counts, twice = token_counts(rows, tokens)
-    found = materialize(candidates(index_rows(rows, threshold, 1, counts, twice, tokens), threshold).where("cluster IS NOT NULL").distinct())
+    found = candidates(index_rows(rows, threshold, 1, counts, twice, tokens), threshold).where("cluster IS NOT NULL").distinct()
+    found = materialize(alike(rows, shingle, counts).unionByName(found))
     of_doc = stored(_sets_of(rows, shingle, counts, Bloom.of(found.select("set"))))
     pool = found.join(of_doc.where("tokens IS NOT NULL").select("set", "twin", "tokens").dropDuplicates(["set", "twin"]), "set")
     linked = stored(connected(stars(pool, threshold))).toDF("name", "linked")

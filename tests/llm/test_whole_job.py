@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillstone.llm import lines, repeats
+from quillstone.llm import lines, repeats, shingles, simhash
 from quillstone.llm.common import ship, words
 
 
@@ -45,6 +45,21 @@ def test_near_duplicates_at_the_threshold(spark):
     assert kept == sorted(set(root))
 
 
+def test_near_duplicates_by_fingerprint(spark, monkeypatch):
+    """Fingerprints alone find copies that differ little, and the sets have the last word."""
+    ship(spark)
+    r = random.Random(3)
+    base = [f"w{r.randrange(5000)}" for _ in range(1000)]
+    texts = [" ".join(base), " ".join([*base[:500], "new", *base[501:]]), " ".join(base[::-1]), None]
+    a, b, c = (simhash.fingerprint(t, 5) for t in texts[:3])
+    assert 0 < (a ^ b).bit_count() <= 3 < (a ^ c).bit_count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(shingles, "candidates", lambda index, threshold: index.sparkSession.createDataFrame([], "cluster long, set long"))
+    kept = lambda threshold: sorted(x["doc_id"] for x in shingles.representatives(docs, shingle=5, threshold=threshold).collect())
+    assert kept(0.8) == [0, 2, 3]
+    assert kept(0.995) == [0, 1, 2, 3]
+
+
 @pytest.mark.parametrize("common", [0, 20_000])
 def test_short_lines_go_too(spark, common, monkeypatch):
     ship(spark)
