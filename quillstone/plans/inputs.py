@@ -39,6 +39,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+#: Rows of a task where each row takes milliseconds.
+ROWS_OF_A_TASK = 4000
+
+
+def dealt(df: DataFrame, rows: int = ROWS_OF_A_TASK) -> DataFrame:
+    """df, of files, dealt evenly over tasks of about `rows` rows, at least one for each core. The number of partitions does
+    not tell how rows lie in them: all splits of a file but one are empty if it has one row group. Counting reads footers."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+
+
 def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
@@ -49,7 +59,7 @@ def sql_pick(values, index: str) -> str:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, role, text, other): every message with one sentence more, and with the next sentence as well."""
-    c = spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    c = dealt(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     at = F.col("conv_id") * 7 + F.col("turn")
     base = F.substring(F.coalesce("text", F.lit("")), 1, 1 << 30)
     return c.select("conv_id", "turn", "role", F.concat(base, F.lit(" "), pick(SENTENCES, at)).alias("text"), F.concat(base, F.lit(" "), pick(SENTENCES, at + 1)).alias("other"))
@@ -61,7 +71,7 @@ MESSAGES = f"""msg AS (SELECT conv_id, turn, role, coalesce(text, '') || ' ' ||
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, text, other): every message with one sentence more, and with another one instead."""
-    c = spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    c = dealt(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     at = F.col("conv_id") * 7 + F.col("turn")
     base = F.coalesce("text", F.lit(""))
     return c.select("conv_id", "turn", F.concat(pick(SENTENCES, at), F.lit(" "), base).alias("text"), F.concat(pick(SENTENCES, at + 5), F.lit(" "), base).alias("other"))
@@ -92,9 +102,11 @@ FREE_TEXT = {
 }
 
 
-def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, method, attribute, truth, guess): free-text truths, and guesses that are right, wrong or absent."""
+def guesses(spark: SparkSession, sf_dir: str, deal: int = 0) -> DataFrame:
+    """(id, method, attribute, truth, guess): free-text truths, and guesses that are right, wrong or absent. With deal, orders
+    are dealt over tasks of about that many first."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("priority"))
+    o = dealt(o, deal) if deal else o
     rows = o.withColumn("attribute", F.explode(F.array(*map(F.lit, P.ATTRIBUTES)))).withColumn("method", pick(METHODS, F.col("id")))
     truth, guess = F.lit(None).cast("string"), F.lit(None).cast("string")
     for a in P.ATTRIBUTES:

@@ -30,6 +30,14 @@ def test_attack_success(spark, guess, truth, hit):
     assert df.select(V.attack_success(F.col("g"), F.col("t"))).first()[0] is hit
 
 
+def test_attack_success_at_size(spark):
+    """An age on one side only is no hit, and the plan stays small enough to be compiled."""
+    df = spark.createDataFrame([("25-34", "unknown place", False), ("poet", "41", False), ("25-34", "28", True), ("swe", "a software developer", True)], "g string, t string, hit boolean")
+    found = V.attack_success(F.col("g"), F.col("t"))
+    assert df.where(found != F.col("hit")).collect() == []
+    assert len(str(found)) < 30_000
+
+
 def test_degeneracy(spark):
     d = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(T.degeneracy(F.col("a"), F.col("b"))).first()[0]
     assert d("one two three four", "") == "empty"
