@@ -36,20 +36,26 @@ def none_of(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
 
+def running(lengths: Column) -> Column:
+    """array<int>: sums of each entry and those before it. The fold writes them into a text, as what a fold holds is copied
+    whole at every step, and an array is copied entry by entry."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, n: Column) -> Column:
+        return F.struct((s["at"] + n).alias("at"), F.concat(s["out"], (s["at"] + n).cast("string"), F.lit(" ")).alias("out"))
+
+    sums = F.aggregate(lengths, zero, step, lambda s: s["out"])
+    return F.slice(F.split(sums, " "), F.lit(1), F.size(lengths)).cast("array<int>")
+
+
 def places(text: Column, pattern: str) -> Column:
     """array<struct<start,end,surface>>: where the pattern's matches stand. What lies between them is a split at the pattern,
     so places are sums of lengths."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("surface")))).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), none_of("struct<start:int,end:int,surface:string>").alias("out"))
     # The last piece of the split follows the last match and has no partner.
-    pairs = F.filter(F.zip_with(between, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+    pairs = F.filter(F.zip_with(between, found, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))), lambda x: x["hit"].isNotNull())
+    ends = running(F.transform(pairs, lambda x: x["gap"] + x["hit"]))
+    return F.zip_with(found, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("surface")))
 
 
 def pattern_cues(text: Column, scores: Column, floor: float = P.CUE_FLOOR) -> Column:
@@ -100,19 +106,26 @@ def phrases(text: Column, pieces: Column) -> Column:
     best word. Null text or pieces: none."""
 
     def chosen(words: Column) -> Column:
-        top = F.array_max(F.transform(words, lambda w: w["score"]))
+        return let(F.array_max(F.transform(words, lambda w: w["score"])), lambda top: worthy(words, top))
+
+    def worthy(words: Column, top: Column) -> Column:
         bare = lambda w: F.lower(F.trim(F.regexp_replace(_within(text, w), r"(?U)[^\w\s-]", "")))
         good = lambda w: let(bare(w), lambda b: (F.length(b) >= 2) & ~F.array_contains(F.lit(list(STOP_WORDS)), b))
         share = F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), (w["score"] / top).alias("score")))
         return F.when(top > 1e-9, F.filter(share, lambda w: (w["score"] >= PHRASE_FLOOR) & good(w))).otherwise(none_of(_SPAN))
 
+    def follows(last: Column, w: Column) -> Column:
+        return F.substring(text, last["end"] + 1, w["start"] - last["end"]) == " "
+
     def step(s: Column, w: Column) -> Column:
         last = F.element_at(s, -1)
-        joins = (F.substring(text, last["end"] + 1, w["start"] - last["end"]) == " ") & (w["end"] - last["start"] <= PHRASE_LENGTH)
+        joins = w["end"] - last["start"] <= PHRASE_LENGTH
         both = F.struct(last["start"].alias("start"), w["end"].alias("end"), F.greatest(last["score"], w["score"]).alias("score"))
         return F.when((F.size(s) > 0) & joins, F.concat(F.slice(s, 1, F.size(s) - 1), F.array(both))).otherwise(F.concat(s, F.array(w)))
 
-    merged = F.aggregate(let(words_of(pieces), chosen), none_of(_SPAN), lambda s, w: F.when(F.size(s) == 0, F.array(w)).otherwise(step(s, w)))
+    # Only words with one blank between them can be one phrase; such runs are short and are folded one by one.
+    runs = _cut(let(words_of(pieces), chosen), lambda a, b: ~follows(a, b))
+    merged = F.flatten(F.transform(runs, lambda run: F.aggregate(run, none_of(_SPAN), lambda s, w: F.when(F.size(s) == 0, F.array(w)).otherwise(step(s, w)))))
     ranked = F.array_sort(F.transform(merged, lambda w: F.struct((-w["score"]).alias("o"), w["start"].alias("start"), w["end"].alias("end"))))
     return F.coalesce(F.transform(ranked, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), (-w["o"]).alias("score"))), none_of(_SPAN))
 
@@ -142,9 +155,10 @@ def token_cues(text: Column, tokens: Column, entities: Column, floor: float = PH
         return F.flatten(F.transform(sure, lambda run: F.aggregate(run, none, lambda s, x: F.when(F.size(s) == 0, step(none, x)).otherwise(step(s, x)))))
 
     def bare(g: Column) -> Column:
-        raw = _within(text, g)
-        left = F.length(F.regexp_extract(raw, f"^{_EDGE}", 0))
-        return let(F.regexp_replace(F.substring(raw, left + 1, F.length(raw)), f"{_EDGE}$", ""), lambda b: F.struct((-F.greatest(F.lit(0.0), g["score"])).alias("o"), b.alias("surface"), (g["start"] + left).alias("start"), (g["start"] + left + F.length(b)).alias("end")))
+        def stripped(raw: Column, left: Column) -> Column:
+            return let(F.regexp_replace(F.substring(raw, left + 1, F.length(raw)), f"{_EDGE}$", ""), lambda b: F.struct((-F.greatest(F.lit(0.0), g["score"])).alias("o"), b.alias("surface"), (g["start"] + left).alias("start"), (g["start"] + left + F.length(b)).alias("end")))
+
+        return let(_within(text, g), lambda raw: let(F.length(F.regexp_extract(raw, f"^{_EDGE}", 0)), lambda left: stripped(raw, left)))
 
     whole = F.filter(F.coalesce(tokens, none_of(_SPAN)), lambda x: x["start"] < x["end"])
     ents = F.coalesce(entities, none_of("struct<start:int,end:int>"))
@@ -153,18 +167,15 @@ def token_cues(text: Column, tokens: Column, entities: Column, floor: float = PH
     kind = "struct<o:double,surface:string,start:int,end:int>"
 
     def picked(all_spans: Column) -> Column:
-        top = -F.array_min(F.transform(all_spans, lambda s: s["o"]))
+        return let(-F.array_min(F.transform(all_spans, lambda s: s["o"])), lambda top: ranked_cues(all_spans, top))
+
+    def ranked_cues(all_spans: Column, top: Column) -> Column:
         share = F.transform(all_spans, lambda s: F.struct((-F.round(-s["o"] / top, 4)).alias("o"), s["surface"].alias("surface"), s["o"].alias("exact"), s["start"].alias("start"), s["end"].alias("end")))
         worthy = F.filter(share, lambda s: -s["o"] >= floor)
-        zero = F.struct(worthy.alias("rest"), none_of(kind).alias("out"))
-
-        def take(s: Column, _: Column) -> Column:
-            best = F.array_min(s["rest"])
-            out = F.struct(best["o"].alias("o"), best["surface"].alias("surface"), best["start"].alias("start"), best["end"].alias("end"))
-            rest = F.filter(s["rest"], lambda x: x["surface"] != best["surface"])
-            return F.when(F.size(s["rest"]) > 0, F.struct(rest.alias("rest"), F.concat(s["out"], F.array(out)).alias("out"))).otherwise(s)
-
-        return F.when(top > 1e-9, F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, take, lambda s: s["out"])).otherwise(none_of(kind))
+        # In order, an entry stands if it is the first of its surface; at most `most` of these are kept.
+        first = lambda ranked: let(F.transform(ranked, lambda s: s["surface"]), lambda names: F.filter(ranked, lambda s, i: F.array_position(names, s["surface"]) == i + 1))
+        plain = F.transform(F.slice(let(F.sort_array(worthy), first), 1, most), lambda s: F.struct(s["o"].alias("o"), s["surface"].alias("surface"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.when(top > 1e-9, plain).otherwise(none_of(kind))
 
     best = let(spans, picked)
     return F.coalesce(F.transform(best, lambda s: F.struct(s["surface"].alias("surface"), s["start"].alias("start"), s["end"].alias("end"), (-s["o"]).alias("importance"))), none_of("struct<surface:string,start:int,end:int,importance:double>"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import cues as C
+from quillstone.plans.inputs import messages, sentences
 
 PIECE = "array<struct<start:int,end:int,score:double>>"
 SPAN = "array<struct<start:int,end:int>>"
@@ -91,3 +92,23 @@ def test_masking(spark):
         (1, "age", 0, 1, "a", 0.0, 0.165), (1, "age", 0, 2, "at", 0.0, 0.55), (1, "age", 3, 4, "9", 0.8, pytest.approx(0.55 * 0.5 + 0.45 * 0.8 / 0.9, abs=1e-4)),
         (1, "location", 0, 1, "a", 0.0, 0.55),
     ]
+
+
+def test_running_sums(spark):
+    """Sums of a long array, by a fold that holds no array."""
+    lengths = [i % 7 for i in range(3000)]
+    rows = spark.createDataFrame([(1, lengths), (2, []), (3, None)], "i int, n array<int>").select("i", C.running(F.col("n")).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in rows} == {1: [sum(lengths[: i + 1]) for i in range(3000)], 2: [], 3: None}
+
+
+def test_messages_are_dealt_by_rows(spark, tmp_path):
+    """All splits of a file but one are empty if it has one row group; tasks get even shares even so."""
+    spark.range(9000).selectExpr("id AS conv_id", "0 AS turn", "'user' AS role", "repeat(uuid(), 20) AS text").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        for rows in (messages(spark, str(tmp_path)), sentences(spark, str(tmp_path))):
+            n = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert sum(n) == 9000 and max(n) < 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
