@@ -74,10 +74,9 @@ def _(spark, sf):
 
 def _pieces(text):
     """array<struct<start,end,score>>: runs of up to four word characters, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"(?U)\w{1,4}|\W+"), F.lit(0))
-    step = lambda s, x: F.struct(F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(x)).alias("end"), F.when(x.rlike(r"(?U)^\w"), F.regexp_count(x, F.lit("[A-ZAEIOUaeiou]")) / 4.0).otherwise(0.0).alias("score")))).alias("out"), (s["at"] + F.length(x)).alias("at"))
-    zero = F.struct(F.expr("cast(array() as array<struct<start:int,end:int,score:double>>)").alias("out"), F.lit(0).alias("at"))
-    return F.filter(F.aggregate(found, zero, step, lambda s: s["out"]), lambda p: p["score"] > 0)
+    score = lambda x: F.when(x.rlike(r"(?U)^\w"), F.regexp_count(x, F.lit("[A-ZAEIOUaeiou]")) / 4.0).otherwise(0.0)
+    found = C.places(text, r"(?U)\w{1,4}|\W+")
+    return F.filter(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), score(x["surface"]).alias("score"))), lambda p: p["score"] > 0)
 
 
 @query("snk07_highlight")
