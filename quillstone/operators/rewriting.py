@@ -4,11 +4,15 @@ runs in Arrow batches, all else as column expressions; a model is plugged in as
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from math import sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from quillstone.functions import patterns as P
 from quillstone.functions import privacy as V
@@ -27,6 +31,20 @@ _RULES = {
 }
 
 
+#: Strings of which each match of a pattern holds one, in small letters.
+_NEEDED = {"back": T.needles(P.BACK_REFERENCE), "trail": T.needles(P.TRAILING_CLAUSE)}
+_AS = re.compile(r"as\s+[a\d]").search
+_ODD = str.maketrans("\u017f\u0131\u0130", "sii")
+
+
+def _folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_ODD).lower()
+
+
+def _may(rule: str, low: str) -> bool:
+    return any(x in low for x in _NEEDED[rule])
+
+
 def _discloses(sentence: str) -> bool:
     s = sentence.strip()
     return "?" not in s and not _RULES["veto"].search(s) and bool(_RULES["says"].search(s))
@@ -41,7 +59,7 @@ def prune_text(text: str | None) -> str:
     if (m := _RULES["paren"].search(out)) and (_discloses(m[1]) or any(w in m[1].lower() for w in P.PAREN_WORDS)):
         out = out[: m.start()].strip()
     parts = [p.strip() for p in _RULES["break"].split(out) if p.strip()]
-    refers = any(_RULES["back"].search(p) for p in parts[1:])
+    refers = _may("back", _folded(out)) and any(_RULES["back"].search(p) for p in parts[1:])
     low, high = 0, len(parts)
     while not refers and high - low > 1 and _discloses(parts[low]):
         low += 1
@@ -49,9 +67,10 @@ def prune_text(text: str | None) -> str:
         high -= 1
     out = " ".join(parts[low:high])
     out = _RULES["lead"].sub(r"\1\2", out).strip()
-    if not refers and (m := _RULES["inner"].search(out)) and (rest := out[m.end() :].lstrip(",; ")):
+    low = _folded(out)
+    if not refers and _AS(low) and (m := _RULES["inner"].search(out)) and (rest := out[m.end() :].lstrip(",; ")):
         out = ", ".join(x for x in (out[: m.start()].rstrip(",; "), rest) if x)
-    out = _RULES["trail"].sub("", out).strip()
+    out = _RULES["trail"].sub("", out).strip() if _may("trail", low) else out
     return out[0].upper() + out[1:] if out and out != start else out
 
 
@@ -60,6 +79,60 @@ def pruned(texts: pd.Series) -> pd.Series:
     return texts.map(prune_text)
 
 
+_LETTER = re.compile("[a-z]").search
+_NOT_A, _NOT_B = frozenset(P.NEGATIONS_A), frozenset(P.NEGATIONS_B)
+
+
+def _counts(words: str | None, first: Counter | None) -> tuple[Counter, dict]:
+    """The tokens of a text, which blanks part, with what utility and degeneracy ask of them, and how they meet the first."""
+    own = Counter(words.split(" ")) if words else Counter()
+    shared = own.keys() & first.keys() if first is not None else own.keys()
+    other = own if first is None else first
+    dot = sum(own[w] * other[w] for w in shared)
+    length = sqrt(sum(n * n for n in other.values())) * sqrt(sum(n * n for n in own.values()))
+    return own, {
+        "n": own.total(), "distinct": len(own), "bare": sum(n for w, n in own.items() if not _LETTER(w)), "not_a": len(_NOT_A & own.keys()),
+        "not_b": len(_NOT_B & own.keys()), "shared": len(shared), "cosine": dot / length if length else 0.0,
+    }
+
+
+_COUNTS = StructType([StructField(n, IntegerType()) for n in ("n", "distinct", "bare", "not_a", "not_b", "shared")] + [StructField("cosine", DoubleType())])
+
+
+def _each(texts: list | None) -> list[dict] | None:
+    if texts is None:
+        return None
+    first, out = _counts(texts[0], None)
+    return [out, *(_counts(x, first)[1] for x in texts[1:])]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with the last column, lists of texts as tokens that blanks part, as lists of their counts."""
+    numbers = pa.list_(pa.struct([(f.name, pa.float64() if f.name == "cosine" else pa.int32()) for f in _COUNTS]))
+    for b in batches:
+        found = pa.array([_each(x) for x in b.column(b.num_columns - 1).to_pylist()], numbers)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=b.schema.names)
+
+
+def with_counts(rows: DataFrame, name: str, first: Column, others: Column) -> DataFrame:
+    """rows with counts of a text and of an array of texts, in this order: tokens, distinct ones, those without a letter a
+    to z, negations, and what each shares with the first text."""
+    words = lambda x: F.array_join(T.tokens(x), " ")
+    rows = rows.withColumn(name, F.concat(F.array(words(first)), F.transform(others, words)))
+    return rows.mapInArrow(_counted, StructType([*rows.schema.fields[:-1], StructField(name, ArrayType(_COUNTS))]))
+
+
+def utility_of(pair: Column) -> Column:
+    """The utility of T.utility, from counts of a text and its rewrite."""
+
+    def of(o: Column, r: Column) -> Column:
+        differ = o["not_a"] != r["not_a"]
+        (forward, c1), (backward, c2) = T.entailment_a_by(r["shared"], r["distinct"], differ), T.entailment_a_by(r["shared"], o["distinct"], differ)
+        return T.composite(r["cosine"], forward, backward, F.greatest(c1, c2), T.degeneracy_by(o, r))
+
+    return of(F.get(pair, F.lit(0)), F.get(pair, F.lit(1)))
+
+
 def _steps(rows: DataFrame, text: str) -> DataFrame:
     """rows with the texts that candidates are made of, each a column of its own, so that none is evaluated again by the
     ones that follow: scrubbed, pruned, general, more general, tagged, neutral."""
@@ -112,28 +185,27 @@ def with_best(rows: DataFrame, text: str = "text", most_risk: float = 0.30, leas
     """rows, which have candidates, with rewrite, engine, cosine and kept. Of the candidates that differ, are not
     degenerate, leave no identifier, are below the risk and close enough, the most useful one is taken, the first of
     equals; without one, the redacted text (engine redaction, no cosine). kept counts the candidates that pass. All of it
-    happens in the row: tokens are made once for the text and once for a candidate."""
-    own, arr = F.col("__w"), F.col("__c")
-    # The tests come in the order of what they cost, and each stage leaves fewer candidates to the next one.
+    happens in the row: tokens are made once for the text and once for a candidate, and counted in one Arrow batch."""
+    arr, own = F.col("__c"), F.get("__k", F.lit(0))
     other = F.filter(F.transform("candidates", lambda c, i: F.struct(c.alias("cand"), i.alias("i"))), lambda x: F.trim(x["cand"]) != F.trim(F.col(text)))
-    words = F.transform(other, lambda x: F.struct(x["cand"].alias("cand"), x["i"].alias("i"), T.tokens(x["cand"]).alias("w")))
-    rows = rows.withColumn("__w", T.tokens(F.col(text))).withColumn("__c", words)
-    near = F.transform(arr, lambda x: F.struct(x["cand"].alias("cand"), x["i"].alias("i"), x["w"].alias("w"), T.cosine_of(own, x["w"]).alias("cos")))
-    rows = rows.withColumn("__c", F.filter(near, lambda x: F.round(x["cos"], 4) >= least_cosine))
-    sound = lambda x: T.degeneracy_of(own, x["w"]).isNull() & ~V.scrubbed(x["cand"])[1] & (F.greatest(*V.rule_scores(x["cand"]).values()) < most_risk)
-    rows = rows.withColumn("__c", F.filter(arr, sound))
+    rows = rows.withColumn("__c", other)
+    rows = with_counts(rows, "__k", F.col(text), F.transform(arr, lambda x: x["cand"]))
+    near = F.transform(arr, lambda x, i: F.struct(x["cand"].alias("cand"), x["i"].alias("i"), F.get("__k", i + 1).alias("k")))
+    # The tests come in the order of what they cost; a candidate that fails one is spared the others.
+    sound = lambda x: (F.round(x["k"]["cosine"], 4) >= least_cosine) & T.degeneracy_by(own, x["k"]).isNull() & ~V.identified(x["cand"]) & (V.overall_score(x["cand"]) < most_risk)
 
     def worth(x):
-        entailed = T.entailment_b_of(F.array_distinct(own), F.array_distinct(x["w"]))["composite"]
-        return F.struct((-F.round(0.6 * x["cos"] + 0.4 * entailed, 4)).alias("o"), x["i"].alias("i"), x["cand"].alias("cand"), F.round(x["cos"], 4).alias("cos"))
+        r = x["k"]
+        entailed = T.entailment_b_by(r["shared"], own["distinct"], r["distinct"], own["not_b"] != r["not_b"])["composite"]
+        return F.struct((-F.round(0.6 * r["cosine"] + 0.4 * entailed, 4)).alias("o"), x["i"].alias("i"), x["cand"].alias("cand"), F.round(r["cosine"], 4).alias("cos"))
 
-    rows = rows.withColumn("__c", F.transform(arr, worth))
+    rows = rows.withColumn("__c", F.transform(F.filter(near, sound), worth))
     rows = rows.withColumn("__b", F.array_min(arr))
     taken = F.col("__b").isNotNull()
     return rows.withColumns({
         "rewrite": F.when(taken, F.col("__b")["cand"]).otherwise(V.redacted(F.col(text))), "engine": F.when(taken, "heuristic").otherwise("redaction"),
         "cosine": F.col("__b")["cos"], "kept": F.size("__c"),
-    }).drop("__w", "__c", "__b")
+    }).drop("__k", "__c", "__b")
 
 
 def selected(messages: DataFrame, key: list[str], text: str = "text", most_risk: float = 0.30, least_cosine: float = 0.82) -> DataFrame:
