@@ -89,12 +89,13 @@ def _(spark, sf):
 @query("plan_analyze")
 def _(spark, sf):
     """The whole flow for one message: identifiers, scores, gate, rewrite, second scores, utility, verdict."""
-    overall = lambda text: F.greatest(*V.rule_scores(F.col(text)).values())
-    rows = sentences(spark, sf).select("conv_id", "turn", "text", overall("text").alias("before"), V.scrubbed(F.col("text"))[1].alias("hard"), V.impersonal(F.col("text")).alias("other"))
-    rows = rewriting.with_best(rewriting.with_candidates(rows))
-    passed = ((F.col("before") < P.MEDIUM_EDGE) | F.col("other")) & ~F.col("hard")
-    both = rows.select("conv_id", "turn", "text", "before", F.when(passed, "passthrough").otherwise(F.col("engine")).alias("engine"), F.when(passed, F.col("text")).otherwise(F.col("rewrite")).alias("served"))
-    both = both.withColumns({"after": overall("served"), "left": V.scrubbed(F.col("served"))[1].cast("int"), "utility": T.utility(F.col("text"), F.col("served"))["utility"]})
+    rows = sentences(spark, sf).select("conv_id", "turn", "text", V.overall_score(F.col("text")).alias("before"), V.identified(F.col("text")).alias("hard"), V.impersonal(F.col("text")).alias("other"))
+    rows = rows.withColumn("passed", ((F.col("before") < P.MEDIUM_EDGE) | F.col("other")) & ~F.col("hard"))
+    rows = rows.withColumn("asked", F.when(F.col("passed"), F.lit(None)).otherwise(F.col("text")))  # what passes needs no rewrite
+    rows = rewriting.with_best(rewriting.with_candidates(rows, "asked"), "asked")
+    both = rows.select("conv_id", "turn", "text", "before", F.when(F.col("passed"), "passthrough").otherwise(F.col("engine")).alias("engine"), F.when(F.col("passed"), F.col("text")).otherwise(F.col("rewrite")).alias("served"))
+    both = both.withColumns({"after": V.overall_score(F.col("served")), "left": V.identified(F.col("served")).cast("int")})
+    both = rewriting.with_counts(both, "pair", F.col("text"), F.array("served")).withColumn("utility", rewriting.utility_of(F.col("pair")))
     delta, verdict = curation.verdict(F.col("before"), F.col("after"), F.col("left"), F.col("utility"))
     return both.select("conv_id", "turn", "engine", "served", "before", "after", "utility", delta.alias("delta"), verdict.alias("verdict"))
 

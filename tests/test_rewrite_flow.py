@@ -69,6 +69,16 @@ def test_utility_from_counts_is_the_utility(spark):
     assert not rows.where(~T.degeneracy_by(F.get("pair", F.lit(0)), counts).eqNullSafe(T.degeneracy(F.col("a"), F.col("b")))).take(3)
 
 
-def test_udf11_has_no_fold_over_tokens(spark):
-    plan = flow_queries.QUERIES["udf11_selected_rewrite"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert not re.search(r"\baggregate\(", plan) and "MapInArrow" in plan
+def test_flow_has_no_fold_over_tokens(spark):
+    for name in ("udf11_selected_rewrite", "plan_analyze"):
+        plan = flow_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"\baggregate\(", plan) and "MapInArrow" in plan and len(plan) < 150_000
+
+
+def test_messages_that_pass_are_not_rewritten(spark, monkeypatch):
+    asked = []
+    real = rewriting.with_candidates
+    monkeypatch.setattr(rewriting, "with_candidates", lambda rows, text="text": asked.append((rows, text)) or real(rows, text))
+    out = flow_queries.QUERIES["plan_analyze"](spark, "/root/testdata/sf0.001")
+    rows, text = asked[0]
+    assert 0 < rows.where(F.col(text).isNull()).count() == out.where("engine = 'passthrough' and served is not null").count()
